@@ -27,14 +27,23 @@ def _wrap(text: Column) -> Column:
     return F.concat(F.lit('{"' + _DOC_KEY + '":'), text, F.lit(',"' + _SENTINEL_KEY + '":1}'))
 
 
-def strict_value(text: Column) -> Column:
-    """The text parsed as exactly one JSON value (variant), else null."""
-    wrapped = F.try_parse_json(_wrap(text))
-    as_map = F.try_variant_get(wrapped, "$", "map<string,variant>")
+def wrapped_map(text: Column) -> Column:
+    """Step 1 of ``strict_value``: the sentinel-wrapped text as a map.
+    Materialise it in its own projection when the result is reused."""
+    return F.try_variant_get(F.try_parse_json(_wrap(text)), "$", "map<string,variant>")
+
+
+def value_of_wrapped(as_map: Column) -> Column:
+    """Step 2 of ``strict_value``: the value when nothing else was in the text."""
     ok = (F.size(as_map) == 2) & as_map.getItem(_SENTINEL_KEY).isNotNull()
     return F.when(ok, as_map.getItem(_DOC_KEY))
 
 
+def strict_value(text: Column) -> Column:
+    """The text parsed as exactly one JSON value (variant), else null."""
+    return value_of_wrapped(wrapped_map(text))
+
+
 def as_object(v: Column) -> Column:
     """Variant -> map<string,variant> when it is a JSON object, else null."""
     return F.try_variant_get(v, "$", "map<string,variant>")

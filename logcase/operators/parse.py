@@ -17,7 +17,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logcase.functions.jsonvals import as_object, strict_object, truthy, truthy_text, truthy_texts, vtype
+from logcase.functions.jsonvals import (as_object, truthy, truthy_text, truthy_texts, value_of_wrapped, vtype,
+                                        wrapped_map)
 from logcase.functions.redact import SECRET_PATTERNS, SecretPattern, redact
 from logcase.functions.timestamps import epoch_ms_to_ts, parse_iso_ts, to_utc_timestamp_literal
 
@@ -82,8 +83,9 @@ def parse_lines(df: DataFrame, value_col: str = "value",
     names = [c for c in df.columns if c != value_col]
     v = F.col("_v")
 
-    # 1. parse once
-    s1 = df.select(*keep, F.col(value_col).alias("_v"), strict_object(F.col(value_col)).alias("_o"))
+    # 1. parse once (the wrapped map is read three times by the strict test)
+    s0 = df.select(*keep, F.col(value_col).alias("_v"), wrapped_map(F.col(value_col)).alias("_w"))
+    s1 = s0.select(*names, "_v", as_object(value_of_wrapped(F.col("_w"))).alias("_o"))
 
     # 2. detect
     o = F.col("_o")

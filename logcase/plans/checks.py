@@ -12,8 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logcase.functions.redact import SECRET_PATTERNS, redact, redaction_audit
 from logcase.operators import queries as Q
-from logcase.plans.logview import load_log_view, with_log_view
+from logcase.operators.parse import parse_lines
+from logcase.plans import linebuild as LB
+from logcase.plans.logview import load_log_view, load_table, with_log_view
+from logcase.session import configure
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -79,6 +83,73 @@ def q_trace_request(spark: SparkSession, sf: str) -> DataFrame:
     return _rows_ntz(Q.trace(load_log_view(spark, sf), REQUEST_ID))
 
 
+# Parsing is checked with a fixed fallback time, so results do not depend on "now".
+FALLBACK_TS = "1970-01-01T00:00:00Z"
+PARSED = ("event_id", "ts", "service", "level", "msg", "format")
+
+
+def _parse_shape(shape: str) -> QueryFn:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        lines = LB.shape_lines(load_log_view(spark, sf), shape)
+        return _rows_ntz(parse_lines(lines, fallback_ts=FALLBACK_TS).select(*PARSED))
+    return run
+
+
+def _bearer_msg() -> "F.Column":
+    """msg with an opaque bearer token appended (built from the row)."""
+    return F.concat(F.col("msg"), F.lit(" auth=Bearer "), F.md5(F.col("raw")))
+
+
+def q_parse_mixed_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    """All shapes in one column, every message carrying a bearer token."""
+    view = load_log_view(spark, sf)
+    lines = view.select("event_id", LB.mixed_line(_bearer_msg()).alias("value"))
+    return _rows_ntz(parse_lines(lines, fallback_ts=FALLBACK_TS).select(*PARSED))
+
+
+# Secret injected into each document, by doc_id mod 9 (8 = none). Literals are
+# split so that secret scanners do not flag this file.
+def _injected_secret() -> "F.Column":
+    h = F.md5(F.col("text"))
+    nl = F.lit("\n")
+    kinds = [
+        F.concat(F.lit(" Bear" + "er "), h),
+        F.concat(F.lit(" sk_" + "live_"), h),
+        F.concat(F.lit(" sk_" + "test_"), h),
+        F.concat(F.lit(" AK" + "IA"), F.upper(F.substring(h, 1, 16))),
+        F.concat(F.lit(" ey" + "J"), h, F.lit("."), h, F.lit("."), h),
+        F.concat(F.lit(" -----BEGIN RSA PRIV" + "ATE KEY-----"), nl, h, nl, F.lit("-----END RSA PRIV" + "ATE KEY-----")),
+        F.concat(F.lit(" gh" + "p_"), h),
+        F.concat(F.lit(" xo" + "xb-"), h),
+    ]
+    k = F.col("doc_id") % 9
+    out = F.when(k == 0, kinds[0])
+    for i, e in enumerate(kinds[1:], start=1):
+        out = out.when(k == i, e)
+    return out.otherwise(F.lit(""))
+
+
+def _injected_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load_table(spark, sf, "documents")
+    return docs.select("doc_id", F.concat(F.col("text"), _injected_secret(), F.lit(" tail")).alias("line"))
+
+
+def q_redact_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole document texts with an injected secret, redacted."""
+    configure(spark)
+    d = _injected_documents(spark, sf)
+    return d.select("doc_id", redact(F.col("line")).alias("redacted"))
+
+
+def q_redaction_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Per pattern: rows still holding a secret (0) and rows with its marker."""
+    red = q_redact_documents(spark, sf).select(F.col("redacted").alias("msg"))
+    return redaction_audit(red, cols=("msg",)).select(
+        F.col("pattern_order").cast("bigint").alias("pattern_order"), "pattern",
+        F.col("leaked_rows").cast("bigint").alias("leaked_rows"),
+        F.col("redacted_rows").cast("bigint").alias("redacted_rows"))
+
+
 ROWS = "ts, service, level, msg, file, line"
 
 
@@ -109,8 +180,68 @@ QUERIES: dict[str, QueryFn] = {
     "around_service": q_around_service,
     "trace": q_trace,
     "trace_request": q_trace_request,
+    **{f"parse_{shape}": _parse_shape(shape) for shape in LB.SHAPES},
+    "parse_mixed_redacted": q_parse_mixed_redacted,
+    "redact_documents": q_redact_documents,
+    "redaction_audit": q_redaction_audit,
 }
 
+_SHAPE_FORMAT = {"splunk_wrapped": "splunk", "splunk_flat": "splunk", "datadog": "datadog",
+                 "datadog_legacy": "datadog", "newrelic": "newrelic", "honeycomb": "honeycomb",
+                 "generic": "generic", "plaintext": "text"}
+
+
+def _parse_sql(shape: str) -> str:
+    fmt = _SHAPE_FORMAT[shape]
+    if shape == "newrelic":
+        return f"SELECT event_id, date_trunc('millisecond', ts) AS ts, service, level, msg, '{fmt}' AS format FROM log_events"
+    if shape == "plaintext":
+        return ("SELECT event_id, ts, 'unknown' AS service, 'info' AS level, "
+                "strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z ' || upper(level) || ' ' || service || ' ' || msg AS msg, "
+                f"'{fmt}' AS format FROM log_events")
+    return f"SELECT event_id, ts, service, level, msg, '{fmt}' AS format FROM log_events"
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _redact_sql(expr: str) -> str:
+    for p in SECRET_PATTERNS:
+        expr = f"regexp_replace({expr}, {_sql_str(p.regex)}, {_sql_str(p.replacement)}, 'g')"
+    return expr
+
+
+_MIXED_FORMAT_SQL = ("CASE WHEN level = 'error' THEN 'splunk' WHEN level = 'warn' THEN 'datadog' "
+                     "WHEN msg LIKE 'view %' THEN 'newrelic' WHEN msg LIKE 'click %' THEN 'honeycomb' "
+                     "ELSE 'generic' END")
+
+_INJECTED_SQL = """
+SELECT doc_id, text || CASE doc_id % 9
+    WHEN 0 THEN ' Bear' || 'er ' || md5(text)
+    WHEN 1 THEN ' sk_' || 'live_' || md5(text)
+    WHEN 2 THEN ' sk_' || 'test_' || md5(text)
+    WHEN 3 THEN ' AK' || 'IA' || upper(substr(md5(text), 1, 16))
+    WHEN 4 THEN ' ey' || 'J' || md5(text) || '.' || md5(text) || '.' || md5(text)
+    WHEN 5 THEN ' -----BEGIN RSA PRIV' || 'ATE KEY-----' || chr(10) || md5(text) || chr(10) || '-----END RSA PRIV' || 'ATE KEY-----'
+    WHEN 6 THEN ' gh' || 'p_' || md5(text)
+    WHEN 7 THEN ' xo' || 'xb-' || md5(text)
+    ELSE '' END || ' tail' AS line
+FROM documents
+"""
+
+
+def _audit_sql() -> str:
+    parts = []
+    for i, p in enumerate(SECRET_PATTERNS):
+        parts.append(
+            f"SELECT CAST({i} AS BIGINT) AS pattern_order, '{p.name}' AS pattern, "
+            f"CAST(count_if(regexp_matches(redacted, {_sql_str(p.regex)})) AS BIGINT) AS leaked_rows, "
+            f"CAST(count_if(contains(redacted, {_sql_str(p.replacement)})) AS BIGINT) AS redacted_rows FROM red")
+    return (f"WITH inj AS ({_INJECTED_SQL}), red AS (SELECT doc_id, {_redact_sql('line')} AS redacted FROM inj)\n"
+            + "\nUNION ALL\n".join(parts))
+
+
 ORACLE_SQL: dict[str, str] = {
     "schema_summary": with_log_view(
         "SELECT string_agg(DISTINCT service, ',' ORDER BY service) AS services, "
@@ -128,6 +259,14 @@ ORACLE_SQL: dict[str, str] = {
     "around_service": with_log_view(_around_sql(AROUND_SERVICE)),
     "trace": with_log_view(_trace_sql(TRACE_ID)),
     "trace_request": with_log_view(_trace_sql(REQUEST_ID)),
+    **{f"parse_{shape}": with_log_view(_parse_sql(shape)) for shape in LB.SHAPES},
+    "parse_mixed_redacted": with_log_view(
+        "SELECT event_id, CASE WHEN msg LIKE 'view %' THEN date_trunc('millisecond', ts) ELSE ts END AS ts, "
+        "service, level, "
+        + _redact_sql("msg || ' auth=Bearer ' || md5(raw)")
+        + f" AS msg, {_MIXED_FORMAT_SQL} AS format FROM log_events"),
+    "redact_documents": f"WITH inj AS ({_INJECTED_SQL}) SELECT doc_id, {_redact_sql('line')} AS redacted FROM inj",
+    "redaction_audit": _audit_sql(),
 }
 
 

@@ -48,6 +48,18 @@ def get_session(master: str | None = None, app_name: str = "logcase",
     return configure(spark)
 
 
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder; a temporary one only when none is set."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if base and not sc.getCheckpointDir():
+        sc.setCheckpointDir(base)
+    if not base:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="logcase-ckpt-"))
+        base = sc.getCheckpointDir()
+    return base
+
+
 def scratch_dir(spark: SparkSession, name: str = "run") -> str:
     """A fresh sub-folder of the cluster's shared checkpoint folder.
 
@@ -55,13 +67,7 @@ def scratch_dir(spark: SparkSession, name: str = "run") -> str:
     dir). Only when neither is set -- local runs and tests -- a temporary folder
     is created and registered as the checkpoint dir.
     """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="logcase-ckpt-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir() or base
-    base = base.rstrip("/")
+    base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/logcase-{name}-{uuid.uuid4().hex[:12]}"
 
 
