@@ -166,16 +166,20 @@ def parse_lines(df: DataFrame, value_col: str = "value",
                    redact(F.col("_trace_id"), patterns).alias("trace_id"),
                    redact(F.col("_request_id"), patterns).alias("request_id"))
 
-    # 5. assemble
+    # 5. assemble. The result leaves through a one-row generator: a filter on
+    # a parsed column stops there instead of being pushed down through the
+    # stages above (which would inline every stage into the predicate, and
+    # each stage reads the one before it several times).
     fmt, red = F.col("_fmt"), F.col("_msg_red")
     fb = fallback_column(fallback_ts)
-    return s4.select(
-        *names,
+    out = F.struct(
+        *[F.col(n) for n in names],
         F.coalesce(F.col("_ts"), fb).alias("ts"),
-        "service", "level",
+        F.col("service"), F.col("level"),
         F.when(fmt == "generic", red).otherwise(F.substring(red, 1, MSG_MAX_CHARS)).alias("msg"),
         F.when(fmt == "text", F.to_json(F.struct(red.alias("text")))).otherwise(F.col("_raw_red")).alias("raw"),
-        "trace_id", "request_id",
+        F.col("trace_id"), F.col("request_id"),
         fmt.alias("format"),
         F.when(F.col("_ts").isNull(), "fallback").otherwise("parsed").alias("ts_source"),
     )
+    return s4.select(F.inline(F.array(out)))

@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logcase.session import scratch_dir
+
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows. Counts through a limit,
@@ -17,3 +19,12 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     if max_rows > 0 and row_count_at_most(df, max_rows):
         return F.broadcast(df)
     return df
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` once as Parquet under the shared checkpoint folder and read
+    it back: cuts lineage in one job (``checkpoint()`` would compute an
+    uncached plan twice) and survives executor loss."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)

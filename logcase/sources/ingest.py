@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from logcase.functions.jsonvals import strict_value
 from logcase.functions.redact import SECRET_PATTERNS, SecretPattern
 from logcase.operators.parse import parse_lines
-from logcase.plans.sizing import broadcast_if_small
+from logcase.plans.sizing import broadcast_if_small, materialize
 from logcase.session import configure, ensure_checkpoint_dir
-from logcase.sources.discover import list_files, split_paths
+from logcase.sources.discover import list_files, normalise_path, split_paths
 from logcase.sources.documents import unwrap_items, unwrap_path
 from logcase.sources.lines import NONBLANK, number_lines, raw_scan, split_stats
 
@@ -39,72 +39,58 @@ def _lead_char(text: Column) -> Column:
 
 
 def file_modes(stats: DataFrame) -> DataFrame:
-    """Per split row, the file-level mode: 'lines', 'line_doc' (the file has
-    one non-blank line, which may be a document) or 'whole_doc'."""
+    """Per split row, the file-level mode: 'lines', or 'doc' when the file may
+    be one JSON document (first non-white char ``[``/``{`` and either a single
+    non-blank line or a first line that is not complete JSON by itself)."""
     per_file = stats.groupBy("src", "file").agg(
         F.sum("nb").alias("file_nb"),
         F.min_by("first", F.when(F.col("nb") > 0, F.col("bs"))).alias("file_first"))
     head, length = F.col("file_first.head"), F.col("file_first.len")
-    starts = _lead_char(head).isin("[", "{")
+    starts = F.coalesce(_lead_char(head).isin("[", "{"), F.lit(False))
     complete = (F.length(head) == length) & strict_value(head).isNotNull()
-    mode = (F.when(~F.coalesce(starts, F.lit(False)), "lines")
-            .when(F.col("file_nb") == 1, "line_doc")
-            .when(complete, "lines")
-            .otherwise("whole_doc"))
+    mode = F.when(starts & ((F.col("file_nb") == 1) | ~complete), "doc").otherwise("lines")
     return stats.join(per_file.select("src", "file", mode.alias("mode")), ["src", "file"])
 
 
 def _doc_rows(df: DataFrame, text_col: str) -> DataFrame:
-    """(src, file, line, value) of the events inside document texts, or no
-    rows for texts that are not documents."""
+    """(file, line, value) of the events inside document texts; texts that
+    are not documents give no rows."""
     path = unwrap_path(F.col(text_col))
     items = unwrap_items(F.col(text_col), path)
-    return df.where(path.isNotNull()).select("src", "file", F.posexplode(items).alias("pos", "value")) \
-        .select("src", "file", (F.col("pos") + 1).cast("bigint").alias("line"), "value")
+    return df.where(path.isNotNull()).select("file", F.posexplode(items).alias("pos", "value")) \
+        .select("file", (F.col("pos") + 1).cast("bigint").alias("line"), "value")
 
 
 def read_event_lines(spark: SparkSession, paths, max_doc_bytes: int = MAX_DOC_BYTES,
                      missing: str = "raise") -> tuple[DataFrame, DataFrame]:
     """Numbered, non-blank event texts ``(file, line, value)`` of all files,
-    documents unwrapped; and the file listing ``(path, bytes, modified)``."""
+    documents unwrapped; and the file listing ``(path, bytes, modified)``.
+
+    Raw lines are scanned twice in total (split statistics, then the numbered
+    lines); document candidates are additionally read whole."""
     configure(spark)
     ensure_checkpoint_dir(spark)
     src = split_paths(spark, paths, missing=missing)
     listing = list_files(spark, src)
     raw = raw_scan(spark, src)
-    stats = file_modes(split_stats(raw)).checkpoint(eager=True)
+    stats = materialize(file_modes(split_stats(raw)), "splits")
     numbered = number_lines(raw, broadcast_if_small(stats, SPLIT_BROADCAST_ROWS), extra=("mode",))
-
-    plain = numbered.where(F.col("mode") == "lines").select("src", "file", "line", "value")
-
-    # one non-blank line: a document when it unwraps, else a plain line
-    one = numbered.where((F.col("mode") == "line_doc") & F.col("value").rlike(NONBLANK))
-    one = one.withColumn("_path", unwrap_path(F.col("value")))
-    one_items = _doc_rows(one.where(F.col("_path").isNotNull()), "value")
-    one_plain = one.where(F.col("_path").isNull()).select("src", "file", "line", "value")
-
-    parts = [plain, one_items, one_plain]
-    whole = [r["file"] for r in stats.where(F.col("mode") == "whole_doc").select("file").distinct().collect()]
-    if whole:
-        sizes = listing.where(F.col("path").isin(whole)).where(F.col("bytes") > max_doc_bytes)
-        too_big = [r["path"] for r in sizes.select("path").collect()]
-        if too_big:
-            raise IngestCapExceeded(f"document files larger than {max_doc_bytes} bytes: {too_big[:5]}")
-        docs = spark.read.text(whole, wholetext=True).select(
-            F.lit(None).cast("int").alias("src"),
-            F.regexp_replace(F.col("_metadata.file_path"), r"^file:(//)?", "").alias("file"), "value")
-        # per-file verdict only (small); the texts are read again for the items
-        verdict = docs.select("file", unwrap_path(F.col("value")).alias("_path")).checkpoint(eager=True)
-        unwrapped = _doc_rows(docs, "value")
-        not_docs = verdict.where(F.col("_path").isNull()).select("file")
-        fallback = numbered.where(F.col("mode") == "whole_doc").join(
-            broadcast_if_small(not_docs, SPLIT_BROADCAST_ROWS), "file", "left_semi") \
-            .select("src", "file", "line", "value")
-        parts += [unwrapped.select("src", "file", "line", "value"), fallback]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.where(F.col("value").rlike(NONBLANK)).select("file", "line", "value"), listing
+    lines = numbered.where(F.col("value").rlike(NONBLANK)).select("file", "line", "value")
+
+    candidates = [r["file"] for r in stats.where(F.col("mode") == "doc").select("file").distinct().collect()]
+    if not candidates:
+        return lines, listing
+    too_big = [r["path"] for r in listing.where(F.col("path").isin(candidates))
+               .where(F.col("bytes") > max_doc_bytes).select("path").collect()]
+    if too_big:
+        raise IngestCapExceeded(f"document files larger than {max_doc_bytes} bytes: {too_big[:5]}")
+    docs = spark.read.text(candidates, wholetext=True).select(
+        normalise_path(F.col("_metadata.file_path")).alias("file"), "value")
+    # per-file verdict only (small); the texts are read again for the items
+    unwrapped_files = materialize(docs.where(unwrap_path(F.col("value")).isNotNull()).select("file"), "docs")
+    kept = lines.join(broadcast_if_small(unwrapped_files, SPLIT_BROADCAST_ROWS), "file", "left_anti")
+    items = _doc_rows(docs, "value").where(F.col("value").rlike(NONBLANK))
+    return kept.unionByName(items), listing
 
 
 def ingest(spark: SparkSession, paths, fallback_ts: dt.datetime | str | Column | None = None,
