@@ -16,8 +16,10 @@ from logcase.functions.redact import SECRET_PATTERNS, redact, redaction_audit
 from logcase.operators import queries as Q
 from logcase.operators.parse import parse_lines
 from logcase.plans import linebuild as LB
+from logcase.plans.logfiles import logical_name, write_log_files
 from logcase.plans.logview import load_log_view, load_table, with_log_view
 from logcase.session import configure
+from logcase.sources.ingest import ingest, manifest
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -107,6 +109,26 @@ def q_parse_mixed_redacted(spark: SparkSession, sf: str) -> DataFrame:
     return _rows_ntz(parse_lines(lines, fallback_ts=FALLBACK_TS).select(*PARSED))
 
 
+def _ingested(spark: SparkSession, sf: str):
+    view = load_log_view(spark, sf)
+    path = write_log_files(view, LB.mixed_line(_bearer_msg()), "logs")
+    return ingest(spark, [path], fallback_ts=FALLBACK_TS)
+
+
+def q_ingest_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Log view -> gzip NDJSON files (all shapes, secrets) -> ingest."""
+    events, _ = _ingested(spark, sf)
+    return _rows_ntz(events.select(logical_name(F.col("file")).alias("file"), "line", "ts", "service", "level",
+                                   "msg", "format"))
+
+
+def q_ingest_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    events, listing = _ingested(spark, sf)
+    files, _ = manifest(events, listing)
+    return ntz(files.select(logical_name(F.col("path")).alias("file"), F.col("rows").cast("bigint").alias("rows"),
+                            "ts_min", "ts_max"), "ts_min", "ts_max")
+
+
 # Secret injected into each document, by doc_id mod 9 (8 = none). Literals are
 # split so that secret scanners do not flag this file.
 def _injected_secret() -> "F.Column":
@@ -183,6 +205,8 @@ QUERIES: dict[str, QueryFn] = {
     **{f"parse_{shape}": _parse_shape(shape) for shape in LB.SHAPES},
     "parse_mixed_redacted": q_parse_mixed_redacted,
     "redact_documents": q_redact_documents,
+    "ingest_files": q_ingest_files,
+    "ingest_manifest": q_ingest_manifest,
     "redaction_audit": q_redaction_audit,
 }
 
@@ -216,6 +240,8 @@ _MIXED_FORMAT_SQL = ("CASE WHEN level = 'error' THEN 'splunk' WHEN level = 'warn
                      "WHEN msg LIKE 'view %' THEN 'newrelic' WHEN msg LIKE 'click %' THEN 'honeycomb' "
                      "ELSE 'generic' END")
 
+_MIXED_TS_SQL = "CASE WHEN msg LIKE 'view %' THEN date_trunc('millisecond', ts) ELSE ts END"
+
 _INJECTED_SQL = """
 SELECT doc_id, text || CASE doc_id % 9
     WHEN 0 THEN ' Bear' || 'er ' || md5(text)
@@ -261,10 +287,15 @@ ORACLE_SQL: dict[str, str] = {
     "trace_request": with_log_view(_trace_sql(REQUEST_ID)),
     **{f"parse_{shape}": with_log_view(_parse_sql(shape)) for shape in LB.SHAPES},
     "parse_mixed_redacted": with_log_view(
-        "SELECT event_id, CASE WHEN msg LIKE 'view %' THEN date_trunc('millisecond', ts) ELSE ts END AS ts, "
-        "service, level, "
+        "SELECT event_id, " + _MIXED_TS_SQL + " AS ts, service, level, "
         + _redact_sql("msg || ' auth=Bearer ' || md5(raw)")
         + f" AS msg, {_MIXED_FORMAT_SQL} AS format FROM log_events"),
+    "ingest_files": with_log_view(
+        "SELECT replace(file, 'logs/', '') AS file, line, " + _MIXED_TS_SQL + " AS ts, service, level, "
+        + _redact_sql("msg || ' auth=Bearer ' || md5(raw)") + f" AS msg, {_MIXED_FORMAT_SQL} AS format FROM log_events"),
+    "ingest_manifest": with_log_view(
+        "SELECT replace(file, 'logs/', '') AS file, CAST(count(*) AS BIGINT) AS rows, "
+        f"min({_MIXED_TS_SQL}) AS ts_min, max({_MIXED_TS_SQL}) AS ts_max FROM log_events GROUP BY 1"),
     "redact_documents": f"WITH inj AS ({_INJECTED_SQL}) SELECT doc_id, {_redact_sql('line')} AS redacted FROM inj",
     "redaction_audit": _audit_sql(),
 }
