@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logcase.functions.redact import SECRET_PATTERNS, redact, redaction_audit
+from logcase.operators import grading as G
 from logcase.operators import queries as Q
 from logcase.operators.parse import parse_lines
 from logcase.plans import linebuild as LB
@@ -129,6 +130,57 @@ def q_ingest_manifest(spark: SparkSession, sf: str) -> DataFrame:
                             "ts_min", "ts_max"), "ts_min", "ts_max")
 
 
+# Grading cases derived from events: one case per user; the report cites the
+# user's error and purchase events (errors as key evidence); the ground truth
+# is the user's errors with value >= 10; distractors are errors and views with
+# value < 3; confidence = min(errors, 10) / 10.
+def _grading_inputs(spark: SparkSession, sf: str):
+    e = load_table(spark, sf, "events").select(
+        F.col("user_id").alias("case_id"), F.col("event_id").cast("string").alias("event_id"),
+        "event_type", "value")
+    report = e.where(F.col("event_type").isin("error", "purchase")).select(
+        "case_id", "event_id", (F.col("event_type") == "error").alias("is_key"))
+    truth = e.where((F.col("event_type") == "error") & (F.col("value") >= 10)).select("case_id", "event_id")
+    distractors = e.where(F.col("event_type").isin("error", "view") & (F.col("value") < 3)).select(
+        "case_id", "event_id")
+    cases = e.groupBy("case_id").agg(
+        (F.least(F.count_if(F.col("event_type") == "error"), F.lit(10)) / 10.0).alias("confidence"),
+        F.when(F.max((F.col("event_type") == "error").cast("int")) == 1, "submitted")
+         .otherwise("max_iterations").alias("termination_reason"),
+        (F.max(F.col("event_type").isin("error", "purchase").cast("int")) == 1).alias("has_report"))
+    return cases, report, truth, distractors
+
+
+def q_grade_cases(spark: SparkSession, sf: str) -> DataFrame:
+    configure(spark)
+    cases, report, truth, distractors = _grading_inputs(spark, sf)
+    return G.grade(cases, G.set_counts(report, truth, distractors))
+
+
+def q_evidence_context(spark: SparkSession, sf: str) -> DataFrame:
+    """±3 lines of context for every error line of the log view."""
+    view = load_log_view(spark, sf)
+    ev = view.where(F.col("level") == "error").select(F.col("event_id").alias("evidence_id"), "file", "line")
+    ctx = G.evidence_context(ev, view, k=3)
+    return ctx.select("evidence_id", F.array_join("context_before", "|").alias("context_before"),
+                      F.array_join("context_after", "|").alias("context_after"))
+
+
+def q_around_many(spark: SparkSession, sf: str) -> DataFrame:
+    """Events within ±60 s of every error event."""
+    view = load_log_view(spark, sf)
+    anchors = view.where(F.col("level") == "error").select(F.col("event_id").alias("anchor_id"),
+                                                           F.col("ts").alias("anchor_ts"))
+    return ntz(Q.around_many(view, anchors, 60), "anchor_ts", "ts")
+
+
+def q_trace_many(spark: SparkSession, sf: str) -> DataFrame:
+    """All events of every trace id seen on an error event."""
+    view = load_log_view(spark, sf)
+    ids = view.where(F.col("level") == "error").select(F.get_json_object("raw", "$.trace_id").alias("id"))
+    return _rows_ntz(Q.trace_many(view, ids))
+
+
 # Secret injected into each document, by doc_id mod 9 (8 = none). Literals are
 # split so that secret scanners do not flag this file.
 def _injected_secret() -> "F.Column":
@@ -206,6 +258,10 @@ QUERIES: dict[str, QueryFn] = {
     "parse_mixed_redacted": q_parse_mixed_redacted,
     "redact_documents": q_redact_documents,
     "ingest_files": q_ingest_files,
+    "grade_cases": q_grade_cases,
+    "evidence_context": q_evidence_context,
+    "around_many": q_around_many,
+    "trace_many": q_trace_many,
     "ingest_manifest": q_ingest_manifest,
     "redaction_audit": q_redaction_audit,
 }
@@ -268,6 +324,58 @@ def _audit_sql() -> str:
             + "\nUNION ALL\n".join(parts))
 
 
+_GRADE_SQL = """
+WITH e AS (SELECT user_id AS case_id, CAST(event_id AS VARCHAR) AS event_id, event_type, value FROM events),
+rep AS (SELECT DISTINCT case_id, event_id, event_type = 'error' AS is_key FROM e WHERE event_type IN ('error', 'purchase')),
+tru AS (SELECT DISTINCT case_id, event_id FROM e WHERE event_type = 'error' AND value >= 10),
+dis AS (SELECT DISTINCT case_id, event_id FROM e WHERE event_type IN ('error', 'view') AND value < 3),
+cases AS (SELECT case_id, least(count_if(event_type = 'error'), 10) / 10.0 AS confidence,
+                 CASE WHEN bool_or(event_type = 'error') THEN 'submitted' ELSE 'max_iterations' END AS termination_reason,
+                 bool_or(event_type IN ('error', 'purchase')) AS has_report FROM e GROUP BY case_id),
+nr AS (SELECT case_id, count(*) AS n FROM rep GROUP BY case_id),
+nt AS (SELECT case_id, count(*) AS n FROM tru GROUP BY case_id),
+nh AS (SELECT r.case_id, count(*) AS n FROM rep r JOIN tru t USING (case_id, event_id) GROUP BY r.case_id),
+nd AS (SELECT r.case_id, count(*) AS n FROM rep r JOIN dis d USING (case_id, event_id) WHERE r.is_key GROUP BY r.case_id),
+g AS (SELECT c.*, CAST(coalesce(nr.n, 0) AS BIGINT) AS n_report, CAST(coalesce(nt.n, 0) AS BIGINT) AS n_truth,
+             CAST(coalesce(nh.n, 0) AS BIGINT) AS n_hits, CAST(coalesce(nd.n, 0) AS BIGINT) AS n_key_distractor_hits
+      FROM cases c LEFT JOIN nr USING (case_id) LEFT JOIN nt USING (case_id) LEFT JOIN nh USING (case_id)
+      LEFT JOIN nd USING (case_id)),
+s AS (SELECT *, CASE WHEN n_truth = 0 THEN 1.0 ELSE n_hits / n_truth END AS overlap_recall,
+             CASE WHEN n_report + n_truth - n_hits = 0 THEN 1.0 ELSE n_hits / (n_report + n_truth - n_hits) END AS overlap_jaccard
+      FROM g)
+SELECT case_id, n_report, n_truth, n_hits, n_truth - n_hits AS n_misses, n_key_distractor_hits,
+       overlap_recall, overlap_jaccard, overlap_recall >= 0.5 AS overlap_ok, n_key_distractor_hits <= 0 AS distractor_ok,
+       coalesce(confidence >= 0.5, false) AS confidence_ok,
+       coalesce(has_report, false) AND termination_reason = 'submitted' AND overlap_recall >= 0.5
+         AND n_key_distractor_hits <= 0 AND coalesce(confidence >= 0.5, false) AS passed
+FROM s
+"""
+
+_CONTEXT_SQL = """
+SELECT e.event_id AS evidence_id,
+  coalesce((SELECT string_agg(x.msg, '|' ORDER BY x.line) FROM log_events x
+            WHERE x.file = e.file AND x.line BETWEEN e.line - 3 AND e.line - 1), '') AS context_before,
+  coalesce((SELECT string_agg(x.msg, '|' ORDER BY x.line) FROM log_events x
+            WHERE x.file = e.file AND x.line BETWEEN e.line + 1 AND e.line + 3), '') AS context_after
+FROM log_events e WHERE e.level = 'error'
+"""
+
+_AROUND_MANY_SQL = """
+SELECT a.event_id AS anchor_id, a.ts AS anchor_ts, e.ts, e.service, e.level, e.msg, e.file, e.line
+FROM log_events a JOIN log_events e
+  ON e.ts BETWEEN a.ts - INTERVAL 60 SECOND AND a.ts + INTERVAL 60 SECOND
+WHERE a.level = 'error'
+"""
+
+_TRACE_MANY_SQL = """
+WITH ids AS (SELECT DISTINCT json_extract_string(raw, '$.trace_id') AS id FROM log_events WHERE level = 'error'),
+keyed AS (SELECT DISTINCT x.id, l.ts, l.service, l.level, l.msg, l.file, l.line
+          FROM log_events l, (SELECT json_extract_string(raw, '$.trace_id') AS id, file, line FROM log_events
+                              UNION SELECT json_extract_string(raw, '$.request_id'), file, line FROM log_events) x
+          WHERE x.file = l.file AND x.line = l.line AND x.id IS NOT NULL)
+SELECT k.id, k.ts, k.service, k.level, k.msg, k.file, k.line FROM keyed k JOIN ids USING (id)
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "schema_summary": with_log_view(
         "SELECT string_agg(DISTINCT service, ',' ORDER BY service) AS services, "
@@ -290,6 +398,10 @@ ORACLE_SQL: dict[str, str] = {
         "SELECT event_id, " + _MIXED_TS_SQL + " AS ts, service, level, "
         + _redact_sql("msg || ' auth=Bearer ' || md5(raw)")
         + f" AS msg, {_MIXED_FORMAT_SQL} AS format FROM log_events"),
+    "grade_cases": _GRADE_SQL,
+    "evidence_context": with_log_view(_CONTEXT_SQL),
+    "around_many": with_log_view(_AROUND_MANY_SQL),
+    "trace_many": with_log_view(_TRACE_MANY_SQL),
     "ingest_files": with_log_view(
         "SELECT replace(file, 'logs/', '') AS file, line, " + _MIXED_TS_SQL + " AS ts, service, level, "
         + _redact_sql("msg || ' auth=Bearer ' || md5(raw)") + f" AS msg, {_MIXED_FORMAT_SQL} AS format FROM log_events"),

@@ -58,4 +58,7 @@ FROM events
 
 def with_log_view(sql: str) -> str:
     """Prefix an oracle query with the log view as CTE ``log_events``."""
+    body = sql.lstrip()
+    if body[:5].upper() == "WITH ":
+        return f"WITH log_events AS ({LOG_VIEW_SQL}),\n{body[5:]}"
     return f"WITH log_events AS ({LOG_VIEW_SQL})\n{sql}"

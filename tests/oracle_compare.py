@@ -58,7 +58,7 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
-def compare(spark, sf_dir: str, names: list[str] | None = None) -> list[dict]:
+def compare(spark, sf_dir: str, names: list[str] | None = None, verbose: bool = False) -> list[dict]:
     import __spark_entry__ as E
     qs, sqls = E.queries(), E.oracle_sql()
     con = duck(sf_dir)
@@ -83,6 +83,8 @@ def compare(spark, sf_dir: str, names: list[str] | None = None) -> list[dict]:
                 rec["cols"] = (sorted(scols), sorted(dcols))
         else:
             rec["ok"] = None
+        if verbose:
+            print(rec, flush=True)
         out.append(rec)
     return out
 
@@ -94,8 +96,7 @@ def main(argv: list[str]) -> int:
     spark = get_session("local[8]", shuffle_partitions=8)
     spark.sparkContext.setLogLevel("ERROR")
     bad = 0
-    for rec in compare(spark, sf_dir, names):
-        print(rec, flush=True)
+    for rec in compare(spark, sf_dir, names, verbose=True):
         bad += rec["ok"] is False
     return 1 if bad else 0
 
