@@ -19,8 +19,9 @@ from logcase.operators.parse import parse_lines
 from logcase.plans import linebuild as LB
 from logcase.plans.logfiles import logical_name, write_log_files
 from logcase.plans.logview import load_log_view, load_table, with_log_view
-from logcase.session import configure
+from logcase.session import configure, scratch_dir
 from logcase.sources.ingest import ingest, manifest
+from logcase.sources.store import read_events
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -123,6 +124,19 @@ def q_ingest_files(spark: SparkSession, sf: str) -> DataFrame:
                                    "msg", "format"))
 
 
+def q_stream_ingest_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Same files as ``ingest_files``, ingested by the file stream (ST1)."""
+    from logcase.streaming import ingest_stream
+    view = load_log_view(spark, sf)
+    path = write_log_files(view, LB.mixed_line(_bearer_msg()), "stream-logs")
+    sink, ckpt = scratch_dir(spark, "stream-sink"), scratch_dir(spark, "stream-ckpt")
+    q = ingest_stream(spark, path, sink, ckpt, fallback_ts=FALLBACK_TS, available_now=True)
+    q.awaitTermination()
+    events = read_events(spark, sink)
+    return _rows_ntz(events.select(logical_name(F.col("file")).alias("file"), "line", "ts", "service", "level",
+                                   "msg", "format"))
+
+
 def q_ingest_manifest(spark: SparkSession, sf: str) -> DataFrame:
     events, listing = _ingested(spark, sf)
     files, _ = manifest(events, listing)
@@ -263,6 +277,7 @@ QUERIES: dict[str, QueryFn] = {
     "around_many": q_around_many,
     "trace_many": q_trace_many,
     "ingest_manifest": q_ingest_manifest,
+    "stream_ingest_files": q_stream_ingest_files,
     "redaction_audit": q_redaction_audit,
 }
 
@@ -405,12 +420,14 @@ ORACLE_SQL: dict[str, str] = {
     "ingest_files": with_log_view(
         "SELECT replace(file, 'logs/', '') AS file, line, " + _MIXED_TS_SQL + " AS ts, service, level, "
         + _redact_sql("msg || ' auth=Bearer ' || md5(raw)") + f" AS msg, {_MIXED_FORMAT_SQL} AS format FROM log_events"),
+    "stream_ingest_files": None,
     "ingest_manifest": with_log_view(
         "SELECT replace(file, 'logs/', '') AS file, CAST(count(*) AS BIGINT) AS rows, "
         f"min({_MIXED_TS_SQL}) AS ts_min, max({_MIXED_TS_SQL}) AS ts_max FROM log_events GROUP BY 1"),
     "redact_documents": f"WITH inj AS ({_INJECTED_SQL}) SELECT doc_id, {_redact_sql('line')} AS redacted FROM inj",
     "redaction_audit": _audit_sql(),
 }
+ORACLE_SQL["stream_ingest_files"] = ORACLE_SQL["ingest_files"]
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
