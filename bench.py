@@ -61,7 +61,7 @@ def main() -> None:
     ev = read_events(spark, store)
     rows["events"] = ev.count()
 
-    lines = view.select("event_id", LB.mixed_line(checks._bearer_msg()).alias("value"))
+    lines = checks.spread(view.select("event_id", LB.mixed_line(checks._bearer_msg()).alias("value")))
     from logcase.operators.parse import parse_lines
     timed("parse_redact_lines", lambda: run(parse_lines(lines, fallback_ts=checks.FALLBACK_TS)))
     timed("redact_documents", lambda: run(checks.q_redact_documents(spark, sf_dir)))

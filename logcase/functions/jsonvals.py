@@ -81,14 +81,26 @@ def truthy_text(v: Column) -> Column:
     return F.when(truthy(v), vtext(v))
 
 
+def _text_if_truthy(t: Column, txt: Column) -> Column:
+    """``truthy_text`` from a value's precomputed type name and string text."""
+    return (F.when(t == "STRING", F.when(txt != "", txt))
+            .when(t == "BOOLEAN", F.when(txt == "true", F.lit("True")))
+            .when(t == "VOID", F.lit(None))
+            .when(t.startswith("ARRAY") | t.startswith("OBJECT"), F.when(~txt.isin("[]", "{}"), txt))
+            .otherwise(F.when(F.coalesce(txt.try_cast("double") != 0, F.lit(True)), txt)))
+
+
 def truthy_texts(obj: Column, keys: tuple[str, ...]) -> Column:
     """map<string,string> of ``str(value)`` for the truthy values among
-    ``keys`` of an object map. Computed once per row so that several fields
-    can read it with plain lookups."""
+    ``keys`` of an object map (falsy values map to null). Computed once per
+    row so that several fields can read it with plain lookups; the type and
+    text of each value are computed once (lambdas get no common-subexpression
+    elimination)."""
     wanted = F.array(*[F.lit(k) for k in sorted(set(keys))])
     picked = F.map_filter(obj, lambda k, _: F.array_contains(wanted, k))
-    return F.map_filter(F.transform_values(picked, lambda _, x: truthy_text(x)),
-                        lambda _, x: x.isNotNull())
+    typed = F.transform_values(picked, lambda _, x: F.struct(
+        F.schema_of_variant(x).alias("t"), F.try_variant_get(x, "$", "string").alias("s")))
+    return F.transform_values(typed, lambda _, x: _text_if_truthy(x["t"], x["s"]))
 
 
 def first_truthy(obj: Column, keys: tuple[str, ...]) -> Column:

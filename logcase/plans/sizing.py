@@ -28,3 +28,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a frame that has fewer partitions than the session has
+    cores (e.g. lines derived from one small file) before CPU-heavy work.
+    Inputs that are already split -- any real-size input -- are left as is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
