@@ -37,9 +37,6 @@ def get_session(master: str | None = None, app_name: str = "logcase",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        # HotSpot does not JIT methods above 8000 bytes of bytecode; larger
-        # generated stages run faster without whole-stage codegen.
-        "spark.sql.codegen.hugeMethodLimit": "8000",
         **RUNTIME_CONF,
     }
     if shuffle_partitions:
