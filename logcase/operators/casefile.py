@@ -284,3 +284,25 @@ def grade_case_files(cases: DataFrame, id_col: str = "case_id", empty_truth_over
                     F.col("case.termination_reason").alias("termination_reason"),
                     (F.col("case.report").isNotNull() & F.col("_valid")).alias("has_report"))
     return G.grade(meta, G.set_counts(report, truth, distr), empty_truth_overlap)
+
+
+def usage_totals(cases: DataFrame) -> DataFrame:
+    """Run usage summed over many case files, per model."""
+    u = F.col("case.usage")
+    return cases.groupBy(F.col("case.model.provider").alias("provider"), F.col("case.model.name").alias("model")) \
+        .agg(F.count(F.lit(1)).alias("n_cases"),
+             *[F.sum(F.coalesce(u[k], F.lit(0))).alias(k)
+               for k in ("llm_calls", "tool_calls", "wall_clock_s", "input_tokens", "output_tokens")])
+
+
+def case_evidence_with_context(cases: DataFrame, events: DataFrame, store_prefix: str = "",
+                               k: int = MAX_CONTEXT_LINES, id_col: str = "case_id") -> DataFrame:
+    """J4 on case files: each cited line with up to ``k`` store lines before
+    and after it. Evidence paths are relative; ``store_prefix`` + path must
+    equal the store's ``file``. One row per citation (flat, so any number
+    of cases and citations scales)."""
+    ev = case_evidence(cases, id_col).where(F.col("file").isNotNull())
+    ev = ev.withColumn("evidence_id", F.concat_ws("#", F.col(id_col).cast("string"), F.col("pos").cast("string")))
+    cited = ev.select("evidence_id", F.concat(F.lit(store_prefix), F.col("file")).alias("file"), "line")
+    ctx = G.evidence_context(cited, events, k)
+    return ev.drop("context_before", "context_after").join(ctx, "evidence_id", "left").drop("evidence_id")

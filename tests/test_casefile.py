@@ -4,8 +4,10 @@ from pyspark.sql import functions as F
 
 import casedocs
 import incident
-from logcase.operators.casefile import (attach_truth, case_evidence, case_steps, case_summary, evidence_sets,
-                                        grade_case_files, validate_cases)
+from logcase.operators.casefile import (attach_truth, case_evidence, case_evidence_with_context, case_steps,
+                                        case_summary, evidence_sets, grade_case_files, usage_totals,
+                                        validate_cases)
+from logcase.sources.ingest import ingest
 from logcase.sources.casefiles import read_cases, read_ground_truth, write_cases
 
 
@@ -74,3 +76,21 @@ def test_write_roundtrip(spark, docs):
     write_cases(cases.where(F.col("valid")), out)
     back = spark.read.text(out)
     assert back.count() == 4
+
+
+def test_usage_totals(docs):
+    cases, _ = docs
+    (r,) = usage_totals(cases.where(F.col("valid"))).collect()
+    assert (r.provider, r.model, r.n_cases, r.llm_calls, r.tool_calls) == ("mock", "scripted", 4, 28, 24)
+    assert r.input_tokens == 0 and abs(r.wall_clock_s - 4 * 40.5) < 1e-9
+
+
+def test_evidence_context_from_store(spark, docs):
+    cases, d = docs
+    incident.write(d / "logs")
+    events, _ = ingest(spark, [str(d / "logs")], fallback_ts="2000-01-01T00:00:00Z")
+    good = cases.where(F.col("case_id") == "good")
+    rows = {r.pos: r for r in case_evidence_with_context(good, events, store_prefix=str(d) + "/").collect()}
+    cfg = [r["msg"] for r in incident.lines_by_service()["config-svc"]]
+    assert rows[2].context_before == cfg[0:2] and rows[2].context_after == cfg[3:6]
+    assert rows[0].context_before == [] and rows[0].context_after == cfg[1:4]
