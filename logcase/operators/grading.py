@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logcase.plans.sizing import broadcast_if_small
+
 # The grading gates.
 OVERLAP_GATE = 0.5
 CONFIDENCE_GATE = 0.5
@@ -75,19 +77,23 @@ def grade(cases: DataFrame, counts: DataFrame, empty_truth_overlap: float = 1.0)
          & overlap_ok & distractor_ok & conf_ok).alias("passed"))
 
 
-def evidence_context(evidence: DataFrame, events: DataFrame, k: int = 3) -> DataFrame:
+def evidence_context(evidence: DataFrame, events: DataFrame, k: int = 3,
+                     broadcast_max_rows: int = 2_000_000) -> DataFrame:
     """Up to ``k`` lines before and after each cited (file, line).
 
     Each citation is exploded to its 2k neighbour positions and equi-joined to
-    the events on (file, line) -- a shuffle on a key that is unique per event,
-    so no hot key. No window over the whole log. Lists are ordered by line
-    and hold redacted messages.
+    the events on (file, line). When the wanted positions are provably few
+    (case-file citations) they are broadcast and the store is only scanned;
+    otherwise both sides shuffle on a key that is unique per event, so there
+    is no hot key. No window over the whole log. Lists are ordered by line and
+    hold redacted messages.
     evidence: (evidence_id, file, line) -> (evidence_id, context_before,
     context_after) as arrays of msg."""
     offs = F.array(*[F.lit(o) for o in list(range(-k, 0)) + list(range(1, k + 1))])
     want = evidence.select("evidence_id", "file", F.col("line").alias("cited"), F.explode(offs).alias("off")) \
         .withColumn("line", F.col("cited") + F.col("off"))
-    got = want.join(events.select("file", "line", "msg"), ["file", "line"])
+    want = broadcast_if_small(want, broadcast_max_rows if k > 0 else 0)
+    got = events.select("file", "line", "msg").join(want, ["file", "line"])
     ctx = got.groupBy("evidence_id").agg(
         F.array_sort(F.collect_list(F.when(F.col("off") < 0, F.struct("line", "msg")))).alias("b"),
         F.array_sort(F.collect_list(F.when(F.col("off") > 0, F.struct("line", "msg")))).alias("a"))
