@@ -28,3 +28,16 @@ def test_stream_equals_batch_and_counts(spark, tmp_path):
             .groupBy(F.window("ts", "1 minute").alias("w"), "service", "msg").count()
             .where(F.col("w.end") <= F.lit(last) - F.expr("INTERVAL 1 MINUTE")).collect())
     assert got == {(r.w.start, r.service, r.msg): r["count"] for r in want} and got
+
+
+def test_stream_is_incremental(spark, tmp_path):
+    logs = tmp_path / "logs"
+    incident.write(logs)
+    args = (str(logs), str(tmp_path / "sink"), str(tmp_path / "ckpt"))
+    ingest_stream(spark, *args, fallback_ts=FB).awaitTermination()
+    first = read_events(spark, str(tmp_path / "sink")).count()
+    (logs / "late.log").write_text('{"ts":"2026-03-02T09:30:00Z","service":"late","level":"error","msg":"x"}\n')
+    ingest_stream(spark, *args, fallback_ts=FB).awaitTermination()
+    after = read_events(spark, str(tmp_path / "sink"))
+    assert first == len(incident.all_rows())
+    assert after.count() == first + 1 and after.where(F.col("service") == "late").count() == 1
