@@ -24,7 +24,7 @@ from logcase.plans.sizing import broadcast_if_small, materialize
 from logcase.session import configure, ensure_checkpoint_dir
 from logcase.sources.discover import list_files, normalise_path, split_paths
 from logcase.sources.documents import unwrap_items, unwrap_path
-from logcase.sources.lines import NONBLANK, number_lines, raw_scan, split_stats
+from logcase.sources.lines import NONBLANK, number_lines, pin_split_layout, raw_scan, split_stats
 
 MAX_DOC_BYTES = 512 * 1024 * 1024   # a whole-document file larger than this is refused
 SPLIT_BROADCAST_ROWS = 500_000      # split-table rows (~100 B each + head) broadcast at most
@@ -70,6 +70,7 @@ def read_event_lines(spark: SparkSession, paths, max_doc_bytes: int = MAX_DOC_BY
     lines); document candidates are additionally read whole."""
     configure(spark)
     ensure_checkpoint_dir(spark)
+    pin_split_layout(spark)
     src = split_paths(spark, paths, missing=missing)
     listing = list_files(spark, src)
     raw = raw_scan(spark, src)

@@ -59,8 +59,21 @@ def split_stats(raw: DataFrame) -> DataFrame:
     return st.withColumn("off", F.coalesce(F.sum("n").over(w), F.lit(0)))
 
 
+def pin_split_layout(spark: SparkSession) -> None:
+    """Both scans must cut files into the same splits. Spark sizes splits
+    from the session's parallelism, which dynamic allocation may change
+    between the two jobs; fixing ``spark.sql.files.minPartitionNum`` (only
+    when unset) makes the split size depend on the data alone."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def number_lines(raw: DataFrame, stats: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """Join the split table (already sized/broadcast by the caller)."""
-    j = raw.join(stats.select("src", "file", "bs", "m0", "off", *extra), ["src", "file", "bs"])
-    return j.select("src", "file", (F.col("off") + (F.col("mid") - F.col("m0")) + 1).alias("line"), "value",
-                    *extra)
+    """Join the split table (already sized/broadcast by the caller). A split
+    the statistics do not know means the file layout changed between the two
+    scans: the job fails instead of returning wrong or missing lines."""
+    j = raw.join(stats.select("src", "file", "bs", "m0", "off", *extra), ["src", "file", "bs"], "left")
+    line = F.when(F.col("m0").isNull(),
+                  F.raise_error(F.lit("input splits changed between the statistics and the line scan"))) \
+        .otherwise(F.col("off") + (F.col("mid") - F.col("m0")) + 1)
+    return j.select("src", "file", line.cast("bigint").alias("line"), "value", *extra)

@@ -138,3 +138,17 @@ def test_caps(spark, incident_dir):
         ingest(spark, [str(incident_dir)], max_bytes=100)
     with pytest.raises(IngestCapExceeded):
         ingest(spark, [str(incident_dir)], max_rows=10)
+
+
+def test_changed_split_layout_fails_loudly(spark, tmp_path):
+    d = tmp_path / "layout"
+    d.mkdir()
+    (d / "plain.log").write_text("".join(f"row {i}\n" for i in range(1, 5001)))
+    ev, _ = ingest(spark, [str(d)], fallback_ts=FB)          # statistics: one split
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")   # line scan: many splits
+    try:
+        with pytest.raises(Exception, match="input splits changed"):
+            ev.select("line").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
