@@ -72,6 +72,14 @@ def _search(name: str) -> QueryFn:
     return run
 
 
+LITERAL_PATTERN = "VIEW K=1"
+
+
+def q_search_literal(spark: SparkSession, sf: str) -> DataFrame:
+    """Literal mode: the pattern is plain text (case-insensitive)."""
+    return _rows_ntz(Q.search(load_log_view(spark, sf), LITERAL_PATTERN, limit=10, mode="literal"))
+
+
 def q_around(spark: SparkSession, sf: str) -> DataFrame:
     return _rows_ntz(Q.around(load_log_view(spark, sf), AROUND_AT, AROUND_WINDOW_S))
 
@@ -230,6 +238,14 @@ def q_redact_documents(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", redact(F.col("line")).alias("redacted"))
 
 
+def q_document_previews(spark: SparkSession, sf: str) -> DataFrame:
+    """Q6 display cut (100 characters + ellipsis) of every redacted document."""
+    from logcase.functions.display import msg_short
+    red = q_redact_documents(spark, sf)
+    return red.select("doc_id", msg_short(F.col("redacted"), 100).alias("preview"),
+                      F.length("redacted").cast("bigint").alias("n_chars"))
+
+
 def q_redaction_audit(spark: SparkSession, sf: str) -> DataFrame:
     """Per pattern: rows still holding a secret (0) and rows with its marker."""
     red = q_redact_documents(spark, sf).select(F.col("redacted").alias("msg"))
@@ -265,6 +281,7 @@ QUERIES: dict[str, QueryFn] = {
     "service_levels": q_service_levels,
     "top_errors": q_top_errors,
     **{name: _search(name) for name in SEARCH_PATTERNS},
+    "search_literal": q_search_literal,
     "around": q_around,
     "around_service": q_around_service,
     "trace": q_trace,
@@ -280,6 +297,7 @@ QUERIES: dict[str, QueryFn] = {
     "ingest_manifest": q_ingest_manifest,
     "stream_ingest_files": q_stream_ingest_files,
     "redaction_audit": q_redaction_audit,
+    "document_previews": q_document_previews,
 }
 
 _SHAPE_FORMAT = {"splunk_wrapped": "splunk", "splunk_flat": "splunk", "datadog": "datadog",
@@ -405,6 +423,9 @@ ORACLE_SQL: dict[str, str] = {
         "WHERE level IN ('error', 'warn') GROUP BY service, level, msg "
         "ORDER BY n DESC, service, level, msg LIMIT 20"),
     **{name: with_log_view(_like_sql(p)) for name, p in SEARCH_PATTERNS.items()},
+    "search_literal": with_log_view(
+        f"SELECT {ROWS} FROM log_events WHERE contains(lower(msg), lower('{LITERAL_PATTERN}')) "
+        f"OR contains(lower(raw), lower('{LITERAL_PATTERN}')) ORDER BY ts, file, line LIMIT 10"),
     "around": with_log_view(_around_sql(None)),
     "around_service": with_log_view(_around_sql(AROUND_SERVICE)),
     "trace": with_log_view(_trace_sql(TRACE_ID)),
@@ -429,6 +450,10 @@ ORACLE_SQL: dict[str, str] = {
     "redaction_audit": _audit_sql(),
 }
 ORACLE_SQL["stream_ingest_files"] = ORACLE_SQL["ingest_files"]
+ORACLE_SQL["document_previews"] = (
+    f"WITH inj AS ({_INJECTED_SQL}), red AS (SELECT doc_id, {_redact_sql('line')} AS redacted FROM inj) "
+    "SELECT doc_id, CASE WHEN length(redacted) > 100 THEN substr(redacted, 1, 100) || '…' ELSE redacted END "
+    "AS preview, CAST(length(redacted) AS BIGINT) AS n_chars FROM red")
 
 
 # Extra registered queries timed by bench.py.
