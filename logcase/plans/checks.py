@@ -238,6 +238,13 @@ def q_redact_documents(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", redact(F.col("line")).alias("redacted"))
 
 
+def q_error_counts_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """ST2's windowed error/warn counts (1-hour windows) on the whole log view."""
+    from logcase.streaming import error_counts_stream
+    out = error_counts_stream(load_log_view(spark, sf), window="1 hour", watermark="1 hour")
+    return ntz(out.withColumn("n", F.col("n").cast("bigint")), "window_start", "window_end")
+
+
 def q_document_previews(spark: SparkSession, sf: str) -> DataFrame:
     """Q6 display cut (100 characters + ellipsis) of every redacted document."""
     from logcase.functions.display import msg_short
@@ -298,6 +305,7 @@ QUERIES: dict[str, QueryFn] = {
     "stream_ingest_files": q_stream_ingest_files,
     "redaction_audit": q_redaction_audit,
     "document_previews": q_document_previews,
+    "error_counts_windows": q_error_counts_windows,
 }
 
 _SHAPE_FORMAT = {"splunk_wrapped": "splunk", "splunk_flat": "splunk", "datadog": "datadog",
@@ -450,6 +458,10 @@ ORACLE_SQL: dict[str, str] = {
     "redaction_audit": _audit_sql(),
 }
 ORACLE_SQL["stream_ingest_files"] = ORACLE_SQL["ingest_files"]
+ORACLE_SQL["error_counts_windows"] = with_log_view(
+    "SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, "
+    "service, level, msg, CAST(count(*) AS BIGINT) AS n FROM log_events WHERE level IN ('error', 'warn') "
+    "GROUP BY ALL")
 ORACLE_SQL["document_previews"] = (
     f"WITH inj AS ({_INJECTED_SQL}), red AS (SELECT doc_id, {_redact_sql('line')} AS redacted FROM inj) "
     "SELECT doc_id, CASE WHEN length(redacted) > 100 THEN substr(redacted, 1, 100) || '…' ELSE redacted END "
