@@ -96,11 +96,18 @@ def read_event_lines(spark: SparkSession, paths, max_doc_bytes: int = MAX_DOC_BY
 
 def ingest(spark: SparkSession, paths, fallback_ts: dt.datetime | str | Column | None = None,
            patterns: tuple[SecretPattern, ...] = SECRET_PATTERNS, max_bytes: int | None = None,
-           max_rows: int | None = None, max_doc_bytes: int = MAX_DOC_BYTES) -> tuple[DataFrame, DataFrame]:
+           max_rows: int | None = None, max_doc_bytes: int = MAX_DOC_BYTES,
+           rebalance: bool = False) -> tuple[DataFrame, DataFrame]:
     """Events DataFrame (store schema + trace_id, request_id, format,
     ts_source) and the file listing. ``max_bytes``/``max_rows`` are optional
-    caps (strictly greater raises ``IngestCapExceeded``)."""
+    caps (strictly greater raises ``IngestCapExceeded``).
+
+    ``rebalance=True`` redistributes the numbered lines before parsing (an
+    AQE rebalance, which also splits skewed partitions): worth a shuffle when
+    a few large gzip files -- one task each -- hold much of the input."""
     lines, listing = read_event_lines(spark, paths, max_doc_bytes=max_doc_bytes)
+    if rebalance:
+        lines = lines.hint("rebalance")
     if max_bytes is not None:
         total = listing.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
         if total > max_bytes:

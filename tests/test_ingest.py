@@ -133,6 +133,13 @@ def test_line_numbers_across_many_splits(spark, tmp_path):
     assert total == n - n // 97
 
 
+def test_rebalance_same_rows(spark, store, incident_dir):
+    ev, _ = store
+    again, _ = ingest(spark, [str(incident_dir)], fallback_ts=FB, rebalance=True)
+    cols = ["file", "line", "ts", "service", "level", "msg", "raw"]
+    assert sorted(map(tuple, again.select(*cols).collect())) == sorted(map(tuple, ev.select(*cols).collect()))
+
+
 def test_caps(spark, incident_dir):
     with pytest.raises(IngestCapExceeded):
         ingest(spark, [str(incident_dir)], max_bytes=100)
