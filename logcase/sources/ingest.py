@@ -17,7 +17,6 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logcase.functions.jsonvals import strict_value
 from logcase.functions.redact import SECRET_PATTERNS, SecretPattern
 from logcase.operators.parse import parse_lines
 from logcase.plans.sizing import broadcast_if_small, materialize
@@ -34,21 +33,17 @@ class IngestCapExceeded(Exception):
     """Raised when an optional byte or row cap is exceeded."""
 
 
-def _lead_char(text: Column) -> Column:
-    return F.regexp_extract(text, r"^(?U)\s*(\S)", 1)
-
-
 def file_modes(stats: DataFrame) -> DataFrame:
     """Per split row, the file-level mode: 'lines', or 'doc' when the file may
-    be one JSON document (first non-white char ``[``/``{`` and either a single
-    non-blank line or a first line that is not complete JSON by itself)."""
+    be one JSON document (its first non-blank line opens ``[``/``{`` and either
+    it is the only non-blank line or it is not complete JSON by itself)."""
+    first_split = F.when(F.col("nb") > 0, F.col("bs"))
     per_file = stats.groupBy("src", "file").agg(
         F.sum("nb").alias("file_nb"),
-        F.min_by("first", F.when(F.col("nb") > 0, F.col("bs"))).alias("file_first"))
-    head, length = F.col("file_first.head"), F.col("file_first.len")
-    starts = F.coalesce(_lead_char(head).isin("[", "{"), F.lit(False))
-    complete = (F.length(head) == length) & strict_value(head).isNotNull()
-    mode = F.when(starts & ((F.col("file_nb") == 1) | ~complete), "doc").otherwise("lines")
+        F.min_by("first_open", first_split).alias("file_open"),
+        F.min_by("first_complete", first_split).alias("file_complete"))
+    mode = F.when((F.col("file_open") == 1) & ((F.col("file_nb") == 1) | (F.col("file_complete") == 0)), "doc") \
+        .otherwise("lines")
     return stats.join(per_file.select("src", "file", mode.alias("mode")), ["src", "file"])
 
 

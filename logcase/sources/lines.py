@@ -10,18 +10,22 @@ Line numbers are computed without moving raw rows:
    ``line = first_line + (id - min_id) + 1``.
 
 Gzip files are one split each. Blank lines are numbered, then dropped.
-Per split the first non-blank line's head and length are kept too: they let
-the document rules decide most files without reading them whole.
+Per split the first non-blank line's shape is kept too (does it open with
+``[``/``{``, is it one complete JSON value): it lets the document rules decide
+most files without reading them whole. Only fixed-width values enter the
+aggregate, so it stays a hash aggregate (a string buffer would make Spark sort
+every raw line).
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from logcase.functions.jsonvals import strict_value
 from logcase.sources.discover import LOG_GLOB, LogSources, normalise_path
 
 NONBLANK = r"(?U)\S"          # Python str.strip() removes Unicode white space
-HEAD_CHARS = 1 << 20          # first-line prefix kept per split for document rules
+OPENS_JSON = r"^(?U)\s*[\[{]"  # first non-white character starts a list or object
 
 
 def raw_scan(spark: SparkSession, src: LogSources) -> DataFrame:
@@ -45,15 +49,21 @@ def raw_scan(spark: SparkSession, src: LogSources) -> DataFrame:
 
 
 def split_stats(raw: DataFrame) -> DataFrame:
-    """One row per split: rows, first id, non-blank rows, head and length of
-    the first non-blank line, and the split's first line number."""
+    """One row per split: rows, first id, non-blank rows, whether its first
+    non-blank line opens a JSON list/object (``first_open``) and is one
+    complete JSON value (``first_complete``), and the split's first line
+    number (``off``). The JSON verdict is only computed for lines that open
+    with ``[``/``{``."""
     nb = F.col("value").rlike(NONBLANK)
+    opens = F.col("value").rlike(OPENS_JSON)
+    complete = F.when(opens, strict_value(F.col("value")).isNotNull()).otherwise(F.lit(False))
+    first = F.when(nb, F.col("mid"))
     st = raw.groupBy("src", "file", "bs").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("mid").alias("m0"),
         F.count_if(nb).alias("nb"),
-        F.min_by(F.struct(F.substring("value", 1, HEAD_CHARS).alias("head"), F.length("value").alias("len")),
-                 F.when(nb, F.col("mid"))).alias("first"),
+        F.min_by(opens.cast("int"), first).alias("first_open"),
+        F.min_by(complete.cast("int"), first).alias("first_complete"),
     )
     w = Window.partitionBy("src", "file").orderBy("bs").rowsBetween(Window.unboundedPreceding, -1)
     return st.withColumn("off", F.coalesce(F.sum("n").over(w), F.lit(0)))

@@ -159,3 +159,14 @@ def test_changed_split_layout_fails_loudly(spark, tmp_path):
             ev.select("line").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_document_after_blank_lines(spark, tmp_path):
+    d = tmp_path / "blankdoc"
+    d.mkdir()
+    ev1 = {"ts": "2026-04-17T02:58:04Z", "service": "a", "msg": "one"}
+    (d / "lead.log").write_text("\n  \n" + json.dumps([ev1, ev1]) + "\n\n")
+    (d / "tail.log").write_text(json.dumps(ev1) + "\n" + "[\n")          # complete first line, then junk
+    ev, _ = ingest(spark, [str(d)], fallback_ts=FB)
+    got = sorted((r.file.rsplit("/", 1)[1], r.line, r.msg) for r in ev.collect())
+    assert got == [("lead.log", 1, "one"), ("lead.log", 2, "one"), ("tail.log", 1, "one"), ("tail.log", 2, "[")]
