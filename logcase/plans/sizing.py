@@ -13,10 +13,22 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of the optimised plan (no job runs). Without
+    cost-based statistics filters do not shrink it, so it errs high."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int, max_estimated_bytes: int = 1 << 30) -> DataFrame:
     """Mark ``df`` for broadcast only when its row count is proven to be at
-    most ``max_rows``; otherwise leave the join strategy to Catalyst/AQE."""
-    if max_rows > 0 and row_count_at_most(df, max_rows):
+    most ``max_rows``; otherwise leave the join strategy to Catalyst/AQE
+    (which may still broadcast at run time from measured shuffle sizes).
+    The proof is a ``limit(max_rows + 1).count()`` job; it is skipped when the
+    plan's size estimate already exceeds ``max_estimated_bytes``, so an
+    obviously large side costs no extra pass."""
+    if max_rows <= 0 or estimated_bytes(df) > max_estimated_bytes:
+        return df
+    if row_count_at_most(df, max_rows):
         return F.broadcast(df)
     return df
 

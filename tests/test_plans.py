@@ -20,6 +20,11 @@ def test_broadcast_guard(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_broadcast_guard_skips_count_for_large_estimates(spark):
+    big = spark.range(10_000_000)
+    assert broadcast_if_small(big, 10, max_estimated_bytes=1000) is big    # no count job needed
+
+
 def test_top_errors_partial_aggregation(spark):
     ev = spark.createDataFrame([("a", "error", "m", i) for i in range(50)], "service string, level string, msg string, line long")
     plan = Q.top_errors(ev, 5)._jdf.queryExecution().executedPlan().toString()
