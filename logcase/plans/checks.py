@@ -245,6 +245,49 @@ def q_error_counts_windows(spark: SparkSession, sf: str) -> DataFrame:
     return ntz(out.withColumn("n", F.col("n").cast("bigint")), "window_start", "window_end")
 
 
+def _case_doc() -> "F.Column":
+    """One case-file document per log-view row. Info rows cite an unknown tool
+    and values above 100 give a confidence above 1: both must be reported."""
+    iso = LB.iso_text(F.col("ts"))
+    tool = F.when(F.col("level") == "error", "search").when(F.col("level") == "warn", "trace").otherwise("bogus_tool")
+    evidence = F.struct(F.col("event_id").cast("string").alias("event_id"), F.col("file").alias("file"),
+                        F.col("line").alias("line"), iso.alias("ts"), F.col("service").alias("service"),
+                        F.col("level").alias("level"), F.col("msg").alias("text_redacted"), F.lit("cited").alias("why"),
+                        (F.col("level") == "error").alias("is_key"))
+    doc = F.struct(
+        F.lit("0.1").alias("version"), F.concat(F.lit("why "), F.col("msg")).alias("question"),
+        F.struct(F.lit("mock").alias("provider"), F.col("service").alias("name")).alias("model"),
+        F.struct(F.array(F.struct(F.col("file").alias("path"), (F.col("line") * 100).alias("bytes"),
+                                  F.col("line").alias("rows"), F.md5(F.col("raw")).alias("sha256"))).alias("files"),
+                 F.struct(iso.alias("start"), iso.alias("end")).alias("time_window"),
+                 F.col("line").alias("total_rows")).alias("logs_manifest"),
+        F.array(F.struct(F.lit(1).alias("step"), tool.alias("tool"),
+                         F.struct(F.col("msg").alias("pattern")).alias("args"),
+                         F.col("line").alias("elapsed_ms"))).alias("trajectory"),
+        F.struct(F.col("msg").alias("root_cause"), F.col("service").alias("blast_radius"),
+                 F.array(evidence).alias("evidence"), F.lit("fix").alias("remediation"),
+                 (F.col("value") / 100.0).alias("confidence"), F.lit("derived").alias("confidence_rationale"))
+         .alias("report"),
+        F.lit("submitted").alias("termination_reason"))
+    return F.to_json(doc)
+
+
+def q_case_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Case-file documents built from the events: parse, validate, summarise."""
+    from logcase.operators.casefile import case_summary, parse_cases, validate_cases
+    configure(spark)
+    ev = load_table(spark, sf, "events").select("event_id", "value")
+    view = load_log_view(spark, sf).join(ev, "event_id")
+    docs = view.select(F.col("event_id").alias("case_id"), _case_doc().alias("text"))
+    cases = validate_cases(parse_cases(docs))
+    summ = case_summary(cases)
+    return cases.select("case_id", "valid", F.array_join("violations", ",").alias("violations")).join(
+        summ.select("case_id", "sealed", F.col("n_steps").cast("bigint").alias("n_steps"), "confidence",
+                    F.col("confidence_pct").cast("bigint").alias("confidence_pct"), "confidence_band",
+                    F.col("n_key_evidence").cast("bigint").alias("n_key_evidence"),
+                    F.col("n_evidence").cast("bigint").alias("n_evidence"), "blast_radius_type"), "case_id")
+
+
 def q_document_previews(spark: SparkSession, sf: str) -> DataFrame:
     """Q6 display cut (100 characters + ellipsis) of every redacted document."""
     from logcase.functions.display import msg_short
@@ -306,6 +349,7 @@ QUERIES: dict[str, QueryFn] = {
     "redaction_audit": q_redaction_audit,
     "document_previews": q_document_previews,
     "error_counts_windows": q_error_counts_windows,
+    "case_files": q_case_files,
 }
 
 _SHAPE_FORMAT = {"splunk_wrapped": "splunk", "splunk_flat": "splunk", "datadog": "datadog",
@@ -462,6 +506,18 @@ ORACLE_SQL["error_counts_windows"] = with_log_view(
     "SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, "
     "service, level, msg, CAST(count(*) AS BIGINT) AS n FROM log_events WHERE level IN ('error', 'warn') "
     "GROUP BY ALL")
+ORACLE_SQL["case_files"] = with_log_view("""
+SELECT l.event_id AS case_id,
+  NOT (e.value / 100.0 > 1 OR l.level NOT IN ('error', 'warn')) AS valid,
+  concat_ws(',', CASE WHEN e.value / 100.0 > 1 THEN 'range:report.confidence' END,
+                 CASE WHEN l.level NOT IN ('error', 'warn') THEN 'enum:trajectory[0].tool=bogus_tool' END) AS violations,
+  true AS sealed, CAST(1 AS BIGINT) AS n_steps, e.value / 100.0 AS confidence,
+  CAST(round(e.value / 100.0 * 100) AS BIGINT) AS confidence_pct,
+  CASE WHEN e.value / 100.0 >= 0.8 THEN 'ok' WHEN e.value / 100.0 >= 0.5 THEN 'warn' ELSE 'err' END AS confidence_band,
+  CAST(CASE WHEN l.level = 'error' THEN 1 ELSE 0 END AS BIGINT) AS n_key_evidence, CAST(1 AS BIGINT) AS n_evidence,
+  'STRING' AS blast_radius_type
+FROM log_events l JOIN events e USING (event_id)
+""")
 ORACLE_SQL["document_previews"] = (
     f"WITH inj AS ({_INJECTED_SQL}), red AS (SELECT doc_id, {_redact_sql('line')} AS redacted FROM inj) "
     "SELECT doc_id, CASE WHEN length(redacted) > 100 THEN substr(redacted, 1, 100) || '…' ELSE redacted END "
