@@ -19,14 +19,14 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import functions as F  # noqa: E402
-
 from logcase import get_session, scratch_dir  # noqa: E402
 from logcase.operators import queries as Q  # noqa: E402
+from logcase.operators.parse import parse_lines  # noqa: E402
 from logcase.plans import checks  # noqa: E402
 from logcase.plans import linebuild as LB  # noqa: E402
 from logcase.plans.logfiles import write_log_files  # noqa: E402
 from logcase.plans.logview import load_log_view  # noqa: E402
+from logcase.plans.sizing import spread  # noqa: E402
 from logcase.sources.ingest import ingest  # noqa: E402
 from logcase.sources.store import read_events, write_events  # noqa: E402
 
@@ -55,12 +55,12 @@ def main() -> None:
     warm_dir = os.environ.get("BENCH_WARMUP_SF_DIR", "/root/testdata/sf0.001")
     if os.path.isdir(warm_dir):
         wv = load_log_view(spark, warm_dir)
-        wlogs = write_log_files(wv, LB.mixed_line(checks._bearer_msg()), "bench-warmup")
+        wlogs = write_log_files(wv, LB.mixed_line(checks.bearer_msg()), "bench-warmup")
         wev, _ = ingest(spark, [wlogs], fallback_ts=checks.FALLBACK_TS)
         write_events(wev, scratch_dir(spark, "bench-warmup-store"), mode="overwrite")
 
     view = load_log_view(spark, sf_dir)
-    logs = write_log_files(view, LB.mixed_line(checks._bearer_msg()), "bench-logs")
+    logs = write_log_files(view, LB.mixed_line(checks.bearer_msg()), "bench-logs")
     store = scratch_dir(spark, "bench-store")
 
     def do_ingest():
@@ -70,8 +70,7 @@ def main() -> None:
     ev = read_events(spark, store)
     rows["events"] = ev.count()
 
-    lines = checks.spread(view.select("event_id", LB.mixed_line(checks._bearer_msg()).alias("value")))
-    from logcase.operators.parse import parse_lines
+    lines = spread(view.select("event_id", LB.mixed_line(checks.bearer_msg()).alias("value")))
     timed("parse_redact_lines", lambda: run(parse_lines(lines, fallback_ts=checks.FALLBACK_TS)))
     timed("redact_documents", lambda: run(checks.q_redact_documents(spark, sf_dir)))
     timed("schema", lambda: Q.describe(ev).collect())

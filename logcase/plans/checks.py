@@ -108,7 +108,7 @@ def _parse_shape(shape: str) -> QueryFn:
     return run
 
 
-def _bearer_msg() -> "F.Column":
+def bearer_msg() -> "F.Column":
     """msg with an opaque bearer token appended (built from the row)."""
     return F.concat(F.col("msg"), F.lit(" auth=Bearer "), F.md5(F.col("raw")))
 
@@ -116,13 +116,13 @@ def _bearer_msg() -> "F.Column":
 def q_parse_mixed_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """All shapes in one column, every message carrying a bearer token."""
     view = load_log_view(spark, sf)
-    lines = spread(view.select("event_id", LB.mixed_line(_bearer_msg()).alias("value")))
+    lines = spread(view.select("event_id", LB.mixed_line(bearer_msg()).alias("value")))
     return _rows_ntz(parse_lines(lines, fallback_ts=FALLBACK_TS).select(*PARSED))
 
 
 def _ingested(spark: SparkSession, sf: str):
     view = load_log_view(spark, sf)
-    path = write_log_files(view, LB.mixed_line(_bearer_msg()), "logs")
+    path = write_log_files(view, LB.mixed_line(bearer_msg()), "logs")
     return ingest(spark, [path], fallback_ts=FALLBACK_TS)
 
 
@@ -137,7 +137,7 @@ def q_stream_ingest_files(spark: SparkSession, sf: str) -> DataFrame:
     """Same files as ``ingest_files``, ingested by the file stream (ST1)."""
     from logcase.streaming import ingest_stream
     view = load_log_view(spark, sf)
-    path = write_log_files(view, LB.mixed_line(_bearer_msg()), "stream-logs")
+    path = write_log_files(view, LB.mixed_line(bearer_msg()), "stream-logs")
     sink, ckpt = scratch_dir(spark, "stream-sink"), scratch_dir(spark, "stream-ckpt")
     q = ingest_stream(spark, path, sink, ckpt, fallback_ts=FALLBACK_TS, available_now=True)
     q.awaitTermination()
