@@ -117,8 +117,12 @@ def ingest(spark: SparkSession, paths, fallback_ts: dt.datetime | str | Column |
 def manifest(events: DataFrame, listing: DataFrame, with_sha256: bool = False,
              spark: SparkSession | None = None) -> tuple[DataFrame, DataFrame]:
     """Per-file rows, time range (files with 0 rows stay), optional
-    sha256 of the file bytes; and a one-row total. Raises ``ValueError``
-    when no rows were ingested at all."""
+    sha256 of the file bytes; and a one-row total (``require_rows`` raises
+    ``ValueError`` when no rows were ingested at all).
+
+    Pass the written store (``read_events``) rather than the lazy ``ingest``
+    result when both are needed: on the lazy result the aggregation would run
+    the whole parse a second time."""
     per = events.groupBy("file").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("ts_min"),
                                      F.max("ts").alias("ts_max"))
     files = listing.join(per.withColumnRenamed("file", "path"), "path", "left").select(
