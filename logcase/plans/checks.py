@@ -272,14 +272,35 @@ def _case_doc() -> "F.Column":
     return F.to_json(doc)
 
 
-def q_case_files(spark: SparkSession, sf: str) -> DataFrame:
-    """Case-file documents built from the events: parse, validate, summarise."""
-    from logcase.operators.casefile import case_summary, parse_cases, validate_cases
+def _case_files(spark: SparkSession, sf: str) -> DataFrame:
+    from logcase.operators.casefile import parse_cases, validate_cases
     configure(spark)
     ev = load_table(spark, sf, "events").select("event_id", "value")
     view = load_log_view(spark, sf).join(ev, "event_id")
     docs = view.select(F.col("event_id").alias("case_id"), _case_doc().alias("text"))
-    cases = validate_cases(parse_cases(docs))
+    return validate_cases(parse_cases(docs))
+
+
+def q_case_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """V3 replay rows (with the args preview) of the per-event case files."""
+    from logcase.operators.casefile import case_steps
+    st = case_steps(_case_files(spark, sf))
+    return st.select("case_id", F.col("pos").cast("bigint").alias("pos"), "step", "tool", "args_preview",
+                     "elapsed_ms")
+
+
+def q_case_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """V4 evidence rows of the per-event case files."""
+    from logcase.operators.casefile import case_evidence
+    e = case_evidence(_case_files(spark, sf))
+    return ntz(e.select("case_id", "event_id", "file", "line", "ts", "service", "level", "text_redacted",
+                        "is_key", F.size("context_before").cast("bigint").alias("n_before")), "ts")
+
+
+def q_case_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Case-file documents built from the events: parse, validate, summarise."""
+    from logcase.operators.casefile import case_summary
+    cases = _case_files(spark, sf)
     summ = case_summary(cases)
     return cases.select("case_id", "valid", F.array_join("violations", ",").alias("violations")).join(
         summ.select("case_id", "sealed", F.col("n_steps").cast("bigint").alias("n_steps"), "confidence",
@@ -350,6 +371,8 @@ QUERIES: dict[str, QueryFn] = {
     "document_previews": q_document_previews,
     "error_counts_windows": q_error_counts_windows,
     "case_files": q_case_files,
+    "case_steps": q_case_steps,
+    "case_evidence": q_case_evidence,
 }
 
 _SHAPE_FORMAT = {"splunk_wrapped": "splunk", "splunk_flat": "splunk", "datadog": "datadog",
@@ -518,6 +541,13 @@ SELECT l.event_id AS case_id,
   'STRING' AS blast_radius_type
 FROM log_events l JOIN events e USING (event_id)
 """)
+ORACLE_SQL["case_steps"] = with_log_view(
+    "SELECT event_id AS case_id, CAST(0 AS BIGINT) AS pos, CAST(1 AS BIGINT) AS step, "
+    "CASE level WHEN 'error' THEN 'search' WHEN 'warn' THEN 'trace' ELSE 'bogus_tool' END AS tool, "
+    "'pattern=' || msg AS args_preview, line AS elapsed_ms FROM log_events")
+ORACLE_SQL["case_evidence"] = with_log_view(
+    "SELECT event_id AS case_id, CAST(event_id AS VARCHAR) AS event_id, file, line, ts, service, level, "
+    "msg AS text_redacted, level = 'error' AS is_key, CAST(0 AS BIGINT) AS n_before FROM log_events")
 ORACLE_SQL["document_previews"] = (
     f"WITH inj AS ({_INJECTED_SQL}), red AS (SELECT doc_id, {_redact_sql('line')} AS redacted FROM inj) "
     "SELECT doc_id, CASE WHEN length(redacted) > 100 THEN substr(redacted, 1, 100) || '…' ELSE redacted END "
