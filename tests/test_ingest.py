@@ -170,3 +170,19 @@ def test_document_after_blank_lines(spark, tmp_path):
     ev, _ = ingest(spark, [str(d)], fallback_ts=FB)
     got = sorted((r.file.rsplit("/", 1)[1], r.line, r.msg) for r in ev.collect())
     assert got == [("lead.log", 1, "one"), ("lead.log", 2, "one"), ("tail.log", 1, "one"), ("tail.log", 2, "[")]
+
+
+def test_manifest_sha256_and_range_layout(spark, store, incident_dir, tmp_path):
+    import hashlib
+
+    from logcase.sources.store import read_events, write_events
+    ev, listing = store
+    files, _ = manifest(ev, listing, with_sha256=True, spark=spark)
+    for r in files.collect():
+        with open(r.path, "rb") as f:
+            assert r.sha256 == hashlib.sha256(f.read()).hexdigest()
+    write_events(ev, str(tmp_path / "ranged"), mode="overwrite", layout="range", partitions=3)
+    back = read_events(spark, str(tmp_path / "ranged"))
+    cols = ["file", "line", "ts", "service", "level", "msg"]
+    assert sorted(map(tuple, back.select(*cols).collect())) == sorted(map(tuple, ev.select(*cols).collect()))
+    assert "event_date" in back.columns
