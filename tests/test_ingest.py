@@ -186,3 +186,15 @@ def test_manifest_sha256_and_range_layout(spark, store, incident_dir, tmp_path):
     cols = ["file", "line", "ts", "service", "level", "msg"]
     assert sorted(map(tuple, back.select(*cols).collect())) == sorted(map(tuple, ev.select(*cols).collect()))
     assert "event_date" in back.columns
+
+
+def test_no_rows_raises(spark, tmp_path):
+    from logcase.sources.ingest import require_rows
+    d = tmp_path / "blank"
+    d.mkdir()
+    (d / "only-blank.log").write_text("\n \n\t\n")
+    ev, listing = ingest(spark, [str(d)], fallback_ts=FB)
+    files, totals = manifest(ev, listing)
+    assert [r.rows for r in files.collect()] == [0]
+    with pytest.raises(ValueError, match="no rows"):
+        require_rows(totals)

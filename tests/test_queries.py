@@ -85,3 +85,9 @@ def test_set_forms(spark, ev):
 def test_msg_short(ev):
     df = Q.with_msg_short(ev.select("msg").limit(1).withColumn("msg", F.lit("x" * 70)), "top_errors")
     assert df.first().msg_short == "x" * 60 + "…"
+
+
+def test_describe_empty(spark, ev):
+    r = Q.describe(ev.limit(0)).first()
+    assert (r.services, r.levels, r.ts_min, r.ts_max, r.n_rows) == ([], [], None, None, 0)
+    assert Q.top_errors(ev.limit(0)).count() == 0
