@@ -119,7 +119,8 @@ def trace_predicate(events: DataFrame, trace_id: str) -> Column:
         tid, rid = F.col("trace_id"), F.col("request_id")
     else:
         tid, rid = F.get_json_object("raw", "$.trace_id"), F.get_json_object("raw", "$.request_id")
-    return F.coalesce(tid == trace_id, F.lit(False)) | F.coalesce(rid == trace_id, F.lit(False))
+    # plain equalities (null counts as false in a filter) so that Parquet gets them
+    return (tid == trace_id) | (rid == trace_id)
 
 
 def trace(events: DataFrame, trace_id: str) -> DataFrame:

@@ -91,3 +91,11 @@ def test_describe_empty(spark, ev):
     r = Q.describe(ev.limit(0)).first()
     assert (r.services, r.levels, r.ts_min, r.ts_max, r.n_rows) == ([], [], None, None, 0)
     assert Q.top_errors(ev.limit(0)).count() == 0
+
+
+def test_trace_pushes_ids_to_parquet(spark, ev):
+    fresh = spark.read.option("mergeSchema", "false").parquet(STORE[0])
+    plan = Q.trace(fresh, "tr_0007")._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters:"):].split("]")[0]
+    print(pushed)
+    assert "EqualTo(trace_id,tr_0007)" in pushed and "EqualTo(request_id,tr_0007)" in pushed
