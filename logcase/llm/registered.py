@@ -1,13 +1,16 @@
 """The thin queries of this subpackage over the test tables, and their SQL."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logcase.llm import line_dedup, quality_model, quality_rules, url_rules
+from logcase.llm import bpe_chunks, decontaminate, line_dedup, quality_model, quality_rules, url_rules
 from logcase.llm.common import fold, table
 from logcase.session import configure
 
+VOCABULARY = "byte_bpe_50k.json"
+
 
 def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
@@ -17,12 +20,22 @@ def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(stats, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return bpe_chunks.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     out = url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), ("page_id",))
@@ -36,5 +49,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_discriminant, op5_line_dedup, op8_url_rules, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_quality_discriminant, op4_benchmark_leaks, op5_line_dedup, op6_bpe_chunks, op8_url_rules, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
