@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logcase.llm import bpe_chunks, decontaminate, line_dedup, quality_model, quality_rules, url_rules
+from logcase.llm import bpe_chunks, decontaminate, line_dedup, near_dup, quality_model, quality_rules, url_rules
 from logcase.llm.common import fold, table
 from logcase.session import configure
 
@@ -43,11 +43,16 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(~F.col("site"), F.col("rule")).alias("pattern_rule"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return quality_rules.measures(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_discriminant, op4_benchmark_leaks, op5_line_dedup, op6_bpe_chunks, op8_url_rules, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_quality_discriminant, op4_benchmark_leaks, op5_line_dedup, op6_bpe_chunks, op8_url_rules, op9_near_duplicates, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
