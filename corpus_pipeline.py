@@ -7,9 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from logcase.llm import line_dedup, quality_rules
+from logcase.llm import bpe_chunks, decontaminate, line_dedup, near_dup, quality_rules
+from logcase.llm.common import table
+from logcase.llm.registered import VOCABULARY
 from logcase.plans.sizing import materialize
 from logcase.session import configure
 
@@ -24,9 +27,27 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return line_dedup.clean_documents(docs)
 
 
+def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return near_dup.drop_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return bpe_chunks.token_counts(docs, public_tokenizers.path(VOCABULARY))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", quality_rules_stage),
     ("line dedup", line_dedup_stage),
+    ("near duplicates", near_duplicates_stage),
+    ("benchmark decontamination", decontamination_stage),
+    ("byte-pair encoding", encoding_stage),
 ]
 
 #: Byte-pair encoding has no SQL form; the stages are tested against brute force instead.

@@ -5,13 +5,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logcase.llm import bpe_chunks, decontaminate, line_dedup, near_dup, quality_model, quality_rules, url_rules
+from logcase.llm import bpe_chunks, chat_snapshots, decontaminate, line_dedup, near_dup, quality_model, quality_rules, secret_scan, toxicity, url_rules
 from logcase.llm.common import fold, table
 from logcase.session import configure
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return chat_snapshots.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     stats = quality_model.measured(table(spark, sf_dir, "documents"))
@@ -20,6 +25,16 @@ def op2_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score(stats, model).select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", "predicted")
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), ("doc_id",))
+    kinds = [k for k, *_ in secret_scan.BASE]
+    number = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(kinds))
+    return found.select("doc_id", *map(number, kinds), F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"),
+                        secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     return decontaminate.leak_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -36,6 +51,14 @@ def op6_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_chunks.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
+def op7_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label")).where(fold(F.col("doc_id"), 4) != 2)
+    return toxicity.score(docs, toxicity.fit(docs, labels)).select(
+        "doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score", "predicted")
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     out = url_rules.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), ("page_id",))
@@ -54,5 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_discriminant, op4_benchmark_leaks, op5_line_dedup, op6_bpe_chunks, op8_url_rules, op9_near_duplicates, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op1_chat_snapshots, op2_quality_discriminant, op3_secret_scan, op4_benchmark_leaks, op5_line_dedup, op6_bpe_chunks,
+    op7_toxicity_grammar, op8_url_rules, op9_near_duplicates, op10_quality_rules)}
 ORACLE_SQL: dict[str, str] = {}
