@@ -7,13 +7,13 @@ from pathlib import Path
 
 import incident
 
-INCIDENT_ID = "pricing-flag-2026-03-02"
+INCIDENT_ID = "archive-volume-2025-11-09"
 
 
 def evidence(eid: str, line: int, key: bool = True, **extra) -> dict:
-    e = {"event_id": eid, "file": "logs/config-svc.log.jsonl", "line": line, "ts": "2026-03-02T09:14:00Z",
-         "service": "config-svc", "level": "info", "text_redacted": "flag pricing-v2 set to false",
-         "context_before": ["config diff staged"], "context_after": [], "why": "trigger", "is_key": key}
+    e = {"event_id": eid, "file": "logs/archiver.log.jsonl", "line": line, "ts": "2025-11-09T01:12:30Z",
+         "service": "archiver", "level": "error", "text_redacted": "write of segment 318 stopped, no space",
+         "context_before": ["volume nearly full"], "context_after": [], "why": "the volume was full", "is_key": key}
     e.update(extra)
     return e
 
@@ -21,22 +21,22 @@ def evidence(eid: str, line: int, key: bool = True, **extra) -> dict:
 def good_case() -> dict:
     steps = [{"step": i + 1, "tool": t, "args": a, "stdout_excerpt": "ok", "elapsed_ms": 10 * (i + 1)}
              for i, (t, a) in enumerate([("schema", {}), ("top_errors", {"limit": 5}),
-                                         ("search", {"pattern": "410"}), ("around", {"ts": "2026-03-02T09:14:00Z"}),
-                                         ("trace", {"trace_id": "tr_0007"}), ("submit_incident_report", {})])]
+                                         ("search", {"pattern": "318"}), ("around", {"ts": "2025-11-09T01:12:30Z"}),
+                                         ("trace", {"trace_id": "run-31"}), ("submit_incident_report", {})])]
     return {
-        "version": "0.1", "question": "why did checkout fail after 09:14?",
+        "version": "0.1", "question": "why are the reports old since 01:17?",
         "model": {"provider": "mock", "name": "scripted"},
-        "logs_manifest": {"files": [{"path": "logs/config-svc.log.jsonl", "bytes": 1200, "rows": 10,
+        "logs_manifest": {"files": [{"path": "logs/archiver.log.jsonl", "bytes": 960, "rows": 8,
                                      "sha256": "ab" * 32}],
-                          "time_window": {"start": "2026-03-02T09:10:00Z", "end": "2026-03-02T09:26:00Z"},
-                          "total_rows": 54},
+                          "time_window": {"start": "2025-11-09T01:00:00Z", "end": "2025-11-09T01:25:00Z"},
+                          "total_rows": 33},
         "trajectory": steps,
-        "report": {"root_cause": "pricing-v2 flag disabled", "blast_radius": "checkout for 12 minutes",
-                   "evidence": [evidence(e, i + 1) for i, e in enumerate(incident.ROOT_CAUSE_IDS[:4])]
+        "report": {"root_cause": "the archive volume ran full", "blast_radius": "reports for 15 minutes",
+                   "evidence": [evidence(e, i + 1) for i, e in enumerate(incident.ROOT_CAUSE_IDS[:2])]
                    + [evidence(None, 9, key=False)],
-                   "remediation": "re-enable flag", "confidence": 0.8, "confidence_rationale": "ids line up"},
+                   "remediation": "free the lock and rotate", "confidence": 0.7, "confidence_rationale": "the times follow each other"},
         "termination_reason": "submitted",
-        "usage": {"llm_calls": 7, "tool_calls": 6, "wall_clock_s": 40.5},
+        "usage": {"llm_calls": 3, "tool_calls": 11, "wall_clock_s": 12.25},
     }
 
 
@@ -65,15 +65,15 @@ def no_report_case() -> dict:
 
 def object_blast_case() -> dict:
     c = copy.deepcopy(good_case())
-    c["report"]["blast_radius"] = {"duration_minutes": 12, "window_start": "2026-03-02T09:14:40Z", "orders": 80}
+    c["report"]["blast_radius"] = {"minutes": 15, "pages": 212, "since": "2025-11-09T01:17:05Z"}
     return c
 
 
 def ground_truth() -> dict:
-    return {"incident_id": INCIDENT_ID, "root_cause": "flag disabled by config push",
+    return {"incident_id": INCIDENT_ID, "root_cause": "volume full since rotation stood still",
             "evidence_event_ids": incident.ROOT_CAUSE_IDS,
-            "blast_radius": {"duration_minutes": 12, "affected_service": "cart-api"},
-            "distractors": [{"event": d, "why_not_causal": "unrelated"} for d in incident.DISTRACTOR_IDS]}
+            "blast_radius": {"minutes": 15, "service": "reports"},
+            "distractors": [{"event": d, "note": "seen on other nights too"} for d in incident.DISTRACTOR_IDS]}
 
 
 CASES = {"good": good_case, "distractor": distractor_case, "invalid": invalid_case, "noreport": no_report_case,

@@ -1,75 +1,52 @@
 """A synthetic incident in the store's NDJSON line format.
 
-Story (invented for these tests): a config push at 09:14:00 UTC disables the
-`pricing-v2` flag; cart-api starts calling the old pricing endpoint, which
-rejects it with 410, orders back up in the queue and the edge reports 5xx.
-Five services, one file each, with sparse extra keys, two bearer tokens and
-event ids for five root-cause lines and three distractors.
+Story (invented for these tests): on an archive host a lock file stops log rotation, the volume fills up at 01:12:30
+and a segment is cut short; the index build that reads it gives up, and reports are rendered from an old index. Four
+services with one file each, sparse extra keys, two bearer tokens, event ids for three causal and two unrelated lines.
 """
 from __future__ import annotations
 
+import hashlib
 import json
 from pathlib import Path
 
-TOKEN = "Zq" + "9vKpL2mNqR8sT3uVwX7yZaBcDeF"      # opaque bearer, split for scanners
-ROOT_CAUSE_IDS = ["cfg-push-0914", "cart-first-410", "pricing-reject-v1", "edge-5xx-spike", "queue-lag-0921"]
-DISTRACTOR_IDS = ["cache-blip-0912", "db-pool-warn-0913", "cdn-purge-0916"]
+TOKEN = hashlib.sha256(b"bearer of the archive tests").hexdigest()[:36].upper()
+ROOT_CAUSE_IDS = ["arch-volume-full", "index-gave-up", "report-old-index"]
+DISTRACTOR_IDS = ["index-long-merge", "sched-clock-step"]
 
 
-def _ts(m: int, s: int) -> str:
-    return f"2026-03-02T09:{m:02d}:{s:02d}Z"
+def _row(service: str, m: int, s: int, level: str, msg: str, **extra) -> dict:
+    return {"ts": f"2025-11-09T01:{m:02d}:{s:02d}Z", "service": service, "level": level, "msg": msg, **extra}
 
 
 def lines_by_service() -> dict[str, list[dict]]:
-    cfg = [
-        {"ts": _ts(10, 0), "service": "config-svc", "level": "info", "msg": "config sync ok", "version": 41},
-        {"ts": _ts(13, 5), "service": "config-svc", "level": "info", "msg": "config diff staged", "version": 42},
-        {"ts": _ts(14, 0), "service": "config-svc", "level": "info", "msg": "flag pricing-v2 set to false",
-         "event_id": "cfg-push-0914", "subscribers": ["cart-api", "pricing"]},
-        {"ts": _ts(16, 10), "service": "config-svc", "level": "info", "msg": "cdn purge requested",
-         "event_id": "cdn-purge-0916"},
-    ] + [{"ts": _ts(20 + i, 0), "service": "config-svc", "level": "info", "msg": "config sync ok", "version": 42}
-         for i in range(6)]
-    cart = [{"ts": _ts(11, 2 * i), "service": "cart-api", "level": "info", "msg": "POST /cart/checkout 200",
-             "trace_id": f"tr_{i:04d}", "request_id": f"rq_{i:04d}"} for i in range(5)]
-    cart += [
-        {"ts": _ts(13, 30), "service": "cart-api", "level": "warn", "msg": "db pool 47/50",
-         "event_id": "db-pool-warn-0913"},
-        {"ts": _ts(14, 40), "service": "cart-api", "level": "error", "msg": "pricing returned 410",
-         "trace_id": "tr_0007", "request_id": "rq_0007", "event_id": "cart-first-410",
-         "auth_header_sent": "Bearer " + TOKEN},
+    archiver = [
+        _row("archiver", 0, 0, "info", "rotation skipped, lock held", pid=4711),
+        _row("archiver", 5, 0, "info", "volume filling", used=91),
+        _row("archiver", 10, 0, "warn", "volume nearly full", used=97),
+        _row("archiver", 12, 30, "error", "write of segment 318 stopped, no space", event_id="arch-volume-full", used=100),
+        *[_row("archiver", 13 + k, 0, "error", "segment deferred", waiting=k + 1) for k in range(4)],
     ]
-    cart += [{"ts": _ts(15 + i, 0), "service": "cart-api", "level": "error", "msg": "pricing returned 410",
-              "trace_id": f"tr_{8 + i:04d}"} for i in range(4)]
-    cart += [{"ts": _ts(19 + i, 30), "service": "cart-api", "level": "warn", "msg": "retry budget low"}
-             for i in range(3)]
-    cart += [{"ts": _ts(23, 0), "service": "cart-api", "level": "info", "msg": "POST /cart/checkout 200"}]
-    pricing = [
-        {"ts": _ts(12, 0), "service": "pricing", "level": "info", "msg": "serving v2 only"},
-        {"ts": _ts(14, 40), "service": "pricing", "level": "warn", "msg": "v1 endpoint retired",
-         "request_id": "rq_0007", "event_id": "pricing-reject-v1", "authorization": "Bearer " + TOKEN},
-    ] + [{"ts": _ts(15 + i, 1), "service": "pricing", "level": "warn", "msg": "v1 endpoint retired"}
-         for i in range(4)] + [
-        {"ts": _ts(20, 0), "service": "pricing", "level": "info", "msg": "error rate 31%", "error_pct": 31.5},
+    indexer = [
+        *[_row("indexer", 1 + k, 15, "info", "segment merged", trace_id=f"run-{20 + k}", request_id=f"job-{20 + k}") for k in range(3)],
+        _row("indexer", 9, 50, "warn", "merge took 44 s", event_id="index-long-merge"),
+        _row("indexer", 14, 40, "error", "segment 318 unreadable", event_id="index-gave-up", trace_id="run-31", request_id="job-31",
+             upload_header="Bearer " + TOKEN),
+        *[_row("indexer", 15 + k, 0, "error", "segment 318 unreadable", trace_id=f"run-{32 + k}") for k in range(4)],
     ]
-    edge = [{"ts": _ts(10 + i, 45), "service": "edge", "level": "info", "msg": "GET /health 200",
-             "latency_ms": 12 + i, "http_status": 200} for i in range(4)]
-    edge += [
-        {"ts": _ts(14, 41), "service": "edge", "level": "info", "msg": "POST /checkout 502", "trace_id": "tr_0007",
-         "http_status": 502, "upstream_status": 410},
-        {"ts": _ts(17, 12), "service": "edge", "level": "error", "msg": "5xx rate above SLO",
-         "event_id": "edge-5xx-spike", "error_pct": 7.5, "slo_pct": 1.0},
-    ] + [{"ts": _ts(18 + i, 0), "service": "edge", "level": "error", "msg": "5xx rate above SLO"}
-         for i in range(3)]
-    queue = [
-        {"ts": _ts(12, 0), "service": "queue", "level": "info", "msg": "orders depth 3", "queue": "orders", "depth": 3},
-        {"ts": _ts(12, 5), "service": "queue", "level": "warn", "msg": "replica reconnect", "recovered": True,
-         "event_id": "cache-blip-0912"},
-        {"ts": _ts(21, 0), "service": "queue", "level": "warn", "msg": "orders lag rising", "queue": "orders",
-         "depth": 880, "event_id": "queue-lag-0921"},
-    ] + [{"ts": _ts(22 + i, 0), "service": "queue", "level": "warn", "msg": "orders lag rising",
-          "queue": "orders", "depth": 900 + i} for i in range(5)]
-    return {"config-svc": cfg, "cart-api": cart, "pricing": pricing, "edge": edge, "queue": queue}
+    reports = [
+        *[_row("reports", 2 + k, 30, "info", "rendered", pages=3 + k) for k in range(4)],
+        _row("reports", 14, 41, "info", "asked for index", trace_id="run-31", stale_part=0.0),
+        _row("reports", 17, 5, "warn", "index older than 15 minutes", event_id="report-old-index", request_id="job-31",
+             authorization="Bearer " + TOKEN),
+        *[_row("reports", 18 + k, 5, "warn", "index older than 15 minutes") for k in range(2)],
+        _row("reports", 25, 0, "info", "25% of pages are old", stale_part=0.25),
+    ]
+    scheduler = [
+        *[_row("scheduler", 4 * k, 1, "info", "tick", n=k) for k in range(6)],
+        _row("scheduler", 16, 20, "info", "clock stepped by 2 s", event_id="sched-clock-step"),
+    ]
+    return {"archiver": archiver, "indexer": indexer, "reports": reports, "scheduler": scheduler}
 
 
 def write(dir_: Path) -> list[Path]:

@@ -30,7 +30,7 @@ def test_golden_counts(spark, store):
     assert ev.count() == len(rows)
     files, totals = manifest(ev, listing)
     t = totals.first()
-    assert (t.total_rows, t.n_files) == (len(rows), 5)
+    assert (t.total_rows, t.n_files) == (len(rows), 4)
     stamps = sorted(r["ts"] for r in rows)
     assert t.start.isoformat() + "Z" == stamps[0] and t.end.isoformat() + "Z" == stamps[-1]
     by_level = {r.level: r["count"] for r in ev.groupBy("level").count().collect()}
@@ -57,8 +57,8 @@ def test_bearer_tokens_redacted(spark, store):
 
 def test_trace_ids_materialised(spark, store):
     ev, _ = store
-    assert ev.where(F.col("trace_id") == "tr_0007").count() == 2
-    assert ev.where(F.col("request_id") == "rq_0007").count() == 2
+    assert ev.where(F.col("trace_id") == "run-31").count() == 2
+    assert ev.where(F.col("request_id") == "job-31").count() == 2
 
 
 def test_scan_edges(spark, tmp_path):
@@ -87,15 +87,15 @@ def test_missing_path_raises(spark, tmp_path):
 def test_documents(spark, tmp_path):
     d = tmp_path / "docs"
     d.mkdir()
-    ev1 = {"ts": "2026-04-17T02:58:04Z", "service": "a", "msg": "one"}
-    ev2 = {"ts": "2026-04-17T02:58:05Z", "service": "b", "msg": "two"}
+    ev1 = {"ts": "2025-07-01T06:30:10Z", "service": "kiln", "level": "debug", "msg": "one"}
+    ev2 = {"service": "lathe", "ts": "2025-07-01T06:31:40Z", "msg": "two", "shift": 3}
     (d / "array.log").write_text(json.dumps([ev1, ev2]))
     (d / "data.log").write_text(json.dumps({"data": [ev1, ev2], "meta": {"page": 1}}, indent=2))
     (d / "nrql.log").write_text(json.dumps({"results": [{"events": [ev1]}, {"events": [ev2]}]}))
     (d / "flat.log").write_text(json.dumps({"results": [ev1, ev2]}))
     (d / "events.log").write_text(json.dumps({"events": [ev1, ev2]}, indent=1))
     (d / "pretty.log").write_text(json.dumps(ev1, indent=2))
-    (d / "numbers.log").write_text(json.dumps({"ts": "2026-04-17T02:58:04Z", "data": [1, 2]}))
+    (d / "numbers.log").write_text(json.dumps({"ts": "2025-07-01T06:30:10Z", "data": [1, 2]}))
     (d / "strings.log").write_text(json.dumps(["plain text line", ev1]))
     (d / "ndjson.log").write_text(json.dumps(ev1) + "\n" + json.dumps(ev2) + "\n")
     (d / "twoline.log").write_text("[\n" + json.dumps(ev1) + "]\n")
@@ -109,7 +109,7 @@ def test_documents(spark, tmp_path):
     assert got["nrql.log"] == [(1, "one")]                       # results[1:] are lost
     assert got["flat.log"] == [(1, "one"), (2, "two")]
     assert got["events.log"] == [(1, "one"), (2, "two")]
-    assert len(got["pretty.log"]) == 5                           # one plaintext row per line
+    assert len(got["pretty.log"]) == 6                           # one plaintext row per line
     assert got["numbers.log"] == [(1, "1"), (2, "2")]
     assert got["strings.log"] == [(1, "plain text line"), (2, "one")]
     assert got["ndjson.log"] == [(1, "one"), (2, "two")]
@@ -164,7 +164,7 @@ def test_changed_split_layout_fails_loudly(spark, tmp_path):
 def test_document_after_blank_lines(spark, tmp_path):
     d = tmp_path / "blankdoc"
     d.mkdir()
-    ev1 = {"ts": "2026-04-17T02:58:04Z", "service": "a", "msg": "one"}
+    ev1 = {"service": "kiln", "ts": "2025-07-01T06:30:10Z", "msg": "one"}
     (d / "lead.log").write_text("\n  \n" + json.dumps([ev1, ev1]) + "\n\n")
     (d / "tail.log").write_text(json.dumps(ev1) + "\n" + "[\n")          # complete first line, then junk
     ev, _ = ingest(spark, [str(d)], fallback_ts=FB)

@@ -32,54 +32,53 @@ def test_describe(ev):
 def test_top_errors(ev):
     rows = Q.top_errors(ev, limit=3).collect()
     assert rows[0].n >= rows[1].n >= rows[2].n
-    assert {r.msg for r in rows} >= {"pricing returned 410"}
+    assert {r.msg for r in rows} >= {"segment 318 unreadable"}
     assert all(r.level in ("error", "warn") for r in Q.top_errors(ev, 50).collect())
 
 
 def test_search_like_rules(spark, ev):
-    hits = Q.search(ev, "PRICING returned 4_0", limit=50).collect()
+    hits = Q.search(ev, "SEGMENT 3_8 unread", limit=50).collect()
     assert len(hits) == 5 and [h.ts for h in hits] == sorted(h.ts for h in hits)
-    assert len(Q.search(ev, "pricing%410", limit=50).collect()) == 5
-    assert Q.search(ev, "410", limit=2).count() == 2
-    assert Q.search(ev, "pricing\\_returned", limit=50).count() == 0      # '\' is an ordinary character
-    assert Q.search(ev, "error_pct", limit=50).count() == 2               # found in raw only
-    assert Q.search(ev, "rate 31%", limit=50, mode="literal").count() == 1
+    assert len(Q.search(ev, "segment%readable", limit=50).collect()) == 5
+    assert Q.search(ev, "318", limit=2).count() == 2
+    assert Q.search(ev, "segment\\_318", limit=50).count() == 0      # '\' is an ordinary character
+    assert Q.search(ev, "stale_part", limit=50).count() == 2               # found in raw only
+    assert Q.search(ev, "25% of", limit=50, mode="literal").count() == 1
 
 
 def test_around_inclusive_edges(ev):
-    at = "2026-03-02T09:14:40Z"
-    rows = Q.around(ev, at, window_s=40).collect()
+    at = "2025-11-09T01:14:00Z"
+    rows = Q.around(ev, at, window_s=60).collect()
     ts = [r.ts for r in rows]
-    assert dt.datetime(2026, 3, 2, 9, 14, 0) in ts and dt.datetime(2026, 3, 2, 9, 15, 20) not in ts
-    assert min(ts) >= dt.datetime(2026, 3, 2, 9, 14, 0) and max(ts) <= dt.datetime(2026, 3, 2, 9, 15, 20)
-    only = Q.around(ev, dt.datetime(2026, 3, 2, 9, 14, 40, tzinfo=dt.timezone.utc), 40, service="cart-api")
-    assert {r.service for r in only.collect()} == {"cart-api"}
-    assert Q.around(ev, at, 40, service="").count() == len(rows)
+    assert (min(ts), max(ts)) == (dt.datetime(2025, 11, 9, 1, 13), dt.datetime(2025, 11, 9, 1, 15))  # both ends count
+    only = Q.around(ev, dt.datetime(2025, 11, 9, 1, 14, tzinfo=dt.timezone.utc), 60, service="indexer")
+    assert {r.service for r in only.collect()} == {"indexer"}
+    assert Q.around(ev, at, 60, service="").count() == len(rows)
     with pytest.raises(ValueError):
         Q.around(ev, "not a time")
 
 
 def test_around_prunes_partitions(spark, ev):
     fresh = spark.read.option("mergeSchema", "false").parquet(STORE[0])   # not matched to the cached copy
-    plan = Q.around(fresh, "2026-03-02T09:14:40Z", 60)._jdf.queryExecution().executedPlan().toString()
+    plan = Q.around(fresh, "2025-11-09T01:14:40Z", 60)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert "PushedFilters: [IsNotNull(ts), GreaterThanOrEqual(ts" in plan
 
 
 def test_trace(ev):
-    rows = Q.trace(ev, "tr_0007").collect()
-    assert [r.service for r in rows] == ["cart-api", "edge"]
-    assert Q.trace(ev, "rq_0007").count() == 2 and Q.trace(ev, "nope").count() == 0
+    rows = Q.trace(ev, "run-31").collect()
+    assert [r.service for r in rows] == ["indexer", "reports"]
+    assert Q.trace(ev, "job-31").count() == 2 and Q.trace(ev, "nope").count() == 0
 
 
 def test_set_forms(spark, ev):
-    anchors = spark.createDataFrame([("a", dt.datetime(2026, 3, 2, 9, 14, 40))], "anchor_id string, anchor_ts timestamp")
+    anchors = spark.createDataFrame([("a", dt.datetime(2025, 11, 9, 1, 14, 40))], "anchor_id string, anchor_ts timestamp")
     many = Q.around_many(ev, anchors, 40).select(*Q.ROW_COLUMNS if hasattr(Q, "ROW_COLUMNS") else
                                                  ["ts", "service", "level", "msg", "file", "line"])
-    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, Q.around(ev, "2026-03-02T09:14:40Z", 40).collect()))
-    ids = spark.createDataFrame([("tr_0007",), ("rq_0007",)], "id string")
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, Q.around(ev, "2025-11-09T01:14:40Z", 40).collect()))
+    ids = spark.createDataFrame([("run-31",), ("job-31",)], "id string")
     got = Q.trace_many(ev, ids).groupBy("id").count().collect()
-    assert {r.id: r["count"] for r in got} == {"tr_0007": 2, "rq_0007": 2}
+    assert {r.id: r["count"] for r in got} == {"run-31": 2, "job-31": 2}
 
 
 def test_msg_short(ev):
@@ -95,7 +94,7 @@ def test_describe_empty(spark, ev):
 
 def test_trace_pushes_ids_to_parquet(spark, ev):
     fresh = spark.read.option("mergeSchema", "false").parquet(STORE[0])
-    plan = Q.trace(fresh, "tr_0007")._jdf.queryExecution().executedPlan().toString()
+    plan = Q.trace(fresh, "run-31")._jdf.queryExecution().executedPlan().toString()
     pushed = plan[plan.index("PushedFilters:"):].split("]")[0]
     print(pushed)
-    assert "EqualTo(trace_id,tr_0007)" in pushed and "EqualTo(request_id,tr_0007)" in pushed
+    assert "EqualTo(trace_id,run-31)" in pushed and "EqualTo(request_id,run-31)" in pushed
