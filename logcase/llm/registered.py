@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logcase.llm import bpe_chunks, chat_snapshots, decontaminate, line_dedup, near_dup, quality_model, quality_rules, secret_scan, toxicity, url_rules
+from logcase.llm import bpe_chunks, chat_snapshots, decontaminate, line_dedup, near_dup, oracles, quality_model, quality_rules, secret_scan, toxicity, url_rules
 from logcase.llm.common import fold, table
 from logcase.session import configure
 
@@ -80,4 +80,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_chat_snapshots, op2_quality_discriminant, op3_secret_scan, op4_benchmark_leaks, op5_line_dedup, op6_bpe_chunks,
     op7_toxicity_grammar, op8_url_rules, op9_near_duplicates, op10_quality_rules)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op1_chat_snapshots": oracles.OP1, "op4_benchmark_leaks": oracles.OP4, "op5_line_dedup": oracles.OP5,
+    "op8_url_rules": oracles.OP8, "op9_near_duplicates": oracles.OP9, "op10_quality_rules": oracles.OP10,
+}
