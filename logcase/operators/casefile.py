@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logcase.functions.display import args_preview, confidence_band, confidence_pct
+from logcase.functions.jsonvals import strict_value
 from logcase.operators import grading as G
 
 # The case-file protocol (version, enums, limits, keys).
@@ -23,24 +24,27 @@ TERMINATION_REASONS = ("submitted", "max_iterations", "max_llm_calls", "max_wall
 MAX_CONTEXT_LINES = 3
 DEFAULT_TEMPERATURE = 0.2
 
-# Each object level: (allowed keys, required keys); None = extra keys allowed.
+# Each object level: its fields (kind, and flags: "!" required, "?" may be null), and whether other keys may stand there.
+# Kinds: string, integer, number, boolean, time, object, list, strings (a list of strings), text_or_object, any.
 LEVELS = {
-    "case": (("version", "question", "model", "logs_manifest", "trajectory", "report", "termination_reason",
-              "usage", "ground_truth"), ("question", "model", "logs_manifest", "trajectory", "termination_reason")),
-    "model": (("provider", "name", "temperature"), ("provider", "name")),
-    "logs_manifest": (("files", "time_window", "total_rows"), ("files", "time_window", "total_rows")),
-    "file": (("path", "bytes", "rows", "sha256"), ("path", "bytes", "rows", "sha256")),
-    "time_window": (("start", "end"), ("start", "end")),
-    "step": (("step", "tool", "args", "stdout_excerpt", "stderr_excerpt", "elapsed_ms", "report_delta"),
-             ("step", "tool")),
-    "report": (("root_cause", "blast_radius", "evidence", "remediation", "confidence", "confidence_rationale",
-                "unknowns"), ("root_cause", "blast_radius", "evidence", "remediation", "confidence",
-                              "confidence_rationale")),
-    "evidence": (("event_id", "file", "line", "ts", "service", "level", "text_redacted", "context_before",
-                  "context_after", "why", "is_key"), ("file", "line", "ts", "service", "level", "text_redacted",
-                                                       "why")),
-    "usage": (("llm_calls", "tool_calls", "wall_clock_s", "input_tokens", "output_tokens"), ()),
-    "ground_truth": (None, ("root_cause",)),
+    "case": ({"version": "string", "question": "string!", "model": "object!", "logs_manifest": "object!", "trajectory": "list!",
+              "report": "object?", "termination_reason": "string!", "usage": "object", "ground_truth": "object?"}, False),
+    "model": ({"provider": "string!", "name": "string!", "temperature": "number"}, False),
+    "logs_manifest": ({"files": "list!", "time_window": "object!", "total_rows": "integer!"}, False),
+    "file": ({"path": "string!", "bytes": "integer!", "rows": "integer!", "sha256": "string!"}, False),
+    "time_window": ({"start": "time!", "end": "time!"}, False),
+    "step": ({"step": "integer!", "tool": "string!", "args": "object", "stdout_excerpt": "string", "stderr_excerpt": "string",
+              "elapsed_ms": "integer", "report_delta": "object?"}, False),
+    "report": ({"root_cause": "string!", "blast_radius": "text_or_object!", "evidence": "list!", "remediation": "string!",
+                "confidence": "number!", "confidence_rationale": "string!", "unknowns": "strings"}, False),
+    "blast_radius": ({"duration_minutes": "integer?", "window_start": "time?", "window_end": "time?"}, True),
+    "evidence": ({"event_id": "string?", "file": "string!", "line": "integer!", "ts": "time!", "service": "string!",
+                  "level": "string!", "text_redacted": "string!", "context_before": "strings", "context_after": "strings",
+                  "why": "string!", "is_key": "boolean"}, False),
+    "usage": ({"llm_calls": "integer", "tool_calls": "integer", "wall_clock_s": "number", "input_tokens": "integer",
+               "output_tokens": "integer"}, False),
+    "ground_truth": ({"incident_id": "string?", "root_cause": "string!", "evidence_event_ids": "strings",
+                      "blast_radius": "text_or_object?", "remediation": "text_or_object?", "distractors": "list"}, True),
 }
 
 _EVIDENCE = T.StructType([
@@ -91,9 +95,10 @@ GROUND_TRUTH_SCHEMA = T.StructType([
 
 
 def parse_cases(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``doc`` (variant) and ``case`` (typed struct) from JSON text."""
-    return docs.withColumn("doc", F.try_parse_json(F.col(text_col))) \
-        .withColumn("case", F.from_json(F.col(text_col), CASE_SCHEMA))
+    """Add ``doc`` (variant) and ``case`` (typed struct) from JSON text; both
+    null when the text is not exactly one JSON value."""
+    return docs.withColumn("doc", strict_value(F.col(text_col))) \
+        .withColumn("case", F.when(F.col("doc").isNotNull(), F.from_json(F.col(text_col), CASE_SCHEMA)))
 
 
 def _obj(doc: Column, path: str) -> Column:
@@ -104,15 +109,47 @@ def _present(m: Column, key: str) -> Column:
     return F.coalesce(F.map_contains_key(m, key), F.lit(False))
 
 
+def _fits(v: Column, t: Column, kind: str) -> Column:
+    """The value ``v`` of type name ``t`` can be read as ``kind``: numbers, times and booleans also from their texts."""
+    text = F.trim(F.try_variant_get(v, "$", "string"))
+    number, flag, is_text = _is_number(t), t == "BOOLEAN", t == "STRING"
+    if kind == "string":
+        return is_text
+    if kind == "integer":
+        value = F.try_variant_get(v, "$", "double")
+        return flag | (number & (value == F.floor(value))) | (is_text & text.rlike(r"^[-+]?[0-9]+(\.0*)?$"))
+    if kind == "number":
+        return flag | number | (is_text & text.try_cast("double").isNotNull())
+    if kind == "boolean":
+        return flag | (number & F.try_variant_get(v, "$", "double").isin(0.0, 1.0)) | (
+            is_text & F.lower(text).isin("true", "false", "1", "0", "yes", "no", "on", "off", "t", "f", "y", "n"))
+    if kind == "time":
+        return number | (is_text & text.rlike("^[-+]?[0-9]") & (text.try_cast("timestamp").isNotNull() | text.try_cast("double").isNotNull()))
+    if kind == "object":
+        return t.startswith("OBJECT")
+    if kind == "text_or_object":
+        return is_text | t.startswith("OBJECT")
+    items = F.try_variant_get(v, "$", "array<variant>")
+    if kind == "strings":
+        return t.startswith("ARRAY") & F.forall(items, lambda x: F.schema_of_variant(x) == "STRING")
+    return t.startswith("ARRAY")
+
+
 def _level_checks(m: Column, level: str, where: Column) -> list[Column]:
-    """Codes for one object map ``m`` at location text ``where``."""
-    allowed, required = LEVELS[level]
+    """Codes for one object map ``m`` at location text ``where``: missing and
+    unknown keys, nulls where none may stand, values of another kind."""
+    fields, open_ = LEVELS[level]
     out = []
-    for k in required:
-        out.append(F.when(m.isNotNull() & ~_present(m, k), F.concat(F.lit("missing:"), where, F.lit("." + k))))
-    if allowed is not None:
+    for k, spec in fields.items():
+        kind, here, v = spec.rstrip("!?"), F.concat(where, F.lit("." + k)), m.getItem(k)
+        if spec.endswith("!"):
+            out.append(F.when(m.isNotNull() & ~_present(m, k), F.concat(F.lit("missing:"), here)))
+        t = F.schema_of_variant(v)
+        null = F.lit(None) if spec.endswith("?") else F.concat(F.lit("null:"), here)
+        out.append(F.when(_present(m, k), F.when(t == "VOID", null).when(~F.coalesce(_fits(v, t, kind), F.lit(False)), F.concat(F.lit("type:"), here))))
+    if not open_:
         extra = F.array_except(F.coalesce(F.map_keys(m), F.array().cast("array<string>")),
-                               F.array(*[F.lit(k) for k in allowed]))
+                               F.array(*[F.lit(k) for k in fields]))
         out.append(F.when(F.size(extra) > 0, F.concat(F.lit("unknown_key:"), where, F.lit(":"),
                                                       F.array_join(F.array_sort(extra), ","))))
     return out
@@ -129,10 +166,6 @@ def _each(doc: Column, path: str, fn) -> Column:
     return F.coalesce(F.flatten(per), F.array().cast("array<string>"))
 
 
-def _vtype(doc: Column, path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(doc, path, "variant"))
-
-
 def _is_number(t: Column) -> Column:
     return t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
 
@@ -142,7 +175,7 @@ def violations(doc: Column) -> Column:
     top = _obj(doc, "$")
     model, man, report, usage = (_obj(doc, p) for p in ("$.model", "$.logs_manifest", "$.report", "$.usage"))
     tw, gt = _obj(doc, "$.logs_manifest.time_window"), _obj(doc, "$.ground_truth")
-    conf_t = _vtype(doc, "$.report.confidence")
+    blast = _obj(doc, "$.report.blast_radius")
     conf = F.try_variant_get(doc, "$.report.confidence", "double")
     version = F.try_variant_get(doc, "$.version", "string")
     term = F.try_variant_get(doc, "$.termination_reason", "string")
@@ -151,17 +184,13 @@ def violations(doc: Column) -> Column:
         F.when(_present(top, "version") & ~F.coalesce(version == CASE_VERSION, F.lit(False)), F.lit("version")),
         F.when(_present(top, "termination_reason") & ~F.coalesce(term.isin(*TERMINATION_REASONS), F.lit(False)),
                F.concat(F.lit("enum:termination_reason="), F.coalesce(term, F.lit("?")))),
-        F.when(report.isNotNull() & _present(report, "confidence") & ~_is_number(conf_t), F.lit("type:report.confidence")),
         F.when(report.isNotNull() & ((conf < 0) | (conf > 1)), F.lit("range:report.confidence")),
-        F.when(_present(top, "trajectory") & F.try_variant_get(doc, "$.trajectory", "array<variant>").isNull(),
-               F.lit("type:trajectory")),
-        F.when(_present(top, "report") & ~F.is_variant_null(F.try_variant_get(doc, "$.report", "variant"))
-               & report.isNull(), F.lit("type:report")),
     ]
     lv = (_level_checks(top, "case", F.lit("case")) + _level_checks(model, "model", F.lit("model"))
           + _level_checks(man, "logs_manifest", F.lit("logs_manifest"))
           + _level_checks(tw, "time_window", F.lit("logs_manifest.time_window"))
           + _level_checks(report, "report", F.lit("report")) + _level_checks(usage, "usage", F.lit("usage"))
+          + _level_checks(blast, "blast_radius", F.lit("report.blast_radius"))
           + _level_checks(gt, "ground_truth", F.lit("ground_truth")))
 
     def step_codes(m, i, v):
@@ -182,10 +211,14 @@ def violations(doc: Column) -> Column:
 
     def file_codes(m, i, v):
         where = F.concat(F.lit("logs_manifest.files["), i.cast("string"), F.lit("]"))
-        return _compact(_level_checks(m, "file", where))
+        return _compact(_level_checks(m, "file", where) + [F.when(m.isNull(), F.concat(F.lit("type:"), where))])
+
+    def distractor_codes(m, i, v):
+        return _compact([F.when(m.isNull(), F.concat(F.lit("type:ground_truth.distractors["), i.cast("string"), F.lit("]")))])
 
     return F.concat(_compact(scalar + lv), _each(doc, "$.trajectory", step_codes),
-                    _each(doc, "$.report.evidence", evidence_codes), _each(doc, "$.logs_manifest.files", file_codes))
+                    _each(doc, "$.report.evidence", evidence_codes), _each(doc, "$.logs_manifest.files", file_codes),
+                    _each(doc, "$.ground_truth.distractors", distractor_codes))
 
 
 def validate_cases(cases: DataFrame) -> DataFrame:
@@ -224,11 +257,12 @@ def case_evidence(cases: DataFrame, id_col: str = "case_id") -> DataFrame:
 
 
 def case_summary(cases: DataFrame, id_col: str = "case_id") -> DataFrame:
-    """One row per case for a listing page."""
+    """One row per case for a listing page. Columns ``valid`` and
+    ``violations`` are carried along when there."""
     c, ev = F.col("case"), F.col("case.report.evidence")
     conf = c["report"]["confidence"]
     return cases.select(
-        id_col, c["question"].alias("question"),
+        id_col, *[k for k in ("valid", "violations") if k in cases.columns], c["question"].alias("question"),
         (c["termination_reason"] == "submitted").alias("sealed"),
         c["termination_reason"].alias("termination_reason"),
         c["logs_manifest"]["total_rows"].alias("rows"), F.size(c["logs_manifest"]["files"]).alias("n_files"),

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logcase.functions.display import MSG_SHORT, msg_short
@@ -138,9 +138,13 @@ def _epoch_s(c: Column) -> Column:
 
 
 def around_many(events: DataFrame, anchors: DataFrame, window_s: float = 60,
-                anchor_id: str = "anchor_id", anchor_ts: str = "anchor_ts",
+                anchor_id: str = "anchor_id", anchor_ts: str = "anchor_ts", anchor_service: str | None = None,
                 broadcast_max_rows: int = 2_000_000) -> DataFrame:
-    """Q7 (Spark-side addition): ``around`` for many anchors at once.
+    """Q7 (Spark-side addition): ``around`` for many anchors at once, as one
+    row per (anchor, event) pair: in a burst the pairs grow with its square,
+    ``around_counts`` gives per-anchor numbers without them.
+    ``anchor_service`` names a column of ``anchors`` with the service to keep
+    (null or empty: all).
 
     Interval join as an equi-join: time is cut into buckets of ``window_s``;
     an anchor covers at most three buckets, so it is exploded to those and
@@ -150,7 +154,8 @@ def around_many(events: DataFrame, anchors: DataFrame, window_s: float = 60,
     if window_s <= 0:
         raise ValueError("window_s must be positive")
     w = float(window_s)
-    a = anchors.select(F.col(anchor_id).alias("anchor_id"), F.col(anchor_ts).alias("anchor_ts"))
+    a = anchors.select(F.col(anchor_id).alias("anchor_id"), F.col(anchor_ts).alias("anchor_ts"),
+                       (F.col(anchor_service) if anchor_service else F.lit(None).cast("string")).alias("_s"))
     a = a.withColumn("_b", F.explode(F.sequence(
         F.floor((_epoch_s(F.col("anchor_ts")) - w) / w).cast("bigint"),
         F.floor((_epoch_s(F.col("anchor_ts")) + w) / w).cast("bigint"))))
@@ -158,9 +163,36 @@ def around_many(events: DataFrame, anchors: DataFrame, window_s: float = 60,
     a = broadcast_if_small(a, broadcast_max_rows)
     delta = F.make_dt_interval(secs=F.lit(w))
     j = e.join(a, "_b").where(F.col("ts").between(F.col("anchor_ts") - delta, F.col("anchor_ts") + delta))
+    if anchor_service:
+        j = j.where((F.coalesce("_s", F.lit("")) == "") | (F.col("_s") == F.col("service")))
     return j.select("anchor_id", "anchor_ts", *ROW_COLUMNS)
 
 
+def around_counts(events: DataFrame, anchors: DataFrame, window_s: int = 60,
+                  anchor_id: str = "anchor_id", anchor_ts: str = "anchor_ts") -> DataFrame:
+    """Per anchor, how many events lie within ``window_s`` seconds of it.
+
+    No pairs are made: events are counted per microsecond, the counts become
+    running totals, and an anchor's number is the difference of the totals at
+    its two ends. Time is cut into buckets of ``window_s``: totals run inside
+    a bucket, and each of an anchor's (at most three) buckets gives its part."""
+    w = int(window_s * 1_000_000)
+    if w <= 0:
+        raise ValueError("window_s must be positive")
+    a = anchors.select(F.struct(F.col(anchor_id).alias("anchor_id"), F.col(anchor_ts).alias("anchor_ts")).alias("k"),
+                       F.unix_micros(anchor_ts).alias("c"))
+    a = a.withColumn("b", F.explode(F.sequence(F.floor((F.col("c") - w) / w), F.floor((F.col("c") + w) / w))))
+    low, high = F.greatest(F.col("c") - w, F.col("b") * w), F.least(F.col("c") + w, (F.col("b") + 1) * w - 1)
+    ends = a.select("b", "k", F.explode(F.array(F.struct((low - 1).alias("t"), F.lit(-1).alias("side")),
+                                               F.struct(high.alias("t"), F.lit(1).alias("side")))).alias("e")) \
+        .select("b", F.col("e.t").alias("t"), F.lit(0).cast("bigint").alias("n"), F.col("e.side").alias("side"), "k")
+    at = events.select(F.unix_micros("ts").alias("t")).groupBy("t").agg(F.count("*").alias("n")).select(
+        F.floor(F.col("t") / w).alias("b"), "t", "n", F.lit(0).alias("side"), F.lit(None).cast(ends.schema["k"].dataType).alias("k"))
+    upto = Window.partitionBy("b").orderBy("t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    total = at.unionByName(ends).withColumn("total", F.sum("n").over(upto)).where("side <> 0")
+    return total.groupBy("k").agg(F.sum(F.col("side") * F.col("total")).alias("n")).select("k.*", "n")
+
+
 def trace_many(events: DataFrame, ids: DataFrame, id_col: str = "id",
                broadcast_max_rows: int = 2_000_000) -> DataFrame:
     """Q8 (Spark-side addition): ``trace`` for many ids at once.

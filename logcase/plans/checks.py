@@ -300,13 +300,12 @@ def q_case_evidence(spark: SparkSession, sf: str) -> DataFrame:
 def q_case_files(spark: SparkSession, sf: str) -> DataFrame:
     """Case-file documents built from the events: parse, validate, summarise."""
     from logcase.operators.casefile import case_summary
-    cases = _case_files(spark, sf)
-    summ = case_summary(cases)
-    return cases.select("case_id", "valid", F.array_join("violations", ",").alias("violations")).join(
-        summ.select("case_id", "sealed", F.col("n_steps").cast("bigint").alias("n_steps"), "confidence",
-                    F.col("confidence_pct").cast("bigint").alias("confidence_pct"), "confidence_band",
-                    F.col("n_key_evidence").cast("bigint").alias("n_key_evidence"),
-                    F.col("n_evidence").cast("bigint").alias("n_evidence"), "blast_radius_type"), "case_id")
+    summ = case_summary(_case_files(spark, sf))
+    return summ.select("case_id", "valid", F.array_join("violations", ",").alias("violations"), "sealed",
+                       F.col("n_steps").cast("bigint").alias("n_steps"), "confidence",
+                       F.col("confidence_pct").cast("bigint").alias("confidence_pct"), "confidence_band",
+                       F.col("n_key_evidence").cast("bigint").alias("n_key_evidence"),
+                       F.col("n_evidence").cast("bigint").alias("n_evidence"), "blast_radius_type")
 
 
 def q_document_previews(spark: SparkSession, sf: str) -> DataFrame:

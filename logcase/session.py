@@ -7,8 +7,12 @@
 """
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -53,13 +57,25 @@ def get_session(master: str | None = None, app_name: str = "logcase",
     return configure(spark)
 
 
+#: Scratch folders made inside the innermost ``scratch_scope``, if there is one.
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
+
+
+def runs_in_one_process(spark: SparkSession) -> bool:
+    """A plain local master, whose executor shares the driver's folders."""
+    return re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master) is not None
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only when none is set."""
+    """The shared checkpoint folder. Only a local master gets a temporary one when none is set: on a cluster every
+    executor would write to its own disk, so that raises."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base and not sc.getCheckpointDir():
         sc.setCheckpointDir(base)
     if not base:
+        if not runs_in_one_process(spark):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="logcase-ckpt-"))
         base = sc.getCheckpointDir()
     return base
@@ -73,14 +89,25 @@ def scratch_dir(spark: SparkSession, name: str = "run") -> str:
     is created and registered as the checkpoint dir.
     """
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/logcase-{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(uri: str) -> str:
-    """Strip a ``file:`` scheme so a local path can be handed to Python I/O."""
-    if uri.startswith("file://"):
-        return uri[len("file://"):]
-    if uri.startswith("file:"):
-        return uri[len("file:"):]
-    return uri
+    path = f"{base}/logcase-{name}-{uuid.uuid4().hex[:12]}"
+    made = _scope.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end the scratch folders made inside it, for work that repeats for ever (stream batches). What
+    was read from them must be finished by then."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in made:
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 

@@ -2,11 +2,15 @@
 
 A directory contributes every file below it whose suffix is a log suffix; a
 file named explicitly is taken whatever its suffix; a path that does not
-exist is dropped. Listing runs through Spark's file index (parallel for large
-trees); only file metadata is read here.
+exist is dropped. A file that is given twice, or by its folder and by itself,
+counts once. Listing runs through Spark's file index (parallel for large
+trees); only file metadata is read here. Names may hold any character: given
+paths are literal, never globs, and results carry names as they are on disk.
 """
 from __future__ import annotations
 
+import re
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,13 +27,19 @@ class LogSources:
     files: tuple[str, ...]
 
 
-def _fs_kind(spark: SparkSession, path: str) -> str | None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
+def _look_up(spark: SparkSession, path: str) -> tuple[str | None, str]:
+    """'dir', 'file' or None, and the full path; one file-system call."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(p):
-        return None
-    return "dir" if fs.getFileStatus(p).isDirectory() else "file"
+    found = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(as_literal(path)))
+    if not found:
+        return None, path
+    return ("dir" if found[0].isDirectory() else "file"), found[0].getPath().toString()
+
+
+def as_literal(path: str) -> str:
+    """``path`` with its glob characters escaped, for readers that expand globs."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
 
 
 def split_paths(spark: SparkSession, paths: list[str] | tuple[str, ...] | str,
@@ -39,16 +49,18 @@ def split_paths(spark: SparkSession, paths: list[str] | tuple[str, ...] | str,
     ``FileNotFoundError`` (library ingest)."""
     if isinstance(paths, str):
         paths = [paths]
-    dirs, files = [], []
-    for p in paths:
-        kind = _fs_kind(spark, str(p))
-        if kind == "dir":
-            dirs.append(str(p))
-        elif kind == "file":
-            files.append(str(p))
-        elif missing == "raise":
+    paths = list(dict.fromkeys(map(str, paths)))
+    with ThreadPoolExecutor(16) as pool:
+        found = list(pool.map(lambda p: _look_up(spark, p), paths))
+    for p, (kind, _) in zip(paths, found):
+        if kind is None and missing == "raise":
             raise FileNotFoundError(p)
-    return LogSources(tuple(dirs), tuple(files))
+    dirs = sorted({full for kind, full in found if kind == "dir"})
+    above = lambda path: any(path != d and path.startswith(d.rstrip("/") + "/") for d in dirs)
+    # What a folder's listing brings along is not taken a second time.
+    files = {full for kind, full in found if kind == "file"}
+    files = sorted(f for f in files if not (f.endswith(LOG_SUFFIXES) and above(f)))
+    return LogSources(tuple(d for d in dirs if not above(d)), tuple(files))
 
 
 def list_files(spark: SparkSession, src: LogSources) -> DataFrame:
@@ -57,9 +69,9 @@ def list_files(spark: SparkSession, src: LogSources) -> DataFrame:
     parts = []
     if src.dirs:
         parts.append(spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                     .option("pathGlobFilter", LOG_GLOB).load(list(src.dirs)))
+                     .option("pathGlobFilter", LOG_GLOB).load([as_literal(d) for d in src.dirs]))
     if src.files:
-        parts.append(spark.read.format("binaryFile").load(list(src.files)))
+        parts.append(spark.read.format("binaryFile").load([as_literal(f) for f in src.files]))
     if not parts:
         return spark.createDataFrame([], "path string, bytes bigint, modified timestamp")
     out = parts[0]
@@ -70,12 +82,15 @@ def list_files(spark: SparkSession, src: LogSources) -> DataFrame:
     # The scan skips zero-length files; the file index still lists them.
     indexed = sorted({f for p in parts for f in p.inputFiles()})
     names = spark.createDataFrame([(f,) for f in indexed], "path string") \
-        .select(normalise_path(F.col("path")).alias("path"))
+        .select(normalise_path(F.col("path"), encoded=True).alias("path"))
     empty = names.join(sized.select("path"), "path", "left_anti").select(
         "path", F.lit(0).cast("bigint").alias("bytes"), F.lit(None).cast("timestamp").alias("modified"))
     return sized.unionByName(empty)
 
 
-def normalise_path(uri):
-    """``file:/a/b`` -> ``/a/b``; other schemes are kept as URIs."""
-    return F.regexp_replace(uri, r"^file:(//)?", "")
+def normalise_path(uri, encoded: bool = False):
+    """``file:/a/b`` -> ``/a/b``; other schemes are kept as URIs. ``encoded``: the value is percent-encoded, as
+    ``_metadata.file_path`` and ``inputFiles`` are (the binaryFile source's ``path`` is not)."""
+    plain = F.regexp_replace(uri, r"^file:(//)?", "")
+    # url_decode reads '+' as a blank, which is for forms, not for paths
+    return F.url_decode(F.replace(plain, F.lit("+"), F.lit("%2B"))) if encoded else plain

@@ -1,7 +1,6 @@
 """Whole-file JSON documents that wrap a list of events.
 
-A file is a document when its entire text is one JSON value (only tried when
-the first non-white character is ``[`` or ``{``). Its events are then:
+A file is a document when its entire text is one JSON value. Its events are then:
 
 1. a list -> its items;
 2. an object whose ``data`` is a list -> ``data``;
@@ -11,47 +10,153 @@ the first non-white character is ``[`` or ``{``). Its events are then:
 4. an object whose ``events`` is a list -> ``events``;
 5. otherwise the file is read line by line after all.
 
-String items are passed on as they are, other items as their JSON text.
+String items are passed on as they are, other items as their JSON text. A
+document is decoded item by item, so its size is bounded by the 2 GiB that one
+value of Spark can hold; a larger file raises an error that names it and is
+never read as lines instead.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column
+import gzip
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logcase.functions.jsonvals import strict_value
+from logcase.sources.discover import as_literal, normalise_path
+
+_BLANK = re.compile(r"[ \t\n\r]*")
+_DECODER = json.JSONDecoder()
+#: Items that one output batch holds at most.
+_BATCH_ITEMS = 4096
+
+
+class _NotJson(ValueError):
+    pass
+
+
+def _skip(text: str, at: int) -> int:
+    return _BLANK.match(text, at).end()
+
+
+def _value(text: str, at: int) -> tuple[object, int]:
+    try:
+        return _DECODER.raw_decode(text, at)
+    except (ValueError, RecursionError) as e:
+        raise _NotJson from e
+
+
+def _members(text: str, at: int, close: str) -> Iterator[int]:
+    """Where each member of the list or object that opens at ``at`` starts. The caller sends where it ended; the last
+    value that comes is minus the place after the closing bracket."""
+    at = _skip(text, at + 1)
+    if text[at: at + 1] == close:
+        yield -(at + 1)
+        return
+    while True:
+        end = yield at
+        at = _skip(text, end)
+        mark = text[at: at + 1]
+        if mark == close:
+            yield -(at + 1)
+            return
+        if mark != ",":
+            raise _NotJson
+        at = _skip(text, at + 1)
+
+
+def _list_items(text: str, at: int) -> tuple[list[tuple[int, int]], int]:
+    """The spans of a list's items, each decoded once, and where the list ends."""
+    spans: list[tuple[int, int]] = []
+    walk = _members(text, at, "]")
+    start = next(walk)
+    while start >= 0:
+        _, end = _value(text, start)
+        spans.append((start, end))
+        start = walk.send(end)
+    return spans, -start
+
+
+def _fields(text: str, at: int, wanted: tuple[str, ...]) -> tuple[dict[str, tuple[int, list | None]], int]:
+    """Of an object, per wanted key (the last one counts): where its value starts, and the spans if it is a list."""
+    found: dict[str, tuple[int, list | None]] = {}
+    walk = _members(text, at, "}")
+    start = next(walk)
+    while start >= 0:
+        if text[start: start + 1] != '"':
+            raise _NotJson
+        key, colon = _value(text, start)
+        colon = _skip(text, colon)
+        if text[colon: colon + 1] != ":":
+            raise _NotJson
+        place = _skip(text, colon + 1)
+        if key in wanted and text[place: place + 1] == "[":
+            spans, end = _list_items(text, place)
+            found[key] = place, spans
+        else:
+            _, end = _value(text, place)
+            if key in wanted:
+                found[key] = place, None
+        start = walk.send(end)
+    return found, -start
+
 
+def _item_spans(text: str) -> list[tuple[int, int]] | None:
+    at = _skip(text, 0)
+    kind = text[at: at + 1]
+    if kind == "[":
+        spans, end = _list_items(text, at)
+        return spans if _skip(text, end) == len(text) else None
+    if kind != "{":
+        return None
+    fields, end = _fields(text, at, ("data", "results", "events"))
+    if _skip(text, end) != len(text):
+        return None
+    lists = {k: spans for k, (_, spans) in fields.items() if spans is not None}
+    if "data" in lists:
+        return lists["data"]
+    results = lists.get("results")
+    if results and text[results[0][0]] == "{":
+        inner = _fields(text, results[0][0], ("events",))[0].get("events", (0, None))[1]
+        return results if inner is None else inner
+    return lists.get("events")
 
-def _is_list(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
+def document_items(text: str) -> list[str] | None:
+    """The event texts of a document, or None if the text is none."""
+    try:
+        spans = _item_spans(text)
+    except _NotJson:
+        return None
+    if spans is None:
+        return None
+    return [json.loads(text[a:b]) if text[a] == '"' else text[a:b] for a, b in spans]
 
-def _is_object(v: Column) -> Column:
-    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
 
+def read_documents(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, line, value) of the events of those files that are documents, numbered from 1; each such file also has
+    a row with line 0 and no value, so that empty documents are known too."""
+    content = spark.read.format("binaryFile").load([as_literal(f) for f in files]).select(
+        normalise_path(F.col("path")).alias("file"), "content")
+    # One file a task and batch: whole contents never add up.
+    dealt = content.repartition(max(1, len(files)), "file")
 
-def unwrap_path(text: Column) -> Column:
-    """JSON path of the event list inside a document text, or null when the
-    text is not a document (not one JSON value, or no wrapper applies)."""
-    doc = strict_value(text)
-    data = F.try_variant_get(doc, "$.data", "variant")
-    results = F.try_variant_get(doc, "$.results", "variant")
-    r0 = F.try_variant_get(doc, "$.results[0]", "variant")
-    r0_events = F.try_variant_get(doc, "$.results[0].events", "variant")
-    events = F.try_variant_get(doc, "$.events", "variant")
-    return (F.when(doc.isNull(), F.lit(None))
-            .when(_is_list(doc), F.lit("$"))
-            .when(~_is_object(doc), F.lit(None))
-            .when(_is_list(data), F.lit("$.data"))
-            .when(_is_list(results) & _is_object(r0) & _is_list(r0_events), F.lit("$.results[0].events"))
-            .when(_is_list(results) & _is_object(r0), F.lit("$.results"))
-            .when(_is_list(events), F.lit("$.events")))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(name: str, first: int, values: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(values), pa.string()), pa.array(range(first, first + len(values)), pa.int64()),
+                                               pa.array(values, pa.string())], ["file", "line", "value"])
 
+        for batch in batches:
+            for name, content in zip(batch.column(0), batch.column(1)):
+                data = content.as_buffer()
+                data = gzip.decompress(data) if name.as_py().endswith(".gz") else data
+                items = document_items(str(data, "utf-8", "replace"))
+                if items is not None:
+                    yield out(name.as_py(), 0, [None])
+                    for k in range(0, len(items), _BATCH_ITEMS):
+                        yield out(name.as_py(), k + 1, items[k: k + _BATCH_ITEMS])
 
-def unwrap_items(text: Column, path: Column) -> Column:
-    """array<string> of event texts at ``path`` (source order and text kept)."""
-    lst = F.when(path == "$", text).otherwise(
-        F.when(path == "$.data", F.get_json_object(text, "$.data"))
-         .when(path == "$.results[0].events", F.get_json_object(text, "$.results[0].events"))
-         .when(path == "$.results", F.get_json_object(text, "$.results"))
-         .when(path == "$.events", F.get_json_object(text, "$.events")))
-    return F.from_json(lst, "array<string>")
+    return dealt.mapInArrow(run, "file string, line bigint, value string")

@@ -1,14 +1,16 @@
 """Ingest: files -> normalised, redacted events (+ manifest). S1-S10.
 
     discover -> split stats (one scan, tiny output, checkpointed)
-             -> per-file mode: lines | one-line document | whole document
-             -> numbered lines (second scan, joined to the split table)
-             -> unwrap documents -> parse + redact (``parse_lines``)
-
-Only files whose first non-blank line starts a JSON value that is not complete
-on that line are read whole (``wholetext``); a file of complete JSON lines
-with two or more non-blank lines cannot be one document and is never read
-whole. Caps are optional: a distributed ingest needs no row limit.
+             -> per-file mode: lines | document candidate
+             -> candidates: unwrap documents item by item
+             -> numbered lines of all other files (second scan, joined to the split table)
+             -> parse + redact (``parse_lines``)
+
+Only a file whose first non-blank line may open a JSON value that is not
+complete on that line, and whose last one ends with the matching bracket, is
+read whole; a file of complete JSON lines with two or more non-blank lines
+cannot be one document. Raw lines are never shuffled: the split table alone
+says which of them count. Caps are optional: a distributed ingest needs no row limit.
 """
 from __future__ import annotations
 
@@ -19,14 +21,15 @@ from pyspark.sql import functions as F
 
 from logcase.functions.redact import SECRET_PATTERNS, SecretPattern
 from logcase.operators.parse import parse_lines
-from logcase.plans.sizing import broadcast_if_small, materialize
+from logcase.plans.sizing import materialize
 from logcase.session import configure, ensure_checkpoint_dir
-from logcase.sources.discover import list_files, normalise_path, split_paths
-from logcase.sources.documents import unwrap_items, unwrap_path
+from logcase.sources.discover import as_literal, list_files, normalise_path, split_paths
+from logcase.sources.documents import read_documents
 from logcase.sources.lines import NONBLANK, number_lines, pin_split_layout, raw_scan, split_stats
 
-MAX_DOC_BYTES = 512 * 1024 * 1024   # a whole-document file larger than this is refused
-SPLIT_BROADCAST_ROWS = 500_000      # split-table rows (~100 B each + head) broadcast at most
+#: Bytes of the split table that are broadcast at most (a row is some 100 bytes and the file's name: tables of five
+#: million splits, or 600 TB in splits of 128 MB, stay below); a larger table is joined by shuffling.
+SPLIT_BROADCAST_BYTES = 1 << 30
 
 
 class IngestCapExceeded(Exception):
@@ -35,29 +38,27 @@ class IngestCapExceeded(Exception):
 
 def file_modes(stats: DataFrame) -> DataFrame:
     """Per split row, the file-level mode: 'lines', or 'doc' when the file may
-    be one JSON document (its first non-blank line opens ``[``/``{`` and either
-    it is the only non-blank line or it is not complete JSON by itself)."""
+    be one JSON document (its first non-blank line may open a list or object,
+    its last one closes the same, and the first either is the only non-blank
+    line or is not complete JSON by itself)."""
     first_split = F.when(F.col("nb") > 0, F.col("bs"))
     per_file = stats.groupBy("src", "file").agg(
         F.sum("nb").alias("file_nb"),
         F.min_by("first_open", first_split).alias("file_open"),
-        F.min_by("first_complete", first_split).alias("file_complete"))
-    mode = F.when((F.col("file_open") == 1) & ((F.col("file_nb") == 1) | (F.col("file_complete") == 0)), "doc") \
+        F.min_by("first_complete", first_split).alias("file_complete"),
+        F.max_by("last_close", first_split).alias("file_close"))
+    mode = F.when((F.col("file_open") > 0) & (F.col("file_open") == F.col("file_close")) & ((F.col("file_nb") == 1) | (F.col("file_complete") == 0)), "doc") \
         .otherwise("lines")
     return stats.join(per_file.select("src", "file", mode.alias("mode")), ["src", "file"])
 
 
-def _doc_rows(df: DataFrame, text_col: str) -> DataFrame:
-    """(file, line, value) of the events inside document texts; texts that
-    are not documents give no rows."""
-    path = unwrap_path(F.col(text_col))
-    items = unwrap_items(F.col(text_col), path)
-    return df.where(path.isNotNull()).select("file", F.posexplode(items).alias("pos", "value")) \
-        .select("file", (F.col("pos") + 1).cast("bigint").alias("line"), "value")
+def _broadcast_splits(stats: DataFrame) -> DataFrame:
+    """``stats`` (written already) marked for broadcast if its rows are surely few enough."""
+    size = stats.agg(F.sum(F.octet_length("file") + 100)).first()[0] or 0
+    return F.broadcast(stats) if size <= SPLIT_BROADCAST_BYTES else stats
 
 
-def read_event_lines(spark: SparkSession, paths, max_doc_bytes: int = MAX_DOC_BYTES,
-                     missing: str = "raise") -> tuple[DataFrame, DataFrame]:
+def read_event_lines(spark: SparkSession, paths, missing: str = "raise") -> tuple[DataFrame, DataFrame]:
     """Numbered, non-blank event texts ``(file, line, value)`` of all files,
     documents unwrapped; and the file listing ``(path, bytes, modified)``.
 
@@ -70,28 +71,26 @@ def read_event_lines(spark: SparkSession, paths, max_doc_bytes: int = MAX_DOC_BY
     listing = list_files(spark, src)
     raw = raw_scan(spark, src)
     stats = materialize(file_modes(split_stats(raw)), "splits")
-    numbered = number_lines(raw, broadcast_if_small(stats, SPLIT_BROADCAST_ROWS), extra=("mode",))
-    lines = numbered.where(F.col("value").rlike(NONBLANK)).select("file", "line", "value")
-
+    # names of candidate files: the driver's file index holds the names of all files anyway
     candidates = [r["file"] for r in stats.where(F.col("mode") == "doc").select("file").distinct().collect()]
-    if not candidates:
-        return lines, listing
-    too_big = [r["path"] for r in listing.where(F.col("path").isin(candidates))
-               .where(F.col("bytes") > max_doc_bytes).select("path").collect()]
-    if too_big:
-        raise IngestCapExceeded(f"document files larger than {max_doc_bytes} bytes: {too_big[:5]}")
-    docs = spark.read.text(candidates, wholetext=True).select(
-        normalise_path(F.col("_metadata.file_path")).alias("file"), "value")
-    # per-file verdict only (small); the texts are read again for the items
-    unwrapped_files = materialize(docs.where(unwrap_path(F.col("value")).isNotNull()).select("file"), "docs")
-    kept = lines.join(broadcast_if_small(unwrapped_files, SPLIT_BROADCAST_ROWS), "file", "left_anti")
-    items = _doc_rows(docs, "value").where(F.col("value").rlike(NONBLANK))
-    return kept.unionByName(items), listing
+    items = None
+    if candidates:
+        unwrapped = materialize(read_documents(spark, candidates), "docs")
+        whole = unwrapped.where("line = 0").select("file", F.lit(True).alias("unwrapped"))
+        stats = stats.join(whole, "file", "left").withColumn("mode", F.when(F.col("unwrapped"), "unwrapped").otherwise(F.col("mode")))
+        stats = materialize(stats.drop("unwrapped"), "splits")
+        items = unwrapped.where("line > 0")
+    numbered = number_lines(raw, _broadcast_splits(stats), extra=("mode",))
+    # an unknown split has no mode: its rows must stay, so that their line number fails loudly
+    numbered = numbered.where(F.coalesce("mode", F.lit("lines")) != "unwrapped")
+    lines = numbered.select("file", "line", "value")
+    lines = lines if items is None else lines.unionByName(items)
+    return lines.where(F.col("value").rlike(NONBLANK)), listing
 
 
 def ingest(spark: SparkSession, paths, fallback_ts: dt.datetime | str | Column | None = None,
            patterns: tuple[SecretPattern, ...] = SECRET_PATTERNS, max_bytes: int | None = None,
-           max_rows: int | None = None, max_doc_bytes: int = MAX_DOC_BYTES,
+           max_rows: int | None = None,
            rebalance: bool = False) -> tuple[DataFrame, DataFrame]:
     """Events DataFrame (store schema + trace_id, request_id, format,
     ts_source) and the file listing. ``max_bytes``/``max_rows`` are optional
@@ -100,7 +99,7 @@ def ingest(spark: SparkSession, paths, fallback_ts: dt.datetime | str | Column |
     ``rebalance=True`` redistributes the numbered lines before parsing (an
     AQE rebalance, which also splits skewed partitions): worth a shuffle when
     a few large gzip files -- one task each -- hold much of the input."""
-    lines, listing = read_event_lines(spark, paths, max_doc_bytes=max_doc_bytes)
+    lines, listing = read_event_lines(spark, paths)
     if rebalance:
         lines = lines.hint("rebalance")
     if max_bytes is not None:
@@ -130,9 +129,9 @@ def manifest(events: DataFrame, listing: DataFrame, with_sha256: bool = False,
     if with_sha256:
         if spark is None:
             raise ValueError("spark is required for sha256")
-        paths = [r["path"] for r in listing.select("path").collect()]
+        paths = [as_literal(r["path"]) for r in listing.select("path").collect()]
         sha = spark.read.format("binaryFile").load(paths).select(
-            F.regexp_replace("path", r"^file:(//)?", "").alias("path"), F.sha2("content", 256).alias("sha256"))
+            normalise_path(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
         files = files.join(sha, "path", "left")
     totals = files.agg(F.sum("rows").alias("total_rows"), F.min("ts_min").alias("start"),
                        F.max("ts_max").alias("end"), F.count(F.lit(1)).alias("n_files"),

@@ -10,9 +10,10 @@ Line numbers are computed without moving raw rows:
    ``line = first_line + (id - min_id) + 1``.
 
 Gzip files are one split each. Blank lines are numbered, then dropped.
-Per split the first non-blank line's shape is kept too (does it open with
-``[``/``{``, is it one complete JSON value): it lets the document rules decide
-most files without reading them whole. Only fixed-width values enter the
+Per split the shapes of its first and last non-blank lines are kept too (may
+the first open a JSON list or object, is it one complete JSON value, does the
+last one end with a closing bracket): they let the document rules decide most
+files without reading them whole. Only fixed-width values enter the
 aggregate, so it stays a hash aggregate (a string buffer would make Spark sort
 every raw line).
 """
@@ -22,10 +23,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logcase.functions.jsonvals import strict_value
-from logcase.sources.discover import LOG_GLOB, LogSources, normalise_path
+from logcase.sources.discover import LOG_GLOB, LogSources, as_literal, normalise_path
 
 NONBLANK = r"(?U)\S"          # Python str.strip() removes Unicode white space
-OPENS_JSON = r"^(?U)\s*[\[{]"  # first non-white character starts a list or object
+# The line may open a JSON list or object: after the bracket comes what JSON allows there, or nothing.
+# (A log line such as "[2026-04-17 02:58:04] ..." or "[main] ..." does not.)
+OPENS_LIST = r'^(?U)\s*\[\s*($|[\[{"\]]|(-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?|true|false|null|NaN|-?Infinity)\s*(,|\]|$))'
+OPENS_OBJECT = r'^(?U)\s*\{\s*($|["}])'
+CLOSES_LIST, CLOSES_OBJECT = r"(?U)\]\s*$", r"(?U)\}\s*$"
 
 
 def raw_scan(spark: SparkSession, src: LogSources) -> DataFrame:
@@ -34,14 +39,14 @@ def raw_scan(spark: SparkSession, src: LogSources) -> DataFrame:
     parts = []
     if src.dirs:
         parts.append((0, spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", LOG_GLOB)
-                      .text(list(src.dirs))))
+                      .text([as_literal(d) for d in src.dirs])))
     if src.files:
-        parts.append((1, spark.read.text(list(src.files))))
+        parts.append((1, spark.read.text([as_literal(f) for f in src.files])))
     if not parts:
         raise ValueError("no log files to read")
     out = None
     for tag, df in parts:
-        d = df.select(F.lit(tag).alias("src"), normalise_path(F.col("_metadata.file_path")).alias("file"),
+        d = df.select(F.lit(tag).alias("src"), normalise_path(F.col("_metadata.file_path"), encoded=True).alias("file"),
                       F.col("_metadata.file_block_start").alias("bs"),
                       F.monotonically_increasing_id().alias("mid"), "value")
         out = d if out is None else out.unionByName(d)
@@ -50,19 +55,22 @@ def raw_scan(spark: SparkSession, src: LogSources) -> DataFrame:
 
 def split_stats(raw: DataFrame) -> DataFrame:
     """One row per split: rows, first id, non-blank rows, whether its first
-    non-blank line opens a JSON list/object (``first_open``) and is one
-    complete JSON value (``first_complete``), and the split's first line
-    number (``off``). The JSON verdict is only computed for lines that open
-    with ``[``/``{``."""
-    nb = F.col("value").rlike(NONBLANK)
-    opens = F.col("value").rlike(OPENS_JSON)
-    complete = F.when(opens, strict_value(F.col("value")).isNotNull()).otherwise(F.lit(False))
+    non-blank line may open a JSON list (``first_open`` 1) or object (2) and is
+    one complete JSON value (``first_complete``), whether its last one closes a
+    list (``last_close`` 1) or object (2), and the split's first line number
+    (``off``). The JSON verdict is only computed for lines that may open one."""
+    value = F.col("value")
+    nb = value.rlike(NONBLANK)
+    opens = F.when(value.rlike(OPENS_OBJECT), 2).when(value.rlike(OPENS_LIST), 1).otherwise(0)
+    closes = F.when(value.rlike(CLOSES_OBJECT), 2).when(value.rlike(CLOSES_LIST), 1).otherwise(0)
+    complete = F.when(opens > 0, strict_value(value).isNotNull()).otherwise(F.lit(False))
     first = F.when(nb, F.col("mid"))
     st = raw.groupBy("src", "file", "bs").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("mid").alias("m0"),
         F.count_if(nb).alias("nb"),
-        F.min_by(opens.cast("int"), first).alias("first_open"),
+        F.min_by(opens, first).alias("first_open"),
+        F.max_by(closes, first).alias("last_close"),
         F.min_by(complete.cast("int"), first).alias("first_complete"),
     )
     w = Window.partitionBy("src", "file").orderBy("bs").rowsBetween(Window.unboundedPreceding, -1)

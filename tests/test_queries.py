@@ -98,3 +98,14 @@ def test_trace_pushes_ids_to_parquet(spark, ev):
     pushed = plan[plan.index("PushedFilters:"):].split("]")[0]
     print(pushed)
     assert "EqualTo(trace_id,run-31)" in pushed and "EqualTo(request_id,run-31)" in pushed
+
+
+def test_around_counts_and_services(spark, ev):
+    anchors = ev.where("level = 'error'").select(F.concat_ws("#", "file", "line").alias("anchor_id"), F.col("ts").alias("anchor_ts"),
+                                                 F.when(F.col("line") % 2 == 0, F.col("service")).alias("only"))
+    pairs = Q.around_many(ev, anchors, 45)
+    want = {r.anchor_id: r["count"] for r in pairs.groupBy("anchor_id").count().collect()}
+    assert {r.anchor_id: r.n for r in Q.around_counts(ev, anchors, 45).collect()} == want and max(want.values()) > 1
+    some = Q.around_many(ev, anchors, 45, anchor_service="only").join(anchors.select("anchor_id", "only"), "anchor_id")
+    assert some.where("only is not null and only <> service").count() == 0
+    assert some.where("only is null").count() == pairs.join(anchors.where("only is null").select("anchor_id"), "anchor_id").count()
