@@ -272,13 +272,17 @@ def _case_doc() -> "F.Column":
     return F.to_json(doc)
 
 
-def _case_files(spark: SparkSession, sf: str) -> DataFrame:
-    from logcase.operators.casefile import parse_cases, validate_cases
+def case_document(spark: SparkSession, sf: str) -> DataFrame:
+    """(case_id, text): one case file per event."""
     configure(spark)
     ev = load_table(spark, sf, "events").select("event_id", "value")
     view = load_log_view(spark, sf).join(ev, "event_id")
-    docs = view.select(F.col("event_id").alias("case_id"), _case_doc().alias("text"))
-    return validate_cases(parse_cases(docs))
+    return view.select(F.col("event_id").alias("case_id"), _case_doc().alias("text"))
+
+
+def _case_files(spark: SparkSession, sf: str) -> DataFrame:
+    from logcase.operators.casefile import parse_cases, validate_cases
+    return validate_cases(parse_cases(case_document(spark, sf)))
 
 
 def q_case_steps(spark: SparkSession, sf: str) -> DataFrame:

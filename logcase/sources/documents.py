@@ -20,7 +20,7 @@ from __future__ import annotations
 import gzip
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 from logcase.sources.discover import as_literal, normalise_path
 
 _BLANK = re.compile(r"[ \t\n\r]*")
-_DECODER = json.JSONDecoder()
 #: Items that one output batch holds at most.
 _BATCH_ITEMS = 4096
 
@@ -42,9 +41,9 @@ def _skip(text: str, at: int) -> int:
     return _BLANK.match(text, at).end()
 
 
-def _value(text: str, at: int) -> tuple[object, int]:
+def _value(text: str, at: int, json_at: Callable[[str, int], tuple[object, int]]) -> tuple[object, int]:
     try:
-        return _DECODER.raw_decode(text, at)
+        return json_at(text, at)
     except (ValueError, RecursionError) as e:
         raise _NotJson from e
 
@@ -68,19 +67,19 @@ def _members(text: str, at: int, close: str) -> Iterator[int]:
         at = _skip(text, at + 1)
 
 
-def _list_items(text: str, at: int) -> tuple[list[tuple[int, int]], int]:
+def _list_items(text: str, at: int, json_at: Callable) -> tuple[list[tuple[int, int]], int]:
     """The spans of a list's items, each decoded once, and where the list ends."""
     spans: list[tuple[int, int]] = []
     walk = _members(text, at, "]")
     start = next(walk)
     while start >= 0:
-        _, end = _value(text, start)
+        _, end = _value(text, start, json_at)
         spans.append((start, end))
         start = walk.send(end)
     return spans, -start
 
 
-def _fields(text: str, at: int, wanted: tuple[str, ...]) -> tuple[dict[str, tuple[int, list | None]], int]:
+def _fields(text: str, at: int, wanted: tuple[str, ...], json_at: Callable) -> tuple[dict[str, tuple[int, list | None]], int]:
     """Of an object, per wanted key (the last one counts): where its value starts, and the spans if it is a list."""
     found: dict[str, tuple[int, list | None]] = {}
     walk = _members(text, at, "}")
@@ -88,16 +87,16 @@ def _fields(text: str, at: int, wanted: tuple[str, ...]) -> tuple[dict[str, tupl
     while start >= 0:
         if text[start: start + 1] != '"':
             raise _NotJson
-        key, colon = _value(text, start)
+        key, colon = _value(text, start, json_at)
         colon = _skip(text, colon)
         if text[colon: colon + 1] != ":":
             raise _NotJson
         place = _skip(text, colon + 1)
         if key in wanted and text[place: place + 1] == "[":
-            spans, end = _list_items(text, place)
+            spans, end = _list_items(text, place, json_at)
             found[key] = place, spans
         else:
-            _, end = _value(text, place)
+            _, end = _value(text, place, json_at)
             if key in wanted:
                 found[key] = place, None
         start = walk.send(end)
@@ -105,14 +104,14 @@ def _fields(text: str, at: int, wanted: tuple[str, ...]) -> tuple[dict[str, tupl
 
 
 def _item_spans(text: str) -> list[tuple[int, int]] | None:
-    at = _skip(text, 0)
+    at, json_at = _skip(text, 0), json.JSONDecoder().raw_decode
     kind = text[at: at + 1]
     if kind == "[":
-        spans, end = _list_items(text, at)
+        spans, end = _list_items(text, at, json_at)
         return spans if _skip(text, end) == len(text) else None
     if kind != "{":
         return None
-    fields, end = _fields(text, at, ("data", "results", "events"))
+    fields, end = _fields(text, at, ("data", "results", "events"), json_at)
     if _skip(text, end) != len(text):
         return None
     lists = {k: spans for k, (_, spans) in fields.items() if spans is not None}
@@ -120,7 +119,7 @@ def _item_spans(text: str) -> list[tuple[int, int]] | None:
         return lists["data"]
     results = lists.get("results")
     if results and text[results[0][0]] == "{":
-        inner = _fields(text, results[0][0], ("events",))[0].get("events", (0, None))[1]
+        inner = _fields(text, results[0][0], ("events",), json_at)[0].get("events", (0, None))[1]
         return results if inner is None else inner
     return lists.get("events")
 
