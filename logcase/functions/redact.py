@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 @dataclass(frozen=True)
 class SecretPattern:
     name: str
-    regex: str          # Python/RE2 syntax, shared with the DuckDB oracle
+    regex: str          # Python/RE2 syntax
     replacement: str
     marker: str         # literal every match contains; used by the guard
 

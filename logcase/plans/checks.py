@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logcase.functions.redact import SECRET_PATTERNS, redact, redaction_audit
+from logcase.functions.redact import redact, redaction_audit
 from logcase.operators import grading as G
 from logcase.operators import queries as Q
 from logcase.operators.parse import parse_lines
@@ -204,13 +204,13 @@ def q_trace_many(spark: SparkSession, sf: str) -> DataFrame:
     return _rows_ntz(Q.trace_many(view, ids))
 
 
-# Secret injected into each document, by doc_id mod 9 (8 = none). Literals are
+# Secret injected into each document, by doc_id mod 9 (8 = none). Key heads are
 # split so that secret scanners do not flag this file.
 def _injected_secret() -> "F.Column":
     h = F.md5(F.col("text"))
     nl = F.lit("\n")
     kinds = [
-        F.concat(F.lit(" Bear" + "er "), h),
+        F.concat(F.lit(" Bearer "), h),
         F.concat(F.lit(" sk_" + "live_"), h),
         F.concat(F.lit(" sk_" + "test_"), h),
         F.concat(F.lit(" AK" + "IA"), F.upper(F.substring(h, 1, 16))),
@@ -398,9 +398,23 @@ def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+# What counts as a secret, written out for DuckDB apart from the product's own list (name, pattern, replacement; in
+# order of application), so that a wrong pattern there cannot agree with itself here.
+_SECRETS_SQL = (
+    ("bearer", r"Bearer\s+[\w.~+/=-]{16,}", "Bearer [REDACTED_BEARER]"),
+    ("stripe_live", r"sk_live_[[:alnum:]]{16,}", "[REDACTED_STRIPE_KEY]"),
+    ("stripe_test", r"sk_test_[[:alnum:]]{16,}", "[REDACTED_STRIPE_TEST_KEY]"),
+    ("aws_access_key", r"AKIA[A-Z\d]{16}", "[REDACTED_AWS_ACCESS_KEY]"),
+    ("jwt", r"eyJ[\w=-]{10,}[.][\w=-]{10,}[.][\w.+/=-]{10,}", "[REDACTED_JWT]"),
+    ("private_key", r"(?s)-----BEGIN [A-Z ]+PRIVATE KEY-----.+?-----END [A-Z ]+PRIVATE KEY-----", "[REDACTED_PRIVATE_KEY]"),
+    ("github_token", r"ghp_[[:alnum:]]{30,}", "[REDACTED_GITHUB_TOKEN]"),
+    ("slack_token", r"xox[abprs]-[[:alnum:]-]{10,}", "[REDACTED_SLACK_TOKEN]"),
+)
+
+
 def _redact_sql(expr: str) -> str:
-    for p in SECRET_PATTERNS:
-        expr = f"regexp_replace({expr}, {_sql_str(p.regex)}, {_sql_str(p.replacement)}, 'g')"
+    for _, pattern, marker in _SECRETS_SQL:
+        expr = f"regexp_replace({expr}, {_sql_str(pattern)}, {_sql_str(marker)}, 'g')"
     return expr
 
 
@@ -412,7 +426,7 @@ _MIXED_TS_SQL = "CASE WHEN msg LIKE 'view %' THEN date_trunc('millisecond', ts)
 
 _INJECTED_SQL = """
 SELECT doc_id, text || CASE doc_id % 9
-    WHEN 0 THEN ' Bear' || 'er ' || md5(text)
+    WHEN 0 THEN ' Bearer ' || md5(text)
     WHEN 1 THEN ' sk_' || 'live_' || md5(text)
     WHEN 2 THEN ' sk_' || 'test_' || md5(text)
     WHEN 3 THEN ' AK' || 'IA' || upper(substr(md5(text), 1, 16))
@@ -427,11 +441,11 @@ FROM documents
 
 def _audit_sql() -> str:
     parts = []
-    for i, p in enumerate(SECRET_PATTERNS):
+    for i, (name, pattern, marker) in enumerate(_SECRETS_SQL):
         parts.append(
-            f"SELECT CAST({i} AS BIGINT) AS pattern_order, '{p.name}' AS pattern, "
-            f"CAST(count_if(regexp_matches(redacted, {_sql_str(p.regex)})) AS BIGINT) AS leaked_rows, "
-            f"CAST(count_if(contains(redacted, {_sql_str(p.replacement)})) AS BIGINT) AS redacted_rows FROM red")
+            f"SELECT CAST({i} AS BIGINT) AS pattern_order, '{name}' AS pattern, "
+            f"CAST(count_if(regexp_matches(redacted, {_sql_str(pattern)})) AS BIGINT) AS leaked_rows, "
+            f"CAST(count_if(contains(redacted, {_sql_str(marker)})) AS BIGINT) AS redacted_rows FROM red")
     return (f"WITH inj AS ({_INJECTED_SQL}), red AS (SELECT doc_id, {_redact_sql('line')} AS redacted FROM inj)\n"
             + "\nUNION ALL\n".join(parts))
 
