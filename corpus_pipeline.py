@@ -11,10 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from logcase.llm import bpe_chunks, decontaminate, line_dedup, near_dup, quality_rules
-from logcase.llm.common import table
+from logcase.llm.common import configure, table
 from logcase.llm.registered import VOCABULARY
 from logcase.plans.sizing import materialize
-from logcase.session import configure
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

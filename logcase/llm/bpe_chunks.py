@@ -32,7 +32,9 @@ from logcase.llm.common import text_of
 CUT_MASK = np.uint16(0xFFE0)
 MIN_CHUNK = 512
 MAX_CHUNK = 16_384
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 32 << 20
+#: Rows that a task encodes at once.
+_ROWS = 128
 #: The public pre-split pattern of the byte-level encoder.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _GEAR = ((np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.uint16)
@@ -184,15 +186,17 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text", gathe
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder(Vocabulary(*shared.value))
         for batch in batches:
-            texts = [x.as_py().encode() for x in batch.column(1)]
-            whole = np.frombuffer(b"".join(texts), np.uint8)
-            cuts, safe = rolling_cuts(whole), safe_places(whole)
-            found, at = [], 0
-            for t in texts:
-                inner = [x[np.searchsorted(x, at, "right"): np.searchsorted(x, at + len(t) - 1)] - at for x in (cuts, safe)]
-                found.append(encoder.encode(t, *inner).astype("<u4").tobytes())
-                at += len(t)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["row", "ids"])
+            for low in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(low, _ROWS)
+                texts = [x.as_py().encode() for x in part.column(1)]
+                whole = np.frombuffer(b"".join(texts), np.uint8)
+                cuts, safe = rolling_cuts(whole), safe_places(whole)
+                found, at = [], 0
+                for t in texts:
+                    inner = [x[np.searchsorted(x, at, "right"): np.searchsorted(x, at + len(t) - 1)] - at for x in (cuts, safe)]
+                    found.append(encoder.encode(t, *inner).astype("<u4").tobytes())
+                    at += len(t)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["row", "ids"])
 
     return body.mapInArrow(encode, schema)
 
@@ -205,8 +209,10 @@ def decode_documents(encoded: DataFrame, vocabulary: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(*shared.value)
         for batch in batches:
-            texts = [vocabulary.decode(np.frombuffer(x.as_py(), "<u4")) for x in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*batch.schema.names, "decoded"])
+            for low in range(0, batch.num_rows, _ROWS):
+                part = batch.slice(low, _ROWS)
+                texts = [vocabulary.decode(np.frombuffer(x.as_py(), "<u4")) for x in part.column(at)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     return encoded.mapInArrow(decode, StructType([*encoded.schema.fields, StructField("decoded", StringType())]))
 

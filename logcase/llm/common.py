@@ -4,12 +4,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logcase import session
+
 #: White space of the word and line rules: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = "[\\x20\\x09-\\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Bounds of the Arrow batches that go to Python workers: long texts make small batches.
+ARROW_CONF = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """The library's session settings and bounded Arrow batches."""
+    for key, value in ARROW_CONF.items():
+        spark.conf.set(key, value)
+    return session.configure(spark)
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-cases A-Z and nothing else. Pure ASCII text (most of it) takes the fast built-in."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, UPPER.lower()))

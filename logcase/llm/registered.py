@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logcase.llm import bpe_chunks, chat_snapshots, decontaminate, line_dedup, near_dup, oracles, quality_model, quality_rules, secret_scan, toxicity, url_rules
-from logcase.llm.common import fold, table
-from logcase.session import configure
+from logcase.llm.common import configure, fold, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
