@@ -54,6 +54,9 @@ PLAIN_SERVICE, PLAIN_LEVEL = "unknown", "info"
 _TEXT_KEYS = tuple(sorted({k for table in (SERVICE_KEYS, LEVEL_KEYS, MSG_KEYS) for keys, _ in table.values()
                            for k in keys} | set(GENERIC_TS_KEYS) | {"_time", "timestamp"}))
 
+#: Shapes that are looked for, in this order; what none of them claims is generic JSON or text.
+DETECTORS = ("splunk", "datadog", "newrelic", "honeycomb")
+
 _NUMERIC_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "BOOLEAN")
 
 
@@ -75,10 +78,14 @@ def _by_format(fmt: Column, branches: dict[str, Column], otherwise: Column | Non
 
 def parse_lines(df: DataFrame, value_col: str = "value",
                 fallback_ts: dt.datetime | str | Column | None = None,
-                patterns: tuple[SecretPattern, ...] = SECRET_PATTERNS) -> DataFrame:
+                patterns: tuple[SecretPattern, ...] = SECRET_PATTERNS,
+                detectors: tuple[str, ...] = DETECTORS) -> DataFrame:
     """Parse ``value_col`` into ts, service, level, msg, raw, trace_id,
     request_id, format, ts_source. Other columns pass through unchanged; the
-    value column is dropped."""
+    value column is dropped. ``detectors``: the shapes to look for, in order;
+    the first that fits wins."""
+    if unknown := set(detectors) - set(DETECTORS):
+        raise ValueError(f"unknown detectors {sorted(unknown)}")
     keep = [F.col(c) for c in df.columns if c != value_col]
     names = [c for c in df.columns if c != value_col]
     v = F.col("_v")
@@ -102,9 +109,11 @@ def parse_lines(df: DataFrame, value_col: str = "value",
     is_honeycomb = (F.map_contains_key(o, "time") & hc_src.isNotNull()
                     & (F.map_contains_key(o, "samplerate")
                        | F.exists(F.map_keys(hc_src), lambda k: k.rlike(HONEYCOMB_KEY_RE))))
-    fmt = (F.when(o.isNull(), "text").when(is_splunk, "splunk").when(is_datadog, "datadog")
-           .when(F.coalesce(is_newrelic, F.lit(False)), "newrelic")
-           .when(F.coalesce(is_honeycomb, F.lit(False)), "honeycomb").otherwise("generic"))
+    fits = {"splunk": is_splunk, "datadog": is_datadog, "newrelic": is_newrelic, "honeycomb": is_honeycomb}
+    fmt = F.when(o.isNull(), "text")
+    for name in detectors:
+        fmt = fmt.when(F.coalesce(fits[name], F.lit(False)), name)
+    fmt = fmt.otherwise("generic")
     s2 = s1.select(*names, "_v", "_o", fmt.alias("_fmt"),
                    F.when(o.isNotNull(), res.isNotNull()).alias("_res_obj"),
                    attrs_truthy.alias("_dd_attrs"))

@@ -112,20 +112,25 @@ def around(events: DataFrame, ts: dt.datetime | str, window_s: float = 60,
     return _rows(events.where(cond)).orderBy(*ROW_ORDER)
 
 
-def trace_predicate(events: DataFrame, trace_id: str) -> Column:
+def trace_predicate(events: DataFrame, trace_id: str, id_paths: tuple[str, ...] = ()) -> Column:
     """top-level ``trace_id`` or ``request_id`` of raw equals the id.
-    Uses the columns materialised at ingest when present."""
+    Uses the columns materialised at ingest when present. ``id_paths``: more
+    places in ``raw``, as JSON paths (``$.attributes.trace_id``,
+    ``$['trace.trace_id']``); they are read from every row, without pushdown."""
     if "trace_id" in events.columns and "request_id" in events.columns:
         tid, rid = F.col("trace_id"), F.col("request_id")
     else:
         tid, rid = F.get_json_object("raw", "$.trace_id"), F.get_json_object("raw", "$.request_id")
     # plain equalities (null counts as false in a filter) so that Parquet gets them
-    return (tid == trace_id) | (rid == trace_id)
+    found = (tid == trace_id) | (rid == trace_id)
+    for path in id_paths:
+        found = found | (F.get_json_object("raw", path) == trace_id)
+    return found
 
 
-def trace(events: DataFrame, trace_id: str) -> DataFrame:
+def trace(events: DataFrame, trace_id: str, id_paths: tuple[str, ...] = ()) -> DataFrame:
     """Q5: all rows of one correlation id, in time order."""
-    return _rows(events.where(trace_predicate(events, trace_id))).orderBy(*ROW_ORDER)
+    return _rows(events.where(trace_predicate(events, trace_id, id_paths))).orderBy(*ROW_ORDER)
 
 
 def with_msg_short(df: DataFrame, query: str) -> DataFrame:

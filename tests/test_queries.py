@@ -109,3 +109,11 @@ def test_around_counts_and_services(spark, ev):
     some = Q.around_many(ev, anchors, 45, anchor_service="only").join(anchors.select("anchor_id", "only"), "anchor_id")
     assert some.where("only is not null and only <> service").count() == 0
     assert some.where("only is null").count() == pairs.join(anchors.where("only is null").select("anchor_id"), "anchor_id").count()
+
+
+def test_trace_with_more_id_places(spark):
+    rows = [("{\"attributes\":{\"trace_id\":\"t1\"}}", 1), ("{\"trace.trace_id\":\"t1\"}", 2), ("{\"trace_id\":\"t1\"}", 3), ("{\"trace_id\":\"t2\"}", 4)]
+    df = spark.createDataFrame(rows, "raw string, line bigint").selectExpr(
+        "timestamp'2025-01-01' as ts", "'s' as service", "'info' as level", "'m' as msg", "raw", "'f' as file", "line")
+    assert [r.line for r in Q.trace(df, "t1").collect()] == [3]
+    assert [r.line for r in Q.trace(df, "t1", ("$.attributes.trace_id", "$['trace.trace_id']")).collect()] == [1, 2, 3]
