@@ -114,9 +114,9 @@ def thresholds(found: DataFrame) -> DataFrame:
     """(class, limit): the last score bin of each length class whose tokens are discoveries."""
     hist = found.where(F.col("kind").isin("random", "control")).groupBy("class", "bin").agg(
         F.count_if(F.col("kind") == "random").alias("tokens"), F.count_if(F.col("kind") == "control").alias("controls"))
-    classes = found.sparkSession.createDataFrame([(c,) for c in LENGTH_CLASSES], "c int")
     # Controls count for their own class and all longer ones. All these tables have at most classes x bins rows.
-    spread = hist.join(F.broadcast(classes), F.col("c") >= F.col("class")).groupBy("c", "bin").agg(
+    longer = F.filter(F.array(*map(F.lit, LENGTH_CLASSES)), lambda c: c >= F.col("class"))
+    spread = hist.withColumn("c", F.explode(longer)).groupBy("c", "bin").agg(
         F.sum("controls").alias("controls"), F.sum(F.when(F.col("c") == F.col("class"), F.col("tokens")).otherwise(0)).alias("tokens"))
     upto = Window.partitionBy("c").orderBy("bin")
     whole = Window.partitionBy("c")
