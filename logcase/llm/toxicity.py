@@ -6,9 +6,9 @@ composed into one table; it runs over the symbols of each clause and adds every
 which it stands: plain, aimed at someone, negated or reported; a threat counts where it has a target. A document's
 score is a logistic function of the sums of its clauses, so a word alone, read in no clause, has no say.
 
-Learning: document frequencies of word prefixes by class, counted in tasks and summed by a partial and a final
-aggregate, then a logistic fit of the clause sums. Both use at most about ``FIT_ROWS`` labelled rows, chosen by a hash
-of the id. Scoring reads every text whole, in pieces of bounded size.
+Learning: document frequencies of word prefixes, first in toxic texts, then of the prefixes found often there in clean
+ones, counted in tasks and summed by a partial and a final aggregate; then a logistic fit of the clause sums. All of it
+uses at most about ``FIT_ROWS`` labelled rows, chosen by a hash of the id. Scoring reads every text whole, in pieces of bounded size.
 
 Defined results: null and empty texts have no clauses and get the score of that. Repeated rows are scored alike. If
 the labelled rows hold one class only (or none), every score is that class (0 if none). An empty table gives an empty
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -29,9 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logcase.llm.common import text_of
+from logcase.plans.sizing import materialize
 
 #: Bound on the labelled rows that a fit uses (documented sample; all other passes read everything).
-FIT_ROWS = 30_000
+FIT_ROWS = 12_000
 #: Entries of the insult automaton: prefixes of these lengths (or whole shorter words), in at least so many toxic
 #: texts, whose log-odds are surely (lower bound of the 90 % interval, which is their weight) at least so high.
 PREFIX_SIZES = range(3, 13)
@@ -217,29 +219,28 @@ def evidence(docs: DataFrame, grammar: Grammar, keep: tuple[str, ...] = ()) -> D
     return source.mapInArrow(run, schema)
 
 
-def _prefix_counts(rows: DataFrame) -> DataFrame:
-    """(stem, toxic, clean): in how many texts of each class a word starts with the stem."""
+def _prefix_counts(texts: DataFrame, only: frozenset[str] | None = None) -> DataFrame:
+    """(stem, n): in how many texts a word starts with the stem. ``only``: the stems to count (all)."""
+    shared = texts.sparkSession.sparkContext.broadcast(only)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
-            stems = list(counts[1].keys() | counts[0].keys())
-            return pa.RecordBatch.from_arrays([pa.array(stems, pa.string()), *(pa.array([counts[y][s] for s in stems], pa.int64()) for y in (1, 0))],
-                                              ["stem", "toxic", "clean"])
+        def out(counts: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["stem", "n"])
 
-        counts = Counter(), Counter()
+        counts, wanted = Counter(), shared.value
         for batch in batches:
-            for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
+            for text in batch.column(0):
                 stems = set()
                 for line in pieces(text.as_py()):
                     words = set(_WORD.findall(line.lower()))
                     stems.update(w[:k] for w in words for k in PREFIX_SIZES if k <= len(w))
-                counts[label].update(stems)
-                if len(counts[0]) + len(counts[1]) > 500_000:
+                counts.update(stems if wanted is None else stems & wanted)
+                if len(counts) > 500_000:
                     yield out(counts)
-                    counts = Counter(), Counter()
+                    counts = Counter()
         yield out(counts)
 
-    return rows.mapInArrow(run, "stem string, toxic bigint, clean bigint").groupBy("stem").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return texts.mapInArrow(run, "stem string, n bigint").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[np.ndarray, float]:
@@ -261,21 +262,33 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     n = labels.count()
     if n > FIT_ROWS:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < FIT_ROWS)
-    rows = docs.select("doc_id", text_of(docs).alias("text")).join(labels, "doc_id").select("doc_id", "text", "label")
+    labels = materialize(labels.distinct(), "toxic-labels")
     per_class = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     if len(per_class) < 2:
         return Grammar(constant=float(next(iter(per_class), 0)))
-    log_odds = F.log((F.col("toxic") + 0.5) / (per_class[1] + 1)) - F.log((F.col("clean") + 0.5) / (per_class[0] + 1))
-    doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5)) * 1.645
-    stems = _prefix_counts(rows.select("text", "label")).where(F.col("toxic") >= MIN_TOXIC_TEXTS).withColumn("weight", log_odds - doubt) \
-        .where(F.col("weight") >= MIN_LOG_ODDS).orderBy(F.desc("weight"), F.desc("toxic"), "stem").limit(MAX_STEMS).collect()
-    first = Grammar({r["stem"]: round(r["weight"], 2) for r in stems})
+    # The sample is broadcast, so that of the documents only its texts move; its size has just been counted.
+    if sum(per_class.values()) > 2 * FIT_ROWS:
+        raise ValueError("the hash of the ids does not spread the labelled rows")
+    rows = docs.select("doc_id", text_of(docs).alias("text")).join(F.broadcast(labels), "doc_id")
+    # Of an id that repeats, one text: else one id could make the sample as large as the corpus.
+    rows = materialize(rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label"), "toxic-sample")
+    often = _prefix_counts(rows.where("label = 1").select("text")).where(F.col("n") >= MIN_TOXIC_TEXTS).collect()
+    toxic = {r["stem"]: r["n"] for r in often}
+    clean = {r["stem"]: r["n"] for r in _prefix_counts(rows.where("label = 0").select("text"), frozenset(toxic)).collect()}
+    stems = {s: round(w, 2) for s, n in toxic.items() if (w := _weight(n, clean.get(s, 0), per_class[1], per_class[0])) >= MIN_LOG_ODDS}
+    first = Grammar(dict(sorted(stems.items(), key=lambda x: (-x[1], x[0]))[:MAX_STEMS]))
     seen = evidence(rows, first, ("label",)).collect()
     x = np.log1p(np.array([[r[c] for c in _INPUTS] for r in seen], float).reshape(-1, len(_INPUTS)))
     weights, shift = _logistic(x, np.array([r["label"] for r in seen], float))
     return Grammar(first.stems, tuple(weights.tolist()), shift)
 
 
+def _weight(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """Lower bound of the log-odds of a stem that so many texts of each class have."""
+    odds = math.log((toxic + 0.5) / (n_toxic + 1)) - math.log((clean + 0.5) / (n_clean + 1))
+    return odds - 1.645 * math.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+
+
 def score(docs: DataFrame, grammar: Grammar) -> DataFrame:
     out = evidence(docs, grammar).withColumn("score", grammar.score())
     return out.select("doc_id", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), *EVIDENCE)
