@@ -20,7 +20,6 @@ the search, so other columns cannot clash. A very long text is one row with its
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +39,8 @@ ROWS, BANDS = 4, 32
 BINS, BATCH = 512, 64
 #: A pair is given up when it reaches the similarity with less than this posterior probability.
 MISS = 1e-5
+#: Standard deviations at which the hypergeometric tail is surely below ``MISS`` (tested against exact tails).
+DEVIATIONS = 5.0
 BLOCK = 256
 #: Ids wanted from the documents are broadcast up to this many rows, and joined by shuffling beyond.
 WANTED_ROWS = 2_000_000
@@ -153,31 +154,32 @@ def sketches(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, bins binary")
 
 
-def needed_matches(most: int = BINS, miss: float = MISS) -> np.ndarray:
-    """For n compared bins, the fewest matches with which a pair goes on. With a uniform prior, the posterior after m
-    of n matches exceeds t with the probability that a Binomial(n + 1, t) is at most m."""
-    t, out = SIMILARITY_PCT / 100, np.zeros(most + 1, np.int64)
-    for n in range(1, most + 1):
-        total, m = 0.0, -1
-        while total < miss:
-            m += 1
-            total += math.exp(math.lgamma(n + 2) - math.lgamma(m + 1) - math.lgamma(n + 2 - m) + m * math.log(t) + (n + 1 - m) * math.log(1 - t))
-        out[n] = m
-    return out
+def needed_matches(seen: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The fewest matches with which a pair goes on, after ``seen`` bins that either set fills, for sets of ``total``
+    elements together.
+
+    At the similarity t, the union has total / (1 + t) elements, and the filled bins show a random sample of them,
+    drawn without replacement. The matches in it are hypergeometric; with a flat prior, the posterior of the pair
+    reaching t falls below ``MISS`` where their tail does, ``DEVIATIONS`` standard deviations below the mean (and one
+    match for the steps). A sample of the whole union leaves no doubt."""
+    t = SIMILARITY_PCT / 100
+    union = np.maximum(total / (1 + t), 2.0)
+    unseen = np.clip((union - seen) / (union - 1), 0.0, 1.0)
+    return np.ceil(t * seen - DEVIATIONS * np.sqrt(t * (1 - t) * seen * unseen) - 1.0)
 
 
-def survivors(i: np.ndarray, j: np.ndarray, bins: np.ndarray, sizes: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, ...]:
+def survivors(i: np.ndarray, j: np.ndarray, bins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
     """The pairs (i, j) that pass every batch, with their share of matching bins."""
     ok = np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * SIMILARITY_PCT
     i, j = i[ok], j[ok]
-    same, seen = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    same, seen, total = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64), sizes[i] + sizes[j]
     for low in range(0, BINS, BATCH):
         x, y = bins[i, low: low + BATCH], bins[j, low: low + BATCH]
         same += ((x == y) & (x > 0)).sum(1)
         seen += ((x | y) > 0).sum(1)
-        ok = same >= need[seen]
+        ok = same >= needed_matches(seen, total)
         if not ok.all():
-            i, j, same, seen = i[ok], j[ok], same[ok], seen[ok]
+            i, j, same, seen, total = i[ok], j[ok], same[ok], seen[ok], total[ok]
     return i, j, same / np.maximum(seen, 1)
 
 
@@ -203,13 +205,15 @@ def spanning(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> list[t
 
 def _by_group(n_keys: int, work: Callable[[dict[str, np.ndarray]], list[tuple[int, int]]]) -> Callable:
     """For rows sorted by their first ``n_keys`` columns: calls ``work`` with the columns of each group; pairs come out.
-    The last column holds the bins."""
+    The last column holds the bins; a column ``bands`` becomes a matrix."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def groups(table: pa.Table, final: bool) -> tuple[list[tuple[int, int]], pa.Table]:
             names = table.column_names
-            cols = {c: table.column(c).to_numpy() for c in names[:-1]}
+            cols = {c: table.column(c).to_numpy() for c in names[:-1] if c != "bands"}
+            if "bands" in names:
+                cols["bands"] = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
             bins = np.frombuffer(b"".join(table.column(names[-1]).to_pylist()), np.uint8).reshape(-1, BINS)
             change = np.zeros(table.num_rows, bool)
             change[0] = True
@@ -239,26 +243,29 @@ def _by_group(n_keys: int, work: Callable[[dict[str, np.ndarray]], list[tuple[in
     return run
 
 
-def _forest(need: np.ndarray) -> Callable:
-    def work(g: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        i, j = np.triu_indices(len(g["rep"]), 1)
-        i, j, w = survivors(i, j, g["bins"], g["n"], need)
-        rep = g["rep"]
-        return [(int(min(rep[a], rep[b])), int(max(rep[a], rep[b]))) for a, b in spanning(i, j, w, len(rep))]
-    return work
+def _forest(g: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+    """The likeliest pairs of a block, as many as connect what can be connected."""
+    i, j = np.triu_indices(len(g["rep"]), 1)
+    i, j, w = survivors(i, j, g["bins"], g["n"])
+    rep = g["rep"]
+    return [(int(min(rep[a], rep[b])), int(max(rep[a], rep[b]))) for a, b in spanning(i, j, w, len(rep))]
 
 
-def _across(need: np.ndarray) -> Callable:
-    def work(g: dict[str, np.ndarray]) -> list[tuple[int, int]]:
-        i, j = np.triu_indices(len(g["rep"]), 1)
-        x, y = g["gi"][0], g["gj"][0]
-        ok = g["comp"][i] != g["comp"][j]
-        if x != y:
-            ok &= g["me"][i] != g["me"][j]
-        i, j, _ = survivors(i[ok], j[ok], g["bins"], g["n"], need)
-        rep = g["rep"]
-        return list({(int(min(rep[a], rep[b])), int(max(rep[a], rep[b]))) for a, b in zip(i, j)})
-    return work
+def _across(g: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+    """The pairs of two blocks (or of one with itself) whose members are not yet connected. A pair that shares several
+    bands is compared in the first of them alone."""
+    i, j = np.triu_indices(len(g["rep"]), 1)
+    ok = g["comp"][i] != g["comp"][j]
+    if g["gi"][0] != g["gj"][0]:
+        ok &= g["me"][i] != g["me"][j]
+    i, j = i[ok], j[ok]
+    here = int(g["band"][0])
+    earlier = np.zeros(len(i), bool)
+    for band in range(here):
+        earlier |= g["bands"][i, band] == g["bands"][j, band]
+    i, j, _ = survivors(i[~earlier], j[~earlier], g["bins"], g["n"])
+    rep = g["rep"]
+    return list({(int(min(rep[a], rep[b])), int(max(rep[a], rep[b]))) for a, b in zip(i, j)})
 
 
 def _grouped(rows: DataFrame, keys: list[str], work: Callable) -> DataFrame:
@@ -296,16 +303,15 @@ def _same_id(sketched: DataFrame, classes: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     sketched = materialize(sketches(docs), "sketches")
-    need = needed_matches()
     classes = materialize(sketched.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bins").alias("bins")), "classes")
     banded = classes.select("rep", F.posexplode("bands").alias("band", "key"))
     sizes = banded.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(banded.join(sizes, ["band", "key"]), "bucket-members")
-    bins = classes.select("rep", F.col("n"), "bins")
+    bins = classes.select("rep", "n", "bins")
     block = F.pmod(F.xxhash64("rep", "band"), F.ceil(F.col("size") / BLOCK)).alias("block")
     rows = members.select("band", "key", block, "rep").join(bins, "rep").select("band", "key", "block", "rep", "n", "bins")
-    first = materialize(_grouped(rows, ["band", "key", "block"], _forest(need)), "likely-pairs")
+    first = materialize(_grouped(rows, ["band", "key", "block"], _forest), "likely-pairs")
     label = components(verified(first, docs).union(_same_id(sketched, classes)))
 
     member = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -320,8 +326,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     others = F.when(inside, F.sequence(F.lit(0), F.col("n_rest") - 1)).otherwise(F.sequence(F.lit(0), F.col("n_rest") + F.col("n_main") - 1))
     dealt = member.join(mixed, ["band", "key"]).withColumn("me", me).withColumn("other", F.explode(others)).select(
         "band", "key", F.least("me", "other").alias("gi"), F.greatest("me", "other").alias("gj"), "me", "rep", "comp")
-    rows = dealt.join(bins, "rep").select("band", "key", "gi", "gj", "me", "comp", "rep", "n", "bins")
-    second = _grouped(rows, ["band", "key", "gi", "gj"], _across(need)).join(first, ["a", "b"], "left_anti")
+    rows = dealt.join(classes.select("rep", "n", "bands", "bins"), "rep").select("band", "key", "gi", "gj", "me", "comp", "rep", "n", "bands", "bins")
+    second = _grouped(rows, ["band", "key", "gi", "gj"], _across).join(first, ["a", "b"], "left_anti")
     more = verified(materialize(second, "other-pairs"), docs)
     label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 

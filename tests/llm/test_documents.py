@@ -1,5 +1,6 @@
 """Near duplicates, decontamination and encoding against brute force; the pipeline on small tables."""
 import hashlib
+import math
 import random
 
 import brute
@@ -68,9 +69,18 @@ def test_near_duplicates_rows_of_one_id(spark):
     assert near_dup.near_duplicates(empty).collect() == []
 
 
-def test_needed_matches():
-    need = near_dup.needed_matches()
-    assert need[0] == 0 and (np.diff(need) >= 0).all() and need[512] < 0.75 * 512 and need[512] > 0.6 * 512
+def test_needed_matches_miss_less_than_promised():
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    for union in (1, 2, 3, 4, 5, 8, 12, 20, 37, 64, 100, 170, 333, 600, 2000, 30_000):
+        common = -(-3 * union // 4)  # the fewest that link
+        for seen in sorted({1, 2, 5, 17, 64, 128, 200, 300, 512, union, union - 1, union * 9 // 10} - {0}):
+            if seen > min(union, near_dup.BINS):
+                continue
+            need = int(near_dup.needed_matches(np.array([seen]), np.array([union + common]))[0])
+            low = max(0, seen - (union - common))
+            miss = sum(math.exp(choose(common, m) + choose(union - common, seen - m) - choose(union, seen)) for m in range(low, min(need, common + 1)))
+            assert miss <= near_dup.MISS, (union, seen, need, miss)
+    assert near_dup.needed_matches(np.array([160]), np.array([280]))[0] >= 0.74 * 160 - 1  # the whole union was seen
 
 
 def test_fm_index():
