@@ -114,4 +114,7 @@ def clean_documents(docs: DataFrame) -> DataFrame:
     new = {"text": F.col("cleaned")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.char_length("cleaned").cast(docs.schema["n_chars"].dataType)
-    return measures(docs).where("kept").select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+    # Through a one-row generator, below which no filter is pushed: else Spark would put all of the measures' nested
+    # expressions in place of "kept", and planning would never end.
+    judged = measures(docs).select(F.inline(F.array(F.struct("row", "cleaned", "kept"))))
+    return judged.where("kept").select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
