@@ -5,23 +5,26 @@ running sum of gaps and matches in a row's order is where a match ends. One row
 row number; texts do not.
 
 A candidate is a run of 16 or more of ``A-Za-z0-9+/_=-`` outside the fixed patterns' spans. Its encoding is inferred
-from the characters it has (hex in either case, base32, base64), and over that alphabet three statistics are taken:
-chi-squared against uniform use, the number of runs of the alphabet's halves, and the correlation of neighbours. Their
-squared normal scores are summed; random tokens have small sums. Runs of letters alone, which prose has, are the
-control group: a token's p-value is the share of letter runs, of its length class or shorter ones, that look as random
-as it does. Within each length class the Benjamini-Hochberg rule at ``RATE`` decides, so that short tokens, where prose
-can look random, need more. Only the histogram by class and score is gathered, a table of bounded size.
+from the characters it has (``ENCODINGS``), and over that alphabet three statistics are taken: chi-squared against
+uniform use, the number of runs of the alphabet's halves, and the correlation of neighbours. Their squared normal scores
+are summed; a sum above ``REJECTED``, the chi-squared distribution's 0.1 % tail, is not random. A token that passes has
+the p-value P(token | prose) / P(token | uniform draws from its alphabet), at most 1, prose being the fixed chain of
+``prose_model`` and each alphabet having the same share: under that chain it falls below x with a probability of at most
+x, and it has no floor. No other token enters it. Within each length class the Benjamini-Hochberg rule at ``RATE``
+decides among all candidates. Only the histogram by class and p-value is gathered, a table of bounded size.
 
 Defined results: null and empty texts have no spans. Repeated rows are scanned alike, each by itself. An empty table
 gives an empty table. Only the columns asked for are read. Texts of any length are scanned whole.
 """
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from logcase.llm import prose_model
 from logcase.llm.common import text_of
 from logcase.plans.sizing import materialize
 
@@ -33,15 +36,21 @@ BASE = (
 )
 CANDIDATE = ("random", "([A-Za-z0-9+/_=-]{16,})", 0, 16)
 KINDS = tuple(b[0] for b in BASE) + ("random",)
+_UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Alphabets in the order of their codes: a token has the first that holds all its characters.
 ENCODINGS = (
-    ("^[0-9a-f]+$", "0123456789abcdef"), ("^[0-9A-F]+$", "0123456789ABCDEF"), ("^[A-Z2-7]+=*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"),
-    ("", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"),
+    ("^[0-9a-f]+$", _DIGITS + "abcdef"), ("^[0-9A-F]+$", _DIGITS + "ABCDEF"), ("^[A-Z2-7]+$", _UPPER + "234567"),
+    ("^[0-9a-z]+$", _DIGITS + _LOWER), ("^[0-9A-Z]+$", _DIGITS + _UPPER), ("^[0-9A-Za-z]+$", _UPPER + _LOWER + _DIGITS),
+    ("", prose_model.SYMBOLS),
 )
 LENGTH_CLASSES = (16, 20, 24, 32, 48)
 RATE = 0.01
-#: Scores are binned by this width, up to a last bin.
-BIN, BINS = 0.5, 400
+#: Sums of the three squared scores above this are not random: 0.1 % of a chi-squared variable with three degrees.
+REJECTED = 16.27
+#: Score of a statistic that is not defined, as all characters are alike or of one half.
+UNDEFINED = 200.0
+#: -ln p is binned by this width, up to a last bin; p counts as the bin's upper end. Bin -1 holds tokens with p = 1.
+BIN, BINS = 0.25, 800
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -57,12 +66,13 @@ def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> C
 
 
 def _battery(found: DataFrame) -> DataFrame:
-    """``found`` with ``q``: the sum of the three squared scores of each token (null without a token)."""
+    """``found`` with ``bin``: that of -ln p of each token (null without a token)."""
     bare = F.regexp_replace("token", "=+$", "")
     d = found.withColumn("bare", bare).withColumn("letters", reduce(
         lambda rest, e: F.when(F.col("bare").rlike(e[0]), F.lit(e[1])).otherwise(rest), reversed(ENCODINGS[:-1]), F.lit(ENCODINGS[-1][1])))
     d = d.withColumn("bare", F.translate("bare", "-_", "+/")).withColumn("m", F.char_length("letters"))
     d = d.withColumn("x", F.expr("transform(filter(split(bare, ''), c -> c != ''), c -> instr(letters, c))"))
+    d = d.withColumn("places", F.expr(f"transform(filter(split(bare, ''), c -> c != ''), c -> instr('{prose_model.SYMBOLS}', c))"))
     d = d.withColumn("n", F.size("x")).withColumn("counts", F.expr(
         "transform(sequence(1, m), s -> n - char_length(replace(bare, substring(letters, s, 1), '')))"))
     total = "aggregate({}, 0D, (t, v) -> t + v)"
@@ -78,9 +88,15 @@ def _battery(found: DataFrame) -> DataFrame:
     z_use = F.expr("(m * squares / n - n - (m - 1)) / sqrt(2D * (m - 1) * (n - 1) / n)")
     z_runs = F.expr("(runs - expected) / sqrt(nullif(greatest((expected - 1) * (expected - 2) / (n - 1), 0D), 0D))")
     z_serial = F.expr("((lagged - mean * mean) / nullif(power - mean * mean, 0D) + 1D / (n - 1)) * sqrt(double(n))")
-    worst = F.lit(BIN * BINS)
+    worst = F.lit(UNDEFINED)
     q = F.pow(F.greatest(z_use, F.lit(0.0)), F.lit(2.0)) + F.coalesce(F.pow(z_runs, F.lit(2.0)), worst) + F.coalesce(F.pow(z_serial, F.lit(2.0)), worst)
-    return d.withColumn("q", F.when(F.col("token").isNotNull(), q)).select(*found.columns, "q")
+    costs = F.split(F.lit(",".join(f"{c:.4f}" for c in prose_model.costs())), ",").cast("array<double>")  # folded to one literal
+    width = len(prose_model.SYMBOLS) + 1
+    each = F.transform("places", lambda v, i: F.get(costs, F.when(i == 0, 0).otherwise(F.get(F.col("places"), i - 1)) * width + v))
+    gain = F.aggregate(each, F.lit(0.0), lambda t, v: t + v) - F.col("n") * F.log(F.col("m").cast("double")) - math.log(len(ENCODINGS))
+    d = d.withColumns({"q": q, "gain": gain})
+    score = F.when((F.col("q") <= REJECTED) & (F.col("gain") >= 0), F.least(F.floor(F.col("gain") / BIN), F.lit(BINS))).otherwise(-1)
+    return d.withColumn("bin", F.when(F.col("token").isNotNull(), score).cast("int")).select(*found.columns, "bin")
 
 
 def _found(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
@@ -99,37 +115,30 @@ def _found(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     after = F.min(F.when(fixed, F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     covered = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
     rows = rows.withColumn("covered", covered & (F.col("kind") == "random"))
-    control = F.col("token").rlike("^[A-Za-z]+=*$")
-    no_secret = F.col("token").rlike("^[0-9+/_=-]+$")  # numbers, rules and paths of marks
-    rows = rows.withColumn("kind", F.when((F.col("kind") == "random") & (F.col("covered") | no_secret), F.lit(None)).when(
-        (F.col("kind") == "random") & control, "control").otherwise(F.col("kind")))
-    rows = rows.withColumn("token", F.when(F.col("kind").isin("random", "control"), F.col("token")))
+    no_secret = F.col("token").rlike("^([A-Za-z]+=*|[0-9+/_=-]+)$")  # letters alone; numbers, rules and paths of marks
+    rows = rows.withColumn("kind", F.when((F.col("kind") == "random") & (F.col("covered") | no_secret), F.lit(None)).otherwise(F.col("kind")))
+    rows = rows.withColumn("token", F.when(F.col("kind") == "random", F.col("token")))
     scored = _battery(rows)
     size = F.coalesce(reduce(lambda rest, x: F.when(F.col("size") >= x, x).otherwise(rest), LENGTH_CLASSES, F.lit(LENGTH_CLASSES[0])), F.lit(0))
-    return scored.select("rid", "key", "kind", "start", "end", size.alias("class"),
-                         F.least(F.floor(F.col("q") / BIN), F.lit(BINS)).cast("int").alias("bin"))
+    return scored.select("rid", "key", "kind", "start", "end", size.alias("class"), "bin")
 
 
 def thresholds(found: DataFrame) -> DataFrame:
-    """(class, limit): the last score bin of each length class whose tokens are discoveries."""
-    hist = found.where(F.col("kind").isin("random", "control")).groupBy("class", "bin").agg(
-        F.count_if(F.col("kind") == "random").alias("tokens"), F.count_if(F.col("kind") == "control").alias("controls"))
-    # Controls count for their own class and all longer ones. All these tables have at most classes x bins rows.
-    longer = F.filter(F.array(*map(F.lit, LENGTH_CLASSES)), lambda c: c >= F.col("class"))
-    spread = hist.withColumn("c", F.explode(longer)).groupBy("c", "bin").agg(
-        F.sum("controls").alias("controls"), F.sum(F.when(F.col("c") == F.col("class"), F.col("tokens")).otherwise(0)).alias("tokens"))
-    upto = Window.partitionBy("c").orderBy("bin")
-    whole = Window.partitionBy("c")
-    p = (F.sum("controls").over(upto) + 1) / (F.sum("controls").over(whole) + 1)
-    ranked = spread.select("c", "bin", p.alias("p"), F.sum("tokens").over(upto).alias("rank"), F.sum("tokens").over(whole).alias("all"))
-    return ranked.where(F.col("p") * F.col("all") <= F.col("rank") * RATE).groupBy(F.col("c").alias("class")).agg(F.max("bin").alias("limit"))
+    """(class, limit): the first bin of each length class whose tokens are discoveries."""
+    # At most classes x bins rows.
+    hist = found.where(F.col("kind") == "random").groupBy("class", "bin").agg(F.count("*").alias("tokens"))
+    whole = Window.partitionBy("class")
+    ranked = hist.select("class", "bin", F.exp(F.col("bin") * -BIN).alias("p"), F.sum("tokens").over(whole).alias("all"),
+                         F.sum("tokens").over(whole.orderBy(F.desc("bin"))).alias("rank"))
+    found_at = (F.col("bin") >= 0) & (F.col("p") * F.col("all") <= F.col("rank") * RATE)
+    return ranked.where(found_at).groupBy("class").agg(F.min("bin").alias("limit"))
 
 
 def find_secrets(docs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """Per row of ``docs``: its ``keys`` columns and ``spans``, (start, end, kind) in characters by start, then kind."""
     found = materialize(_found(docs, keys), "secret-matches")
     judged = found.join(F.broadcast(thresholds(found)), "class", "left")
-    accepted = F.col("kind").isin(*KINDS[:-1]) | ((F.col("kind") == "random") & (F.col("bin") <= F.col("limit")))
+    accepted = F.col("kind").isin(*KINDS[:-1]) | ((F.col("kind") == "random") & (F.col("bin") >= F.col("limit")))
     rank = F.array_position(F.array(*[F.lit(k) for k in KINDS]), F.col("kind"))
     span = F.when(accepted, F.struct("start", rank.alias("rank"), "end", "kind"))
     out = judged.groupBy("rid").agg(F.first("key").alias("key"), F.array_sort(F.collect_list(span)).alias("spans"))

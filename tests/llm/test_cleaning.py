@@ -117,6 +117,26 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(spark.createDataFrame([], docs.schema), ("doc_id",)).collect() == []
 
 
+def random_places(spark, texts):
+    """[(row, start, end)] of the spans found by the randomness tests."""
+    out = secret_scan.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), ("doc_id",)).collect()
+    return sorted((r["doc_id"], s["start"], s["end"]) for r in out for s in r["spans"] if s["kind"] == "random")
+
+
+B64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def test_secrets_need_no_number_of_other_tokens(spark):
+    rng = random.Random(3)
+    # Draws with at least a digit and a mark, so that no key is of letters alone.
+    keys = [token(rng, B64, 30) + "7+" for _ in range(20)]
+    assert random_places(spark, ["the key is " + keys[0] + " here", "nothing in this text"]) == [(0, 11, 43)]
+    plain = "how to make the best of your new garden with little work and some good water every day in summer winter after long rain".split()
+    slugs = ["-".join(rng.choice(plain) for _ in range(rng.randrange(5, 8))) for _ in range(4000)]
+    pages = [" ".join(slugs[i:i + 40]) for i in range(0, 4000, 40)]
+    assert random_places(spark, pages + keys) == [(100 + i, 0, 32) for i in range(20)]
+
+
 def test_chat(spark, monkeypatch):
     monkeypatch.setattr(chat_snapshots, "BLOCK", 4)
     monkeypatch.setattr(chat_snapshots, "PART", 3)
