@@ -39,8 +39,9 @@ button module package import export function return object array table query tes
 _KINDS = ("^", "U", "l", "d", "m")
 #: Shares of the kinds (capital, small, digit, mark) that follow the start of a token and each kind.
 _NEXT = {"^": (.28, .60, .08, .04), "U": (.40, .55, .01, .04), "l": (.015, .93, .010, .045), "d": (.03, .05, .55, .37), "m": (.20, .55, .15, .10)}
-#: Letter pairs not in WORDS count as this many draws from the letters alone.
-_SMOOTH = 12.0
+#: Each letter's pairs in WORDS count together with so many draws from the letters alone, as other languages have the same
+#: frequent letters in other pairs.
+_SMOOTH = 25.0
 
 
 def _kind(c: str) -> str:

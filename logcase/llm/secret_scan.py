@@ -12,6 +12,8 @@ the p-value P(token | prose) / P(token | uniform draws from its alphabet), at mo
 ``prose_model`` and each alphabet having the same share: under that chain it falls below x with a probability of at most
 x, and it has no floor. No other token enters it. Within each length class the Benjamini-Hochberg rule at ``RATE``
 decides among all candidates. Only the histogram by class and p-value is gathered, a table of bounded size.
+Tokens of letters alone and of digits alone are judged like all others; long numbers that pass as random digits (those of
+bank cards, say) are told from keys by nothing in them and reported.
 
 Defined results: null and empty texts have no spans. Repeated rows are scanned alike, each by itself. An empty table
 gives an empty table. Only the columns asked for are read. Texts of any length are scanned whole.
@@ -39,9 +41,9 @@ KINDS = tuple(b[0] for b in BASE) + ("random",)
 _UPPER, _LOWER, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Alphabets in the order of their codes: a token has the first that holds all its characters.
 ENCODINGS = (
-    ("^[0-9a-f]+$", _DIGITS + "abcdef"), ("^[0-9A-F]+$", _DIGITS + "ABCDEF"), ("^[A-Z2-7]+$", _UPPER + "234567"),
-    ("^[0-9a-z]+$", _DIGITS + _LOWER), ("^[0-9A-Z]+$", _DIGITS + _UPPER), ("^[0-9A-Za-z]+$", _UPPER + _LOWER + _DIGITS),
-    ("", prose_model.SYMBOLS),
+    ("^[0-9]+$", _DIGITS), ("^[0-9a-f]+$", _DIGITS + "abcdef"), ("^[0-9A-F]+$", _DIGITS + "ABCDEF"), ("^[a-z]+$", _LOWER), ("^[A-Z]+$", _UPPER),
+    ("^[A-Z2-7]+$", _UPPER + "234567"), ("^[0-9a-z]+$", _DIGITS + _LOWER), ("^[0-9A-Z]+$", _DIGITS + _UPPER), ("^[A-Za-z]+$", _UPPER + _LOWER),
+    ("^[0-9A-Za-z]+$", _UPPER + _LOWER + _DIGITS), ("", prose_model.SYMBOLS),
 )
 LENGTH_CLASSES = (16, 20, 24, 32, 48)
 RATE = 0.01
@@ -115,8 +117,9 @@ def _found(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     after = F.min(F.when(fixed, F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     covered = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
     rows = rows.withColumn("covered", covered & (F.col("kind") == "random"))
-    no_secret = F.col("token").rlike("^([A-Za-z]+=*|[0-9+/_=-]+)$")  # letters alone; numbers, rules and paths of marks
-    rows = rows.withColumn("kind", F.when((F.col("kind") == "random") & (F.col("covered") | no_secret), F.lit(None)).otherwise(F.col("kind")))
+    # Padding and marks alone hold nothing to test; two characters are the least the statistics are defined for.
+    blank = ~F.col("token").rlike("[A-Za-z0-9]") | ~F.col("token").rlike("^.+[^=]")
+    rows = rows.withColumn("kind", F.when((F.col("kind") == "random") & (F.col("covered") | blank), F.lit(None)).otherwise(F.col("kind")))
     rows = rows.withColumn("token", F.when(F.col("kind") == "random", F.col("token")))
     scored = _battery(rows)
     size = F.coalesce(reduce(lambda rest, x: F.when(F.col("size") >= x, x).otherwise(rest), LENGTH_CLASSES, F.lit(LENGTH_CLASSES[0])), F.lit(0))

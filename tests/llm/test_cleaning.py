@@ -137,6 +137,18 @@ def test_secrets_need_no_number_of_other_tokens(spark):
     assert random_places(spark, pages + keys) == [(100 + i, 0, 32) for i in range(20)]
 
 
+def test_secrets_of_letters_or_digits_alone(spark):
+    rng = random.Random(4)
+    lower, upper, digits = B64[26:52], B64[:26], B64[52:62]
+    keys = [token(rng, a, n) for a, n in ((lower, 32), (lower, 40), (upper, 20), (upper + lower, 20), (upper + lower, 32), (digits, 20))]
+    plain = ("internationalization", "Verantwortungsbewusstsein", "anticonstitutionnellement", "responsabilidades-extraordinarias", "2020/05/12/13/00",
+             "================", "A===============", "-=--------------", "0000000000000000")
+    assert random_places(spark, [*keys, *plain]) == [(i, 0, len(k)) for i, k in enumerate(keys)]
+    # One of 28 tokens of 16 characters has letters alone; the tests themselves reject up to 1 % of random tokens.
+    short = [token(rng, B64, 16) for _ in range(500)]
+    assert len(random_places(spark, short)) > 480
+
+
 def test_chat(spark, monkeypatch):
     monkeypatch.setattr(chat_snapshots, "BLOCK", 4)
     monkeypatch.setattr(chat_snapshots, "PART", 3)
