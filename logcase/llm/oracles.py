@@ -104,3 +104,31 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS wor
        NOT (len(w) < 50 OR 100 * coalesce(again.n, 0) > 50 * len(w)) AND (chars = 0 OR 100.0 * lost / chars <= 50) AS kept
 FROM d JOIN s USING (doc_id) LEFT JOIN again USING (doc_id)
 """
+
+OP13 = f"""
+WITH p AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?' || chr(10) || chr(11) || chr(12) || chr(13) || ']')) AS piece
+    FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^ ' || chr(9) || ']+') AS w FROM p),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+f AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS k))
+    GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, a FROM f WHERE k > 1),
+cuts AS (SELECT lang, phrase, a, j, array_to_string(w[:j], ' ') AS head, array_to_string(w[j + 1:], ' ') AS tail
+         FROM (SELECT *, unnest(range(1, k)) AS j FROM c)),
+scored AS (
+    SELECT cuts.lang, cuts.phrase, cuts.a, j, x.a AS l, y.a AS r, n.n, (1000::HUGEINT * cuts.a * n.n) // (x.a::HUGEINT * y.a) AS score
+    FROM cuts JOIN f AS x ON x.lang = cuts.lang AND x.phrase = head JOIN f AS y ON y.lang = cuts.lang AND y.phrase = tail
+    JOIN n ON n.lang = cuts.lang),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inner_of AS (
+    SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS most
+    FROM (SELECT lang, w, a, m, unnest(range(1, len(w) - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM c)) GROUP BY ALL),
+kept AS (SELECT weakest.* FROM weakest LEFT JOIN inner_of AS i USING (lang, phrase) WHERE i.most IS NULL OR 100 * i.most < 100 * a)
+SELECT lang, CAST(rank AS INTEGER) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept) WHERE rank <= 2000
+"""
