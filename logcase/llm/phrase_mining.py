@@ -4,9 +4,10 @@
    longer phrases all of whose pairs are proposed, each seen in the sample at a threshold lowered by ``DEVIATIONS``.
 2. One full pass counts exactly, by their text, all proposed phrases, and beside them the negative border: phrases that
    are not proposed but whose first and last parts, one word shorter, are (for words: all others).
-3. Border phrases that turn out frequent have failed the proposal. They are proposed now, and another full pass counts
-   them and the border that they open, until no border phrase is frequent. A frequent phrase has only frequent parts,
-   so by then every one has been counted, whatever the sample held: results do not depend on it.
+3. Border phrases that turn out frequent have failed the proposal. If there are any, an expansion pass counts, by their
+   text, all phrases that are or hold a failure and whose parts without one are proposed. A frequent phrase has only
+   frequent parts, so one that the first pass did not count must hold a failure (its shortest part outside the
+   proposed set, words at the latest, was border): one expansion closes the result, whatever the sample held.
 
 The proposed set is known to the tasks as a bit filter of at most ``2 ** MOST_BITS`` bits, built by a Spark aggregate.
 Its false positives only add phrases to be counted. Border phrases are counted by 64-bit hash, which can only add
@@ -36,7 +37,7 @@ from logcase.plans.sizing import materialize
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 LONGEST = 5
 RATE = 4  # one block of text in RATE goes into the sample
-BLOCK_BYTES = 1024
+BLOCK_BYTES = 512
 DEVIATIONS = 4.0
 MOST_BITS = 27
 BITS_A_KEY = 16
@@ -112,9 +113,9 @@ class Proposed:
         return out
 
 
-def proposed(keys: DataFrame) -> Proposed:
+def proposed(keys: DataFrame, bits_a_key: int) -> Proposed:
     """The filter of a table of keys: sized by their number up to a bound, its words made by a Spark aggregate."""
-    bits = min(max(10, math.ceil(math.log2(max(keys.count(), 1) * BITS_A_KEY))), MOST_BITS)
+    bits = min(max(10, math.ceil(math.log2(max(keys.count(), 1) * bits_a_key))), MOST_BITS)
     places = F.array(F.shiftrightunsigned("key", 3).bitwiseAND((1 << bits) - 1), F.shiftrightunsigned("key", 64 - bits))
     each = keys.select(F.explode(places).alias("p"))
     rows = each.groupBy(F.shiftright("p", 6).alias("at")).agg(
@@ -124,13 +125,6 @@ def proposed(keys: DataFrame) -> Proposed:
     return Proposed(bits, words)
 
 
-def _any(filters: list[Proposed], keys: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(keys), bool)
-    for f in filters:
-        out |= f.holds(keys)
-    return out
-
-
 def _buffers(docs: DataFrame, lang: str, sample: bool, schema: str, work: Callable) -> DataFrame:
     """Calls ``work(words, Grams, languages, language of each token)`` on buffers of tokens; record batches come out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,40 +196,52 @@ def sample_proposals(docs: DataFrame, lang: str, min_count: int) -> DataFrame:
         return materialize(rows.groupBy("key").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("key"), "phrases-proposed")
 
     words = level((1,), None)
-    pairs = level((2,), proposed(words))
-    return words.union(pairs).union(level(tuple(range(3, LONGEST + 1)), proposed(pairs)))
+    pairs = level((2,), proposed(words, BITS_A_KEY))
+    return words.union(pairs).union(level(tuple(range(3, LONGEST + 1)), proposed(pairs, BITS_A_KEY)))
+
 
+def _full_pass(docs: DataFrame, lang: str, known: Proposed, failed: Proposed | None) -> DataFrame:
+    """Counts over the whole corpus: (lang, phrase, key, c).
 
-def _full_pass(docs: DataFrame, lang: str, filters: list[Proposed]) -> DataFrame:
-    """Counts of what the newest filter adds: (lang, phrase, key, c), proposed phrases by text (key null) and border
-    phrases by key (phrase null). The first pass also counts all words of a language, as the phrase ''."""
+    Without ``failed``: the proposed phrases by text (key null), the border by key (phrase null), and all words of a
+    language as the phrase ''. With it, by text: the phrases that are or hold a failure, as far as their other parts are
+    proposed."""
     def work(words: list[bytes], g: Grams, names: list[str], which: np.ndarray) -> Iterator[pa.RecordBatch]:
         def rows(langs: list, phrases: list, keys: pa.Array | None, counts: np.ndarray) -> pa.RecordBatch:
-            n = len(counts)
             return pa.RecordBatch.from_arrays([
                 pa.array(langs, pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()),
-                keys if keys is not None else pa.nulls(n, pa.int64()), pa.array(counts, pa.int64())], ["lang", "phrase", "key", "c"])
+                keys if keys is not None else pa.nulls(len(counts), pa.int64()), pa.array(counts, pa.int64())],
+                ["lang", "phrase", "key", "c"])
 
-        if len(filters) == 1:
-            yield rows(names, [b""] * len(names), None, np.bincount(which[g.counted[1]], minlength=len(names)))
-        now = before = np.ones(len(g.keys[0]), bool)
-        for n in range(1, LONGEST + 1):
-            size = len(g.keys[n])
-            parts_now = now[:size] & now[1:size + 1] if n > 1 else np.ones(size, bool)
-            parts_before = before[:size] & before[1:size + 1] if n > 1 else np.full(size, len(filters) > 1)
-            before, now = np.zeros(size, bool), np.zeros(size, bool)
-            look = g.ok[n] & parts_before
-            before[look] = _any(filters[:-1], g.keys[n][look])
-            look = g.ok[n] & parts_now
-            now[look] = before[look] | _any(filters, g.keys[n][look])
-            at = np.flatnonzero(now & ~before & g.counted[n])
-            keys, counts, firsts = _tally(g.keys[n][at])
+        def by_text(n: int, wanted: np.ndarray) -> Iterator[pa.RecordBatch]:
+            at = np.flatnonzero(wanted & g.counted[n])
+            _, counts, firsts = _tally(g.keys[n][at])
             firsts = at[firsts]
             for low in range(0, len(firsts), 1 << 16):
                 some = firsts[low:low + (1 << 16)].tolist()
                 yield rows([names[k] for k in which[some]], [b" ".join(words[i:i + n]) for i in some], None, counts[low:low + (1 << 16)])
-            keys, counts, _ = _tally(g.keys[n][parts_now & ~parts_before & ~now & g.counted[n]])
-            yield rows([None] * len(keys), [None] * len(keys), pa.array(keys.view(np.int64)), counts)
+
+        if failed is None:
+            yield rows(names, [b""] * len(names), None, np.bincount(which[g.counted[1]], minlength=len(names)))
+        both = lambda x, size: x[:size] & x[1:size + 1]
+        member = possible = holding = None
+        for n in range(1, LONGEST + 1):
+            size = len(g.keys[n])
+            in_border = g.ok[n] & both(member, size) if n > 1 else g.ok[n].copy()
+            looked = np.flatnonzero(in_border)
+            parts, holds = (both(possible, size), holding[:size] | holding[1:size + 1]) if failed and n > 1 else (g.ok[n], np.zeros(size, bool))
+            member = np.zeros(size, bool)
+            member[looked] = known.holds(g.keys[n][looked])
+            in_border &= ~member
+            if failed is None:
+                yield from by_text(n, member)
+                keys, counts, _ = _tally(g.keys[n][in_border & g.counted[n]])
+                yield rows([None] * len(keys), [None] * len(keys), pa.array(keys.view(np.int64)), counts)
+            else:
+                looked = np.flatnonzero(in_border)
+                holds[looked] |= failed.holds(g.keys[n][looked])
+                holding, possible = holds & g.ok[n], g.ok[n] & parts & (member | holds)
+                yield from by_text(n, possible & holding & ~member)
 
     return _buffers(docs, lang, False, "lang string, phrase string, key bigint, c bigint", work).groupBy("lang", "phrase", "key").agg(
         F.sum("c").alias("c"))
@@ -244,15 +250,15 @@ def _full_pass(docs: DataFrame, lang: str, filters: list[Proposed]) -> DataFrame
 def frequent_phrases(docs: DataFrame, min_count: int = 100, lang: str = "lang") -> DataFrame:
     """(lang, phrase, c): every phrase of 1 to ``LONGEST`` words with at least ``min_count`` occurrences in its language,
     its words separated by single blanks; and per language the number of all its words, as the phrase ''."""
-    filters, found = [proposed(sample_proposals(docs, lang, min_count))], None
-    while True:
-        counted = materialize(_full_pass(docs, lang, filters).where((F.col("c") >= min_count) | (F.col("phrase") == "")), "phrases")
-        exact = counted.where(F.col("phrase").isNotNull()).select("lang", "phrase", "c")
-        found = exact if found is None else found.union(exact)
-        failures = counted.where(F.col("phrase").isNull()).select("key")
-        if failures.isEmpty():
-            return found
-        filters.append(proposed(failures))
+    known = proposed(sample_proposals(docs, lang, min_count), BITS_A_KEY)
+    enough = F.col("c") >= min_count
+    counted = materialize(_full_pass(docs, lang, known, None).where(enough | (F.col("phrase") == "")), "phrases")
+    found = counted.where(F.col("phrase").isNotNull()).select("lang", "phrase", "c")
+    failures = counted.where(F.col("phrase").isNull()).select("key")
+    if failures.isEmpty():
+        return found
+    more = _full_pass(docs, lang, known, proposed(failures, 4 * BITS_A_KEY)).where(enough).select("lang", "phrase", "c")
+    return found.union(materialize(more, "phrases-expanded"))
 
 
 def _cut(words: Column, start: Column | int, size: Column | int) -> Column:
