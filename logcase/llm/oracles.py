@@ -105,6 +105,37 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(chars AS BIGINT) AS wor
 FROM d JOIN s USING (doc_id) LEFT JOIN again USING (doc_id)
 """
 
+OP11 = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+          WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach AS r JOIN links AS l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a),
+least AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(c.b, e.vec_id)) AS component_id,
+       e.vec_id <= coalesce(c.b, e.vec_id) AS kept
+FROM embeddings AS e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN least AS c ON c.a = e.vec_id
+"""
+
+_TERMS = '[0-9A-Za-z\\x{80}-\\x{10FFFF}]+'
+
+OP12 = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERMS}') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{_TERMS}')) AS term FROM benchmark),
+whole AS (SELECT CAST(count(*) AS BIGINT) AS n_docs, CAST(sum(len(w)) AS BIGINT) AS n_terms FROM d WHERE len(w) > 0),
+tf AS (SELECT doc_id, term, size, count(*) AS tf FROM (SELECT doc_id, len(w) AS size, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+weight AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM df, whole),
+part AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * size * n_docs) // n_terms))) AS part
+         FROM tf JOIN weight USING (term), whole),
+scored AS (SELECT item_id, doc_id, CAST(sum(part) AS BIGINT) AS score FROM b JOIN part USING (term) GROUP BY ALL HAVING sum(part) > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored) WHERE rank <= 10
+"""
+
 OP13 = f"""
 WITH p AS (
     SELECT coalesce(lang, 'und') AS lang,

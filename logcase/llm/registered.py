@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logcase.llm import bpe_chunks, chat_snapshots, decontaminate, line_dedup, near_dup, oracles, phrase_mining, quality_model, quality_rules, secret_scan, toxicity, url_rules
+from logcase.llm import bpe_chunks, chat_snapshots, decontaminate, embedding_dup, lexical_search, line_dedup, near_dup, oracles, phrase_mining, quality_model, quality_rules, secret_scan, toxicity, url_rules
 from logcase.llm.common import configure, fold, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -76,6 +76,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_embedding_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    return embedding_dup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    configure(spark)
+    index = lexical_search.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark").select("item_id", "text")).select("item_id", "rank", "doc_id", "score")
+
+
 def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
     configure(spark)
     found = phrase_mining.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
@@ -86,9 +97,9 @@ def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_chat_snapshots, op2_quality_discriminant, op3_secret_scan, op4_benchmark_leaks, op5_line_dedup, op6_bpe_chunks,
     op7_toxicity_grammar, op8_url_rules, op9_near_duplicates, op10_quality_rules,
-    op13_phrase_mining)}
+    op11_embedding_dup, op12_lexical_search, op13_phrase_mining)}
 ORACLE_SQL = {
     "op1_chat_snapshots": oracles.OP1, "op4_benchmark_leaks": oracles.OP4, "op5_line_dedup": oracles.OP5,
     "op8_url_rules": oracles.OP8, "op9_near_duplicates": oracles.OP9, "op10_quality_rules": oracles.OP10,
-    "op13_phrase_mining": oracles.OP13,
+    "op11_embedding_dup": oracles.OP11, "op12_lexical_search": oracles.OP12, "op13_phrase_mining": oracles.OP13,
 }
