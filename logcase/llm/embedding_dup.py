@@ -41,7 +41,9 @@ CODE_BITS = 64
 #: Classes that the rotation is learned from, and turns of learning.
 FIT_ROWS = 20_000
 TURNS = 40
-LEAST_TABLE_BITS = 12
+#: Width of a table: flips that a vector can pay multiply with it, so it stops growing where they would outweigh the
+#: smaller buckets.
+LEAST_TABLE_BITS, MOST_TABLE_BITS = 12, 21
 #: Members of a bucket that one task compares with one another.
 BLOCK = 2048
 #: Buckets of more members are broadcast up to this many rows (and joined by shuffling beyond), so that none of them
@@ -101,7 +103,7 @@ class Tables:
     """The cut of a code into substrings, and what each may spend on flips."""
 
     def __init__(self, n_bits: int, n_classes: int, cosine: float = COSINE) -> None:
-        wanted = max(LEAST_TABLE_BITS, math.ceil(math.log2(max(n_classes, 2))))
+        wanted = min(max(LEAST_TABLE_BITS, math.ceil(math.log2(max(n_classes, 2)))), MOST_TABLE_BITS)
         n = max(1, n_bits // wanted)
         self.cuts = [n_bits * k // n for k in range(n + 1)]
         # a little above the exact bound, for the coordinates' rounding to single precision
