@@ -221,9 +221,10 @@ def _classes(vectors: DataFrame) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links, component_id, kept."""
-    given = vectors.select(vectors["vec_id"].cast("bigint").alias("vec_id"), vectors["embedding"].cast("array<double>").alias("vector"),
+    kind = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
+    given = vectors.select(vectors["vec_id"].cast("bigint").alias("vec_id"), vectors["embedding"].cast(f"array<{kind}>").alias("vector"),
                            vectors["label"].alias("label"))
-    given = given.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))  # -0.0 becomes 0.0
+    given = given.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0).cast(kind)))  # -0.0 becomes 0.0
     classes = materialize(_classes(given), "vector-classes")
     n_classes, width = classes.agg(F.count("*"), F.max(F.size("vector"))).first()
     if not n_classes:
