@@ -41,7 +41,7 @@ BLOCK_BYTES = 512
 DEVIATIONS = 4.0
 MOST_BITS = 27
 BITS_A_KEY = 16
-TOKENS = 1 << 20
+TOKENS = 1 << 18
 _SLICE = 4 << 20
 _END = b"\xff"  # stands for the end of a piece; no UTF-8 text holds this byte
 _PREPARED = bytes.maketrans(bytes(range(65, 91)) + PIECE_ENDS + b"\t", bytes(range(97, 123)) + b"\n" * len(PIECE_ENDS) + b" ")
