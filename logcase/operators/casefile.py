@@ -1,51 +1,22 @@
 """Case files: typed reading, strict validation, flattening, summaries.
 
 A case file is one JSON document per investigation run. ``CASE_SCHEMA``
-gives the typed view; validation works on the VARIANT of the same text so
-that unknown keys, wrong types and enum violations are seen (V1/V2). A row
+gives the typed view; validation walks the VARIANT of the same text against a rule table
+(``caserules``), so that unknown keys, wrong types and enum violations are seen (V1/V2). A row
 is never dropped: it carries its ``violations`` (empty when valid).
 Unions (``blast_radius`` string or object, open ground-truth fields) are
 VARIANT columns.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logcase.functions.display import args_preview, confidence_band, confidence_pct
 from logcase.functions.jsonvals import strict_value
 from logcase.operators import grading as G
-
-# The case-file protocol (version, enums, limits, keys).
-CASE_VERSION = "0.1"
-TOOLS = ("schema", "top_errors", "search", "around", "trace", "submit_incident_report", "llm_query")
-TERMINATION_REASONS = ("submitted", "max_iterations", "max_llm_calls", "max_wall_clock", "aborted", "error")
-MAX_CONTEXT_LINES = 3
-DEFAULT_TEMPERATURE = 0.2
-
-# Each object level: its fields (kind, and flags: "!" required, "?" may be null), and whether other keys may stand there.
-# Kinds: string, integer, number, boolean, time, object, list, strings (a list of strings), text_or_object, any.
-LEVELS = {
-    "case": ({"version": "string", "question": "string!", "model": "object!", "logs_manifest": "object!", "trajectory": "list!",
-              "report": "object?", "termination_reason": "string!", "usage": "object", "ground_truth": "object?"}, False),
-    "model": ({"provider": "string!", "name": "string!", "temperature": "number"}, False),
-    "logs_manifest": ({"files": "list!", "time_window": "object!", "total_rows": "integer!"}, False),
-    "file": ({"path": "string!", "bytes": "integer!", "rows": "integer!", "sha256": "string!"}, False),
-    "time_window": ({"start": "time!", "end": "time!"}, False),
-    "step": ({"step": "integer!", "tool": "string!", "args": "object", "stdout_excerpt": "string", "stderr_excerpt": "string",
-              "elapsed_ms": "integer", "report_delta": "object?"}, False),
-    "report": ({"root_cause": "string!", "blast_radius": "text_or_object!", "evidence": "list!", "remediation": "string!",
-                "confidence": "number!", "confidence_rationale": "string!", "unknowns": "strings"}, False),
-    "blast_radius": ({"duration_minutes": "integer?", "window_start": "time?", "window_end": "time?"}, True),
-    "evidence": ({"event_id": "string?", "file": "string!", "line": "integer!", "ts": "time!", "service": "string!",
-                  "level": "string!", "text_redacted": "string!", "context_before": "strings", "context_after": "strings",
-                  "why": "string!", "is_key": "boolean"}, False),
-    "usage": ({"llm_calls": "integer", "tool_calls": "integer", "wall_clock_s": "number", "input_tokens": "integer",
-               "output_tokens": "integer"}, False),
-    "ground_truth": ({"incident_id": "string?", "root_cause": "string!", "evidence_event_ids": "strings",
-                      "blast_radius": "text_or_object?", "remediation": "text_or_object?", "distractors": "list"}, True),
-}
+from logcase.operators.caserules import CASE_VERSION, DEFAULT_TEMPERATURE, MAX_CONTEXT_LINES, staged, with_violations
 
 _EVIDENCE = T.StructType([
     T.StructField("event_id", T.StringType()), T.StructField("file", T.StringType()),
@@ -101,129 +72,9 @@ def parse_cases(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("case", F.when(F.col("doc").isNotNull(), F.from_json(F.col(text_col), CASE_SCHEMA)))
 
 
-def _obj(doc: Column, path: str) -> Column:
-    return F.try_variant_get(doc, path, "map<string,variant>")
-
-
-def _present(m: Column, key: str) -> Column:
-    return F.coalesce(F.map_contains_key(m, key), F.lit(False))
-
-
-def _fits(v: Column, t: Column, kind: str) -> Column:
-    """The value ``v`` of type name ``t`` can be read as ``kind``: numbers, times and booleans also from their texts."""
-    text = F.trim(F.try_variant_get(v, "$", "string"))
-    number, flag, is_text = _is_number(t), t == "BOOLEAN", t == "STRING"
-    if kind == "string":
-        return is_text
-    if kind == "integer":
-        value = F.try_variant_get(v, "$", "double")
-        return flag | (number & (value == F.floor(value))) | (is_text & text.rlike(r"^[-+]?[0-9]+(\.0*)?$"))
-    if kind == "number":
-        return flag | number | (is_text & text.try_cast("double").isNotNull())
-    if kind == "boolean":
-        return flag | (number & F.try_variant_get(v, "$", "double").isin(0.0, 1.0)) | (
-            is_text & F.lower(text).isin("true", "false", "1", "0", "yes", "no", "on", "off", "t", "f", "y", "n"))
-    if kind == "time":
-        return number | (is_text & text.rlike("^[-+]?[0-9]") & (text.try_cast("timestamp").isNotNull() | text.try_cast("double").isNotNull()))
-    if kind == "object":
-        return t.startswith("OBJECT")
-    if kind == "text_or_object":
-        return is_text | t.startswith("OBJECT")
-    items = F.try_variant_get(v, "$", "array<variant>")
-    if kind == "strings":
-        return t.startswith("ARRAY") & F.forall(items, lambda x: F.schema_of_variant(x) == "STRING")
-    return t.startswith("ARRAY")
-
-
-def _level_checks(m: Column, level: str, where: Column) -> list[Column]:
-    """Codes for one object map ``m`` at location text ``where``: missing and
-    unknown keys, nulls where none may stand, values of another kind."""
-    fields, open_ = LEVELS[level]
-    out = []
-    for k, spec in fields.items():
-        kind, here, v = spec.rstrip("!?"), F.concat(where, F.lit("." + k)), m.getItem(k)
-        if spec.endswith("!"):
-            out.append(F.when(m.isNotNull() & ~_present(m, k), F.concat(F.lit("missing:"), here)))
-        t = F.schema_of_variant(v)
-        null = F.lit(None) if spec.endswith("?") else F.concat(F.lit("null:"), here)
-        out.append(F.when(_present(m, k), F.when(t == "VOID", null).when(~F.coalesce(_fits(v, t, kind), F.lit(False)), F.concat(F.lit("type:"), here))))
-    if not open_:
-        extra = F.array_except(F.coalesce(F.map_keys(m), F.array().cast("array<string>")),
-                               F.array(*[F.lit(k) for k in fields]))
-        out.append(F.when(F.size(extra) > 0, F.concat(F.lit("unknown_key:"), where, F.lit(":"),
-                                                      F.array_join(F.array_sort(extra), ","))))
-    return out
-
-
-def _compact(codes: list[Column]) -> Column:
-    return F.filter(F.array(*codes), lambda c: c.isNotNull())
-
-
-def _each(doc: Column, path: str, fn) -> Column:
-    """Flattened codes of ``fn(map, index)`` over the objects of an array."""
-    arr = F.try_variant_get(doc, path, "array<variant>")
-    per = F.transform(arr, lambda v, i: fn(F.try_variant_get(v, "$", "map<string,variant>"), i, v))
-    return F.coalesce(F.flatten(per), F.array().cast("array<string>"))
-
-
-def _is_number(t: Column) -> Column:
-    return t.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT") | t.startswith("DECIMAL")
-
-
-def violations(doc: Column) -> Column:
-    """V1/V2: array of violation codes for a case-file variant (empty = valid)."""
-    top = _obj(doc, "$")
-    model, man, report, usage = (_obj(doc, p) for p in ("$.model", "$.logs_manifest", "$.report", "$.usage"))
-    tw, gt = _obj(doc, "$.logs_manifest.time_window"), _obj(doc, "$.ground_truth")
-    blast = _obj(doc, "$.report.blast_radius")
-    conf = F.try_variant_get(doc, "$.report.confidence", "double")
-    version = F.try_variant_get(doc, "$.version", "string")
-    term = F.try_variant_get(doc, "$.termination_reason", "string")
-    scalar = [
-        F.when(top.isNull(), F.lit("not_an_object")),
-        F.when(_present(top, "version") & ~F.coalesce(version == CASE_VERSION, F.lit(False)), F.lit("version")),
-        F.when(_present(top, "termination_reason") & ~F.coalesce(term.isin(*TERMINATION_REASONS), F.lit(False)),
-               F.concat(F.lit("enum:termination_reason="), F.coalesce(term, F.lit("?")))),
-        F.when(report.isNotNull() & ((conf < 0) | (conf > 1)), F.lit("range:report.confidence")),
-    ]
-    lv = (_level_checks(top, "case", F.lit("case")) + _level_checks(model, "model", F.lit("model"))
-          + _level_checks(man, "logs_manifest", F.lit("logs_manifest"))
-          + _level_checks(tw, "time_window", F.lit("logs_manifest.time_window"))
-          + _level_checks(report, "report", F.lit("report")) + _level_checks(usage, "usage", F.lit("usage"))
-          + _level_checks(blast, "blast_radius", F.lit("report.blast_radius"))
-          + _level_checks(gt, "ground_truth", F.lit("ground_truth")))
-
-    def step_codes(m, i, v):
-        where = F.concat(F.lit("trajectory["), i.cast("string"), F.lit("]"))
-        tool = F.try_variant_get(v, "$.tool", "string")
-        return _compact(_level_checks(m, "step", where) + [
-            F.when(m.isNull(), F.concat(F.lit("type:"), where)),
-            F.when(_present(m, "tool") & ~F.coalesce(tool.isin(*TOOLS), F.lit(False)),
-                   F.concat(F.lit("enum:"), where, F.lit(".tool="), F.coalesce(tool, F.lit("?"))))])
-
-    def evidence_codes(m, i, v):
-        where = F.concat(F.lit("report.evidence["), i.cast("string"), F.lit("]"))
-        codes = _level_checks(m, "evidence", where) + [F.when(m.isNull(), F.concat(F.lit("type:"), where))]
-        for k in ("context_before", "context_after"):
-            n = F.size(F.try_variant_get(v, f"$.{k}", "array<variant>"))
-            codes.append(F.when(n > MAX_CONTEXT_LINES, F.concat(F.lit("max_items:"), where, F.lit("." + k))))
-        return _compact(codes)
-
-    def file_codes(m, i, v):
-        where = F.concat(F.lit("logs_manifest.files["), i.cast("string"), F.lit("]"))
-        return _compact(_level_checks(m, "file", where) + [F.when(m.isNull(), F.concat(F.lit("type:"), where))])
-
-    def distractor_codes(m, i, v):
-        return _compact([F.when(m.isNull(), F.concat(F.lit("type:ground_truth.distractors["), i.cast("string"), F.lit("]")))])
-
-    return F.concat(_compact(scalar + lv), _each(doc, "$.trajectory", step_codes),
-                    _each(doc, "$.report.evidence", evidence_codes), _each(doc, "$.logs_manifest.files", file_codes),
-                    _each(doc, "$.ground_truth.distractors", distractor_codes))
-
-
 def validate_cases(cases: DataFrame) -> DataFrame:
     """Add ``violations`` and ``valid``; fill the protocol defaults in ``case``
-    (temperature 0.2, unknowns [], is_key false, usage zeros)."""
+    (temperature 0.2, unknowns [], is_key false, usage zeros). A filter on the result does not repeat the walk."""
     c = F.col("case")
     ev = F.transform(c["report"]["evidence"], lambda e: e.withField("is_key", F.coalesce(e["is_key"], F.lit(False)))
                      .withField("context_before", F.coalesce(e["context_before"], F.array().cast("array<string>")))
@@ -237,8 +88,9 @@ def validate_cases(cases: DataFrame) -> DataFrame:
               .withField("model", c["model"].withField("temperature", F.coalesce(c["model"]["temperature"],
                                                                                  F.lit(DEFAULT_TEMPERATURE))))
               .withField("report", report).withField("usage", usage))
-    v = violations(F.col("doc"))
-    return cases.withColumn("violations", v).withColumn("valid", F.size(v) == 0).withColumn("case", filled)
+    judged = with_violations(cases)
+    return staged(judged, valid=F.size("violations") == 0, _case=filled).drop("case").withColumnRenamed("_case", "case").select(
+        *cases.columns, "violations", "valid")
 
 
 def case_steps(cases: DataFrame, id_col: str = "case_id") -> DataFrame:

@@ -277,7 +277,7 @@ def case_document(spark: SparkSession, sf: str) -> DataFrame:
     configure(spark)
     ev = load_table(spark, sf, "events").select("event_id", "value")
     view = load_log_view(spark, sf).join(ev, "event_id")
-    return view.select(F.col("event_id").alias("case_id"), _case_doc().alias("text"))
+    return spread(view.select(F.col("event_id").alias("case_id"), _case_doc().alias("text")))
 
 
 def _case_files(spark: SparkSession, sf: str) -> DataFrame:

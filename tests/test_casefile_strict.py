@@ -1,5 +1,6 @@
 """Case files that must be refused, and the round trip of many cases."""
 import json
+import time
 
 import casedocs
 import pytest
@@ -76,3 +77,25 @@ def test_round_trip_keeps_every_case(spark, tmp_path):
     again = validate_cases(read_cases(spark, str(tmp_path / "out"), layout="lines"))
     plain = lambda df: {r.case_id: (r.valid, r.c) for r in df.select("case_id", "valid", F.to_json("case").alias("c")).collect()}
     assert plain(again) == plain(cases) and len(plain(again)) == 4
+
+
+def test_a_filter_on_valid_does_not_repeat_the_walk(spark):
+    """The plan of the filtered table holds every step once, and running it takes no longer than without the filter."""
+    rows = [(str(i), (GOOD["flag as text"] if i % 3 else BAD["type:case.model"])(casedocs.good_case())) for i in range(600)]
+    judged = validate_cases(parse_cases(spark.createDataFrame(rows, "case_id string, text string")))
+    seconds = []
+    for df in (judged, judged, judged.where("valid")):  # the first run warms up
+        start = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        seconds.append(time.perf_counter() - start)
+    assert seconds[2] < 1.5 * seconds[1] + 1
+    plan = judged.where("valid")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 2 * len(judged._jdf.queryExecution().optimizedPlan().toString())
+    assert judged.where("valid").count() == 400
+
+
+def test_columns_of_the_same_names_and_null_documents(spark):
+    df = spark.createDataFrame([("a", None, 1), ("b", "", 2), ("c", json.dumps(casedocs.good_case()), 3)], "case_id string, text string, level int")
+    got = {r.case_id: (r.level, r.violations) for r in validate_cases(parse_cases(df)).collect()}
+    assert got == {"a": (1, ["not_an_object"]), "b": (2, ["not_an_object"]), "c": (3, [])}
+    assert validate_cases(parse_cases(df.limit(0))).collect() == []
