@@ -17,6 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Spark's bound for one VARIANT value.
+MOST_JSON_BYTES = 128 << 20
+
 # Printable (JSON strings may not hold raw control characters) and unlikely
 # to collide with a real key.
 _SENTINEL_KEY = "~logcase:end~"
@@ -33,6 +36,11 @@ def wrapped_map(text: Column) -> Column:
     return F.try_variant_get(F.try_parse_json(_wrap(text)), "$", "map<string,variant>")
 
 
+def too_large(text: Column, as_map: Column) -> Column:
+    """The text opens a JSON object but is larger than VARIANT can hold, so that its null map says nothing about it."""
+    return as_map.isNull() & (F.octet_length(text) > MOST_JSON_BYTES) & text.rlike(r"^\s*\{")
+
+
 def value_of_wrapped(as_map: Column) -> Column:
     """Step 2 of ``strict_value``: the value when nothing else was in the text."""
     ok = (F.size(as_map) == 2) & as_map.getItem(_SENTINEL_KEY).isNotNull()

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logcase.functions.display import args_preview, confidence_band, confidence_pct
-from logcase.functions.jsonvals import strict_value
+from logcase.functions.jsonvals import MOST_JSON_BYTES, strict_value, too_large
 from logcase.operators import grading as G
 from logcase.operators.caserules import CASE_VERSION, DEFAULT_TEMPERATURE, MAX_CONTEXT_LINES, staged, with_violations
 
@@ -67,8 +67,11 @@ GROUND_TRUTH_SCHEMA = T.StructType([
 
 def parse_cases(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Add ``doc`` (variant) and ``case`` (typed struct) from JSON text; both
-    null when the text is not exactly one JSON value."""
-    return docs.withColumn("doc", strict_value(F.col(text_col))) \
+    null when the text is not exactly one JSON value. A document beyond what
+    VARIANT can hold raises an error."""
+    value, text = strict_value(F.col(text_col)), F.col(text_col)
+    refused = F.raise_error(F.lit(f"a case file of more than {MOST_JSON_BYTES} bytes cannot be parsed"))
+    return docs.withColumn("doc", F.when(too_large(text, value), refused).otherwise(value)) \
         .withColumn("case", F.when(F.col("doc").isNotNull(), F.from_json(F.col(text_col), CASE_SCHEMA)))
 
 

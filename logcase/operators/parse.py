@@ -17,8 +17,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logcase.functions.jsonvals import (as_object, truthy, truthy_text, truthy_texts, value_of_wrapped, vtype,
-                                        wrapped_map)
+from logcase.functions.jsonvals import MOST_JSON_BYTES, as_object, too_large, truthy, truthy_text, truthy_texts, value_of_wrapped, vtype, wrapped_map
 from logcase.functions.redact import SECRET_PATTERNS, SecretPattern, redact
 from logcase.functions.timestamps import epoch_ms_to_ts, parse_iso_ts, to_utc_timestamp_literal
 
@@ -92,7 +91,10 @@ def parse_lines(df: DataFrame, value_col: str = "value",
 
     # 1. parse once (the wrapped map is read three times by the strict test)
     s0 = df.select(*keep, F.col(value_col).alias("_v"), wrapped_map(F.col(value_col)).alias("_w"))
-    s1 = s0.select(*names, "_v", as_object(value_of_wrapped(F.col("_w"))).alias("_o"))
+    place = F.concat_ws(" line ", *[F.col(c).cast("string") for c in ("file", "line") if c in names]) if "file" in names else F.lit("a line")
+    s1 = s0.select(*names, "_v", F.when(too_large(F.col("_v"), F.col("_w")), F.raise_error(F.concat(
+        place, F.lit(f": JSON of more than {MOST_JSON_BYTES} bytes cannot be parsed"))))
+        .otherwise(as_object(value_of_wrapped(F.col("_w")))).alias("_o"))
 
     # 2. detect
     o = F.col("_o")

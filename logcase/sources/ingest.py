@@ -8,7 +8,7 @@
 
 Only a file whose first non-blank line may open a JSON value that is not
 complete on that line, and whose last one ends with the matching bracket, is
-read whole; a file of complete JSON lines with two or more non-blank lines
+decoded as a document, item by item; a file of complete JSON lines with two or more non-blank lines
 cannot be one document. Raw lines are never shuffled: the split table alone
 says which of them count. Caps are optional: a distributed ingest needs no row limit.
 """
@@ -63,7 +63,7 @@ def read_event_lines(spark: SparkSession, paths, missing: str = "raise") -> tupl
     documents unwrapped; and the file listing ``(path, bytes, modified)``.
 
     Raw lines are scanned twice in total (split statistics, then the numbered
-    lines); document candidates are additionally read whole."""
+    lines); document candidates are read once more."""
     configure(spark)
     ensure_checkpoint_dir(spark)
     pin_split_layout(spark)
@@ -75,7 +75,7 @@ def read_event_lines(spark: SparkSession, paths, missing: str = "raise") -> tupl
     candidates = [r["file"] for r in stats.where(F.col("mode") == "doc").select("file").distinct().collect()]
     items = None
     if candidates:
-        unwrapped = materialize(read_documents(spark, candidates), "docs")
+        unwrapped = read_documents(spark, candidates)
         whole = unwrapped.where("line = 0").select("file", F.lit(True).alias("unwrapped"))
         stats = stats.join(whole, "file", "left").withColumn("mode", F.when(F.col("unwrapped"), "unwrapped").otherwise(F.col("mode")))
         stats = materialize(stats.drop("unwrapped"), "splits")

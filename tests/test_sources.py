@@ -1,14 +1,18 @@
 """Odd file names, repeated paths, documents, streams that start anew, scratch folders."""
 import gzip
+import itertools
 import json
 import os
+import random
 
 import incident
 import pytest
 from pyspark.sql import functions as F
 
 from logcase import session
+from logcase.operators.parse import parse_lines
 from logcase.schema import EVENTS_SCHEMA
+from logcase.sources import documents
 from logcase.sources.documents import document_items
 from logcase.sources.ingest import ingest, manifest
 from logcase.sources.store import read_events
@@ -61,6 +65,73 @@ def test_document_items():
         assert document_items(bad) is None
 
 
+@pytest.mark.parametrize("size", [1, 3, 7, 1000])
+def test_documents_in_pieces(monkeypatch, size):
+    """Wherever the text is cut, the items are those of a decoder that sees it whole."""
+    monkeypatch.setattr(documents, "_GROW", 1)
+    rng = random.Random(size)
+
+    def value(depth):
+        kind = rng.randrange(7 if depth else 4)
+        if kind < 4:
+            return [rng.randrange(-99, 99), rng.choice(["", "a,b", "\n\"", "é]", "\ud800"]), rng.choice([True, None, 1.5e-7]), "x" * 40][kind]
+        if kind < 6:
+            return {rng.choice(["events", "data", "k"]): value(depth - 1) for _ in range(rng.randrange(3))}
+        return [value(depth - 1) for _ in range(rng.randrange(4))]
+
+    for _ in range(150):
+        whole = {k: rng.choice([value(3), [value(2) for _ in range(rng.randrange(4))]]) for k in rng.sample(["data", "results", "events", "other"], rng.randrange(5))}
+        whole = whole if rng.random() < 0.8 else [value(2) for _ in range(rng.randrange(5))]
+        lists = {k: v for k, v in whole.items() if isinstance(v, list)} if isinstance(whole, dict) else {}
+        results = lists.get("results") or [None]
+        inner = results[0].get("events") if isinstance(results[0], dict) else None
+        want = whole if isinstance(whole, list) else lists["data"] if "data" in lists else inner if isinstance(inner, list) \
+            else results if isinstance(results[0], dict) else lists.get("events")
+        text = json.dumps(whole, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        got = document_items(text[k:k + size] for k in range(0, len(text), size))
+        assert (got is None) == (want is None)
+        assert want is None or [x if isinstance(w, str) else json.loads(x) for x, w in zip(got, want, strict=True)] == want
+        for bad in (text[:-1], text + ",", text + " 1", text.replace(":", "=", 1) if isinstance(whole, dict) and whole else "[1 2]"):
+            assert document_items(bad[k:k + size] for k in range(0, len(bad), size)) is None
+
+
+def test_too_large_values_are_named(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "MOST_ITEM_CHARS", 1000)
+    monkeypatch.setattr(documents, "_GROW", 64)
+    with pytest.raises(documents.DocumentItemTooLarge, match="character 9 "):
+        document_items(c for c in '[1, 2,   "' + "x" * 5000 + '"]')
+    # what can no longer be JSON is given up at once, however long it goes on
+    assert document_items(itertools.chain(["[1, oops, "], itertools.repeat(" " * 50, 10 ** 5))) is None
+
+
+def test_a_line_beyond_variant_is_refused_by_name(spark):
+    line = F.concat(F.lit('{"msg":"'), F.repeat(F.lit("x"), (F.col("id") + 140_000_000).cast("int")), F.lit('"}'))
+    df = spark.range(1).select(line.alias("value"), F.lit("big.log").alias("file"), F.lit(7).alias("line"))
+    with pytest.raises(Exception, match="big.log line 7"):
+        parse_lines(df).agg(F.max(F.length("msg"))).collect()
+
+
+def test_documents_of_many_splits(spark, tmp_path):
+    """Documents cut into many splits, compressed, with odd separators; and texts that are none."""
+    items = [{"message": f"m{k}, \u00e9" + "y" * (k % 90), "service": "s"} for k in range(3000)]
+    (tmp_path / "split.log").write_text(json.dumps({"meta": {"a": [1, 2]}, "events": items}, indent=2, ensure_ascii=False))
+    (tmp_path / "packed.log.gz").write_bytes(gzip.compress(json.dumps({"results": [{"x": 1, "events": items}, {"events": [5]}]}, indent=1).encode()))
+    (tmp_path / "empty.log").write_text('{\n"data": []\n}')
+    (tmp_path / "none.log").write_text('{\n"data": [1,]\n}')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = documents.read_documents(spark, [str(p) for p in sorted(tmp_path.iterdir())]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    by_file = {}
+    for r in got:
+        by_file.setdefault(r["file"].split("/")[-1], []).append((r["line"], r["value"]))
+    assert sorted(by_file) == ["empty.log", "packed.log.gz", "split.log"] and by_file["empty.log"] == [(0, None)]
+    for name in ("split.log", "packed.log.gz"):
+        rows = sorted(by_file[name])
+        assert [k for k, _ in rows] == list(range(3001)) and [json.loads(v) for _, v in rows[1:]] == items
+
+
 def test_large_document(spark, tmp_path):
     """More than a VARIANT can hold: every event comes out."""
     n, pad = 37_500, "p" * 4000
