@@ -17,14 +17,17 @@ from logcase.plans.checks import FALLBACK_TS, case_document, ntz
 from logcase.plans.logfiles import logical_name
 from logcase.plans.logview import load_log_view, with_log_view
 from logcase.plans.sizing import materialize, spread
-from logcase.session import scratch_dir
+from logcase.session import configure, scratch_dir
 from logcase.sources.casefiles import read_cases, write_cases
 from logcase.sources.ingest import ingest, manifest
+from logcase.sources.search_index import search_store, update_search_index
 from logcase.sources.store import write_events
 from logcase.streaming import error_counts_stream, read_events_stream
 
 #: Events of one document at most.
 DOC_EVENTS = 500
+#: Searches through the sidecar: wildcards on both sides, one short run, a text that no event holds.
+INDEXED_PATTERNS = {"wildcards": "VIEW K=1%", "one character": "r_or k", "short": "k=", "absent": "no such text"}
 
 
 def _files(named: DataFrame, spark: SparkSession, what: str, **options: str) -> str:
@@ -119,13 +122,30 @@ def q_case_usage_and_truth(spark: SparkSession, sf: str) -> DataFrame:
         "model", *[F.col(c).cast("bigint").alias(c) for c in ("n_cases", "llm_calls", "tool_calls", "n_truth", "n_distractors")], "wall_clock_s")
 
 
+def _stored(view: DataFrame) -> DataFrame:
+    """The log view with the columns of a store."""
+    return view.select("ts", "service", "level", "msg", "raw", "file", "line", F.lit(None).cast("string").alias("trace_id"),
+                       F.lit(None).cast("string").alias("request_id"), F.lit("generic").alias("format"), F.lit("parsed").alias("ts_source"))
+
+
+def q_search_indexed(spark: SparkSession, sf: str) -> DataFrame:
+    """Searches over a written store through its trigram sidecar, one pattern that stands in few files among them."""
+    configure(spark)
+    store = scratch_dir(spark, "indexed-store")
+    write_events(_stored(load_log_view(spark, sf)), store, mode="overwrite", layout="range")
+    update_search_index(spark, store)
+    found = None
+    for name, pattern in INDEXED_PATTERNS.items():
+        rows = search_store(spark, store, pattern).select(F.lit(name).alias("pattern"), "ts", "service", "level", "msg", "file", "line")
+        found = rows if found is None else found.unionByName(rows)
+    return ntz(found, "ts")
+
+
 def q_error_counts_streamed(spark: SparkSession, sf: str) -> DataFrame:
     """The windowed counts as a stream over a written store, in complete mode."""
     view = load_log_view(spark, sf)
     store, out, ckpt = (scratch_dir(spark, n) for n in ("stream-store", "stream-counts", "stream-state"))
-    events = view.select("ts", "service", "level", "msg", "raw", "file", "line", F.lit(None).cast("string").alias("trace_id"),
-                         F.lit(None).cast("string").alias("request_id"), F.lit("generic").alias("format"), F.lit("parsed").alias("ts_source"))
-    write_events(events, store, mode="overwrite")
+    write_events(_stored(view), store, mode="overwrite")
     counts = error_counts_stream(read_events_stream(spark, store), window="1 hour", watermark="1 hour")
     counts.writeStream.outputMode("complete").option("checkpointLocation", ckpt).foreachBatch(
         lambda batch, _: batch.write.mode("overwrite").parquet(out)).trigger(availableNow=True).start().awaitTermination()
@@ -134,7 +154,7 @@ def q_error_counts_streamed(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__.removeprefix("q_"): f for f in (
-    q_ingest_documents, q_ingest_odd_names, q_parse_fallbacks, q_case_violations, q_case_roundtrip, q_case_usage_and_truth, q_error_counts_streamed)}
+    q_ingest_documents, q_ingest_odd_names, q_parse_fallbacks, q_case_violations, q_case_roundtrip, q_case_usage_and_truth, q_search_indexed, q_error_counts_streamed)}
 
 _CASE_BASE = """SELECT l.event_id AS case_id, l.level, l.msg, l.service, e.value / 100.0 AS confidence, l.event_id % 8 AS k
 FROM log_events l JOIN events e USING (event_id)"""
@@ -178,6 +198,9 @@ SELECT case_id, len(codes) = 0 AS valid, array_to_string(list_sort(codes), ',')
 SELECT service AS model, count(*) AS n_cases, CAST(sum(event_id % 5) AS BIGINT) AS llm_calls, CAST(0 AS BIGINT) AS tool_calls,
   count(*) FILTER (event_id % 3 = 0) AS n_truth, count(*) FILTER (event_id % 3 = 0) AS n_distractors, count(*) * 0.5::DOUBLE AS wall_clock_s
 FROM log_events GROUP BY service"""),
+    "search_indexed": with_log_view(" UNION ALL ".join(
+        f"(SELECT '{name}' AS pattern, ts, service, level, msg, file, line FROM log_events WHERE msg ILIKE '%{p}%' OR raw ILIKE '%{p}%' "
+        "ORDER BY ts, file, line LIMIT 10)" for name, p in INDEXED_PATTERNS.items())),
     "error_counts_streamed": with_log_view(
         "SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end, "
         "service, level, msg, CAST(count(*) AS BIGINT) AS n FROM log_events WHERE level IN ('error', 'warn') GROUP BY ALL"),
