@@ -46,7 +46,7 @@ def test_files_are_ruled_out(spark, store):
 
 
 def test_new_files_are_found_before_and_after_an_update(spark, store):
-    write_events(_events(spark, 5000, 100), store)
+    write_events(_events(spark, 4000, 100), store)
     counts = []
     for _ in range(3):  # not known, known, known twice over
         counts.append(S.search_store(spark, store, "DISK", 1000).count())
