@@ -8,7 +8,8 @@ score is a logistic function of the sums of its clauses, so a word alone, read i
 
 Learning: document frequencies of word prefixes, first in toxic texts, then of the prefixes found often there in clean
 ones, counted in tasks and summed by a partial and a final aggregate; then a logistic fit of the clause sums. All of it
-uses at most about ``FIT_ROWS`` labelled rows, chosen by a hash of the id. Scoring reads every text whole, in pieces of bounded size.
+uses at most about ``FIT_ROWS`` labelled rows, chosen by a hash of the id (repeated label rows count once), and keeps at
+most the ``MAX_STEMS`` stems of the greatest weight. Scoring reads every text whole, in pieces of bounded size.
 
 Defined results: null and empty texts have no clauses and get the score of that. Repeated rows are scored alike. If
 the labelled rows hold one class only (or none), every score is that class (0 if none). An empty table gives an empty
@@ -258,11 +259,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5) -> tuple[np.ndar
 
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     """``labels``: doc_id and a 0/1 label (other values are left out)."""
-    labels = labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label"))
+    labels = labels.where(F.col("label").isin(0, 1)).select("doc_id", F.col("label").cast("int").alias("label")).distinct()
     n = labels.count()
     if n > FIT_ROWS:
         labels = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < FIT_ROWS)
-    labels = materialize(labels.distinct(), "toxic-labels")
+    labels = materialize(labels, "toxic-labels")
     per_class = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
     if len(per_class) < 2:
         return Grammar(constant=float(next(iter(per_class), 0)))

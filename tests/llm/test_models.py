@@ -80,3 +80,15 @@ def test_difficult_texts(spark):
     empty = spark.createDataFrame([], DOCS)
     assert quality_model.score(quality_model.measured(empty), quality_model.Discriminant(constant=0.0)).collect() == []
     assert toxicity.score(empty, toxicity.Grammar(constant=0.0)).collect() == []
+
+
+def test_repeated_label_rows_count_once(spark, monkeypatch):
+    """However often a label row is repeated, the sample holds both classes and the scores stay the same."""
+    monkeypatch.setattr(toxicity, "FIT_ROWS", 400)
+    rows = [(i, ("you are a complete idiot " if i % 2 else "a quiet walk by the river ") + f"word{i}") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id bigint, label int")
+    scores = lambda table: {r["doc_id"]: round(r["score"], 9) for r in toxicity.score(docs, toxicity.fit(docs, table)).collect()}
+    once = scores(labels)
+    assert scores(labels.crossJoin(spark.range(300)).drop("id")) == once
+    assert all((s >= 0.3) == (i % 2 == 1) for i, s in once.items())
