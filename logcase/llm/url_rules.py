@@ -2,7 +2,7 @@
 
 Every rule names literal tokens that any url it fits must hold. The token that fewest urls hold (counted over the
 whole table) becomes the rule's entry in the index; a url's tokens fetch candidate rules by an equi-join, and only
-candidates run their regular expression. The index is broadcast after its size has been checked against
+candidates run their regular expression. A rule without literals is a candidate for every url. The index is broadcast after its size has been checked against
 ``MAX_RULES``; url rows are aggregated on a row number with a partial aggregate first, so that no token, host or
 page can gather in one task.
 
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from logcase.llm.common import lower_ascii
 
 MAX_RULES = 100_000
+#: Index entry of rules without a literal; every url fetches it, if there are such rules.
+EVERY_URL = ""
 _TOKEN = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 
 
@@ -80,7 +82,7 @@ def rule_index(urls: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
         raise ValueError(f"more than {MAX_RULES} rules")
     spark = urls.sparkSession
     listed = spark.createDataFrame(
-        [(i, r.name, r.verdict, r.pattern, r.site, t) for i, r in enumerate(rules) for t in r.literals],
+        [(i, r.name, r.verdict, r.pattern, r.site, t) for i, r in enumerate(rules) for t in r.literals or (EVERY_URL,)],
         "id int, name string, verdict string, pattern string, site boolean, token string")
     literals = listed.select("token").distinct()
     held = urls.select(F.explode(tokens(F.col("target"))).alias("token")).join(F.broadcast(literals), "token")
@@ -97,7 +99,10 @@ def judge_urls(pages: DataFrame, keys: tuple[str, ...] = (), url: str = "url", r
     urls = urls.withColumn("target", F.concat("host", "path"))
     index = rule_index(urls, rules)
     rows = urls.withColumn("rid", F.monotonically_increasing_id())
-    asked = rows.select("*", F.explode(tokens(F.col("target"))).alias("token"))
+    asked = tokens(F.col("target"))
+    if not all(r.literals for r in rules):
+        asked = F.array_union(asked, F.array(F.lit(EVERY_URL)))
+    asked = rows.select("*", F.explode(asked).alias("token"))
     found = asked.join(F.broadcast(index), "token", "left")
     fits = F.expr("target rlike pattern")
     rank = F.struct("site", F.char_length("name").alias("size"), "verdict", "name")

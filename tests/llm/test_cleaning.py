@@ -169,3 +169,11 @@ def test_chat(spark, monkeypatch):
     assert parts == brute.conversations(rows)
     assert 61 not in parts and 60 in parts
     assert chat_snapshots.format_conversations(spark.createDataFrame([], df.schema)).collect() == []
+
+
+def test_url_rules_without_literals(spark):
+    """A rule that names no literal is tried on every url; others are fetched by theirs as before."""
+    pages = spark.createDataFrame([(1, "http://a.org/x.exe"), (2, "http://b.net/y"), (3, None), (4, "http://c.io/")], "page_id bigint, url string")
+    rules = (url_rules.Rule("exe", "block", r"\.[e]xe$", ()), url_rules.site_rule("net", "/", "block"))
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge_urls(pages, ("page_id",), rules=rules).collect()}
+    assert got == {1: ("exe", "block"), 2: ("net/", "block"), 3: (None, "allow"), 4: (None, "allow")}
