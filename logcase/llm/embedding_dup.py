@@ -54,14 +54,17 @@ _PAIRS = 1 << 16
 _GRAIN = 2.0 ** 40
 
 
-def units(batch: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+def units(batch: pa.ListArray, width: int) -> np.ndarray:
     """Rows of unit vectors, zero-padded to ``width``; each is scaled by its largest component first."""
-    out = np.zeros((len(batch), width))
-    for k, v in enumerate(batch):
-        x = np.asarray(v.values.to_numpy(zero_copy_only=False), float)
-        x = x / np.abs(x).max()
-        out[k, :len(x)] = x / math.sqrt(float(x @ x))
-    return out
+    sizes = np.diff(batch.offsets.to_numpy())
+    flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if (sizes == width).all():
+        out = flat.reshape(-1, width)
+    else:
+        out = np.zeros((len(batch), width))
+        out[np.arange(width) < sizes[:, None]] = flat
+    out = out / np.abs(out).max(1, keepdims=True)
+    return out / np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
 
 
 class Rotation:
