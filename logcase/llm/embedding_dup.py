@@ -54,19 +54,35 @@ _PAIRS = 1 << 16
 _GRAIN = 2.0 ** 40
 
 
-def units(batch: pa.ListArray, width: int) -> np.ndarray:
-    """Rows of unit vectors, zero-padded to ``width``; each is scaled by its largest component first."""
+def padded(batch: pa.ListArray, width: int) -> np.ndarray:
+    """The vectors as rows, zero-padded to ``width``."""
     sizes = np.diff(batch.offsets.to_numpy())
-    flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    flat = batch.flatten().to_numpy(zero_copy_only=False)
     if (sizes == width).all():
-        out = flat.reshape(-1, width)
-    else:
-        out = np.zeros((len(batch), width))
-        out[np.arange(width) < sizes[:, None]] = flat
-    out = out / np.abs(out).max(1, keepdims=True)
+        return flat.reshape(-1, width)
+    out = np.zeros((len(batch), width), flat.dtype)
+    out[np.arange(width) < sizes[:, None]] = flat
+    return out
+
+
+def units(rows: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, by their largest component first."""
+    out = rows.astype(np.float64)
+    out /= np.abs(out).max(1, keepdims=True)
     return out / np.sqrt(np.einsum("ij,ij->i", out, out))[:, None]
 
 
+def _packed(rows: np.ndarray) -> pa.Array:
+    """One binary value per row, which moves between tasks as a whole."""
+    data = np.ascontiguousarray(rows)
+    size = data.shape[1] * data.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(np.arange(0, (len(data) + 1) * size, size, dtype=np.int32)), pa.py_buffer(data)])
+
+
+def _unpacked(column: pa.Array | pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+
+
 class Rotation:
     """A centre and an orthogonal map to at most ``CODE_BITS`` coordinates."""
 
@@ -161,14 +177,14 @@ def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         low = new
 
 
-def _bucket_links(rows: DataFrame, tables: Tables, n_bits: int, width: int, cosine: float) -> DataFrame:
-    """For rows (bucket, low, high, side, node, team, times, table, here, code, z, vector) in order of bucket, low, high,
+def _bucket_links(rows: DataFrame, tables: Tables, n_bits: int, width: int, kind: str, cosine: float) -> DataFrame:
+    """For rows (bucket, low, high, side, node, team, times, table, here, code, z, packed) in order of bucket, low, high,
     node: (node, links, top) of every member that links, ``top`` being a member of the bucket that it is connected with."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
 
         def work(t: pa.Table, final: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
-            col = {c: t.column(c).to_numpy() for c in t.column_names if c not in ("z", "vector")}
+            col = {c: t.column(c).to_numpy() for c in t.column_names if c not in ("z", "packed")}
             change = np.ones(t.num_rows, bool)
             change[1:] = (col["bucket"][1:] != col["bucket"][:-1]) | (col["low"][1:] != col["low"][:-1]) | (col["high"][1:] != col["high"][:-1])
             starts = np.flatnonzero(change)
@@ -176,9 +192,8 @@ def _bucket_links(rows: DataFrame, tables: Tables, n_bits: int, width: int, cosi
             if not done:
                 return [], t
             ends = np.append(starts[1:], t.num_rows)
-            z = t.column("z").combine_chunks().flatten().to_numpy().reshape(-1, n_bits)
-            unit = units(t.column("vector").combine_chunks(), width)
-            cost, code, here = costs(z), col["code"].view(np.uint64), col["here"].view(np.uint64)
+            unit = units(_unpacked(t.column("packed"), kind, width))
+            cost, code, here = costs(_unpacked(t.column("z"), "<f4", n_bits)), col["code"].view(np.uint64), col["here"].view(np.uint64)
             follow = (ends[np.cumsum(change) - 1] - np.arange(t.num_rows) - 1)[:done]
             links, found = np.zeros(t.num_rows, np.int64), []
             at = 0
@@ -237,21 +252,21 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     sample = classes.where(F.pmod(F.xxhash64("node"), 1 << 30) < int(part * (1 << 30))).select("vector").limit(FIT_ROWS).toArrow()
     if not sample.num_rows:
         sample = classes.select("vector").limit(FIT_ROWS).toArrow()
-    rotation = Rotation.fit(units(sample.column("vector").combine_chunks(), width))
+    rotation = Rotation.fit(units(padded(sample.column("vector").combine_chunks(), width)))
     n_bits = rotation.axes.shape[1]
     tables = Tables(n_bits, n_classes, cosine)
 
     def rotated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            z = rotation(units(b.column(1), width))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes(z).view(np.int64)), pa.array(list(z), pa.list_(pa.float32()))],
-                                             ["node", "code", "z"])
+            given = padded(b.column(1), width)
+            z = rotation(units(given))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes(z).view(np.int64)), _packed(z), _packed(given)], ["node", "code", "z", "packed"])
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, b.num_rows, 512):
                 part = b.slice(low, 512)
-                z = part.column(3).flatten().to_numpy().reshape(-1, n_bits)
+                z = _unpacked(part.column(3), "<f4", n_bits)
                 node, team, code, cost = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_numpy().view(np.uint64), costs(z)
                 for t in range(len(tables.cuts) - 1):
                     rows, masks = tables.flips(cost, t)
@@ -260,8 +275,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                         [pa.array(node[rows]), pa.array(team[rows]), pa.array(np.full(len(rows), t, np.int32)), pa.array(at.view(np.int64)),
                          pa.array(masks.view(np.int64))], ["node", "team", "table", "at", "here"])
 
-    coded = materialize(classes.select("node", "vector").mapInArrow(rotated, "node bigint, code bigint, z array<float>")
-                        .join(classes, "node"), "vector-codes")
+    coded = materialize(classes.select("node", "vector").mapInArrow(rotated, "node bigint, code bigint, z binary, packed binary")
+                        .join(classes.select("node", "team", "times"), "node"), "vector-codes")
     entered = coded.select("node", "team", "code", "z").mapInArrow(entries, "node bigint, team bigint, table int, at bigint, here bigint") \
         .select("node", F.xxhash64("team", "table", "at").alias("bucket"), "table", "here")
     entered = materialize(entered, "bucket-entries")
@@ -272,9 +287,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     members = members.withColumn("side", F.pmod(F.xxhash64("node", "bucket"), F.col("blocks")).cast("int"))
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "node", "table", "here")
-    rows = members.join(coded.select("node", "team", "times", "code", "z", "vector"), "node").repartition("bucket", "low", "high") \
+    rows = members.join(coded, "node").repartition("bucket", "low", "high") \
         .sortWithinPartitions("bucket", "low", "high", "node")
-    links = materialize(_bucket_links(rows, tables, n_bits, width, cosine), "bucket-links")
+    links = materialize(_bucket_links(rows, tables, n_bits, width, "<f4" if kind == "float" else "<f8", cosine), "bucket-links")
 
     label = components(links.select(F.col("node").alias("a"), F.col("top").alias("b")))
     reps = label.join(classes.select("node", "rep"), "node")
