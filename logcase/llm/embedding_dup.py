@@ -80,7 +80,10 @@ def _packed(rows: np.ndarray) -> pa.Array:
 
 
 def _unpacked(column: pa.Array | pa.ChunkedArray, kind: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, width)
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    _, offsets, data = whole.buffers()
+    first = int(np.frombuffer(offsets, np.int32, 1, 4 * whole.offset)[0])
+    return np.frombuffer(data, kind, len(whole) * width, first).reshape(-1, width)
 
 
 class Rotation:
