@@ -13,6 +13,8 @@ value instead of inlining them into every consumer.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +58,28 @@ _TEXT_KEYS = tuple(sorted({k for table in (SERVICE_KEYS, LEVEL_KEYS, MSG_KEYS) f
 #: Shapes that are looked for, in this order; what none of them claims is generic JSON or text.
 DETECTORS = ("splunk", "datadog", "newrelic", "honeycomb")
 
+
+@dataclass(frozen=True)
+class Detector:
+    """A shape of one's own, looked for beside the built-in ones.
+
+    ``fits`` and ``event`` get the line's object as a ``map<string, variant>``
+    column (``functions.jsonvals`` has what reads it: ``as_object``, ``truthy``,
+    ``truthy_text``, ``vtype``). ``fits`` gives a boolean column (null counts as
+    false), ``event`` columns for any of ``ts`` (timestamp), ``service``,
+    ``level``, ``msg``, ``raw``, ``trace_id``, ``request_id`` (strings); what is
+    left out or null gets the fallback time, ``unknown``, ``info``, an empty
+    message, the line, and null ids. ``msg`` is redacted, then cut; ``level`` is
+    lower-cased. The line is parsed once, however many shapes there are."""
+    name: str
+    fits: Callable[[Column], Column]
+    event: Callable[[Column], dict[str, Column]]
+
+
+#: What the event of a detector may give, with its type.
+EVENT_FIELDS = {"ts": "timestamp", "service": "string", "level": "string", "msg": "string", "raw": "string",
+                "trace_id": "string", "request_id": "string"}
+
 _NUMERIC_TYPES = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT", "BOOLEAN")
 
 
@@ -75,16 +99,38 @@ def _by_format(fmt: Column, branches: dict[str, Column], otherwise: Column | Non
     return out.otherwise(otherwise) if otherwise is not None else out
 
 
+def _own_detectors(detectors: tuple[str | Detector, ...]) -> list[Detector]:
+    own = [d for d in detectors if not isinstance(d, str)]
+    if unknown := {d for d in detectors if isinstance(d, str)} - set(DETECTORS):
+        raise ValueError(f"unknown detectors {sorted(unknown)}")
+    taken = [*DETECTORS, "generic", "text", *(d.name for d in own)]
+    if twice := {n for n in taken if taken.count(n) > 1}:
+        raise ValueError(f"detector names used twice: {sorted(twice)}")
+    return own
+
+
+def _own_events(own: list[Detector], fmt: Column, o: Column) -> list[Column]:
+    """One struct of ``EVENT_FIELDS``, filled by the detector that fitted; nothing without such detectors."""
+    if not own:
+        return []
+    filled = {}
+    for d in own:
+        given = d.event(o)
+        if unknown := set(given) - set(EVENT_FIELDS):
+            raise ValueError(f"detector {d.name}: unknown fields {sorted(unknown)}")
+        filled[d.name] = F.struct(*[given.get(f, F.lit(None)).cast(t).alias(f) for f, t in EVENT_FIELDS.items()])
+    return [_by_format(fmt, filled).alias("_own")]
+
+
 def parse_lines(df: DataFrame, value_col: str = "value",
                 fallback_ts: dt.datetime | str | Column | None = None,
                 patterns: tuple[SecretPattern, ...] = SECRET_PATTERNS,
-                detectors: tuple[str, ...] = DETECTORS) -> DataFrame:
+                detectors: tuple[str | Detector, ...] = DETECTORS) -> DataFrame:
     """Parse ``value_col`` into ts, service, level, msg, raw, trace_id,
     request_id, format, ts_source. Other columns pass through unchanged; the
-    value column is dropped. ``detectors``: the shapes to look for, in order;
-    the first that fits wins."""
-    if unknown := set(detectors) - set(DETECTORS):
-        raise ValueError(f"unknown detectors {sorted(unknown)}")
+    value column is dropped. ``detectors``: the shapes to look for, in order,
+    built-in ones by name and others as a ``Detector``; the first that fits wins."""
+    own = _own_detectors(detectors)
     keep = [F.col(c) for c in df.columns if c != value_col]
     names = [c for c in df.columns if c != value_col]
     v = F.col("_v")
@@ -113,7 +159,8 @@ def parse_lines(df: DataFrame, value_col: str = "value",
                        | F.exists(F.map_keys(hc_src), lambda k: k.rlike(HONEYCOMB_KEY_RE))))
     fits = {"splunk": is_splunk, "datadog": is_datadog, "newrelic": is_newrelic, "honeycomb": is_honeycomb}
     fmt = F.when(o.isNull(), "text")
-    for name in detectors:
+    fits |= {d.name: d.fits(o) for d in own}
+    for name in (d if isinstance(d, str) else d.name for d in detectors):
         fmt = fmt.when(F.coalesce(fits[name], F.lit(False)), name)
     fmt = fmt.otherwise("generic")
     s2 = s1.select(*names, "_v", "_o", fmt.alias("_fmt"),
@@ -132,19 +179,22 @@ def parse_lines(df: DataFrame, value_col: str = "value",
     fmt, o, src = F.col("_fmt"), F.col("_o"), F.col("_src")
     # str(value) of every truthy value the adapters may read, once per row
     s3b = s3a.select(*names, "_v", "_o", "_fmt", "_res_obj", "_dd_attrs", "_src",
-                     truthy_texts(src, _TEXT_KEYS).alias("_t"))
+                     truthy_texts(src, _TEXT_KEYS).alias("_t"), *_own_events(own, fmt, o))
     t = F.col("_t")
+    mine = {name: {d.name: F.coalesce(F.col(f"_own.{name}"), F.lit(default)) if default is not None else F.col(f"_own.{name}") for d in own}
+            for name, default in (("ts", None), ("service", PLAIN_SERVICE), ("level", PLAIN_LEVEL), ("msg", ""), ("raw", None))}
 
     def first_of(table: dict, name: str) -> Column:
         keys, default = table[name]
         return F.coalesce(*[t.getItem(k) for k in keys], *([F.lit(default)] if default is not None else []))
 
-    service = _by_format(fmt, {k: first_of(SERVICE_KEYS, k) for k in SERVICE_KEYS}, F.lit(PLAIN_SERVICE))
-    level = F.lower(_by_format(fmt, {k: first_of(LEVEL_KEYS, k) for k in LEVEL_KEYS}, F.lit(PLAIN_LEVEL)))
+    service = _by_format(fmt, {k: first_of(SERVICE_KEYS, k) for k in SERVICE_KEYS} | mine["service"], F.lit(PLAIN_SERVICE))
+    level = F.lower(_by_format(fmt, {k: first_of(LEVEL_KEYS, k) for k in LEVEL_KEYS} | mine["level"], F.lit(PLAIN_LEVEL)))
     dd_nested = as_object(src.getItem("attributes"))
     msg_src = _by_format(fmt, {
         **{k: first_of(MSG_KEYS, k) for k in ("splunk", "newrelic", "honeycomb", "generic")},
         "datadog": F.coalesce(t.getItem("message"), truthy_text(dd_nested.getItem("message")), F.lit("")),
+        **mine["msg"],
     }, otherwise=v)
 
     nr_raw = o.getItem("timestamp")
@@ -157,15 +207,17 @@ def parse_lines(df: DataFrame, value_col: str = "value",
         "honeycomb": truthy_text(o.getItem("time")),
         "generic": F.coalesce(*[t.getItem(k) for k in GENERIC_TS_KEYS]),
     }, otherwise=v)
-    parsed_ts = F.when(fmt == "newrelic", epoch_ms_to_ts(nr_ms)).otherwise(parse_iso_ts(ts_text))
+    parsed_ts = _by_format(fmt, {"newrelic": epoch_ms_to_ts(nr_ms)} | mine["ts"], otherwise=parse_iso_ts(ts_text))
     raw_src = _by_format(fmt, {
         "splunk": F.when(F.col("_res_obj"), F.get_json_object(v, "$.result")).otherwise(v),
         "datadog": F.when(F.col("_dd_attrs"), F.get_json_object(v, "$.attributes"))
                     .otherwise(F.get_json_object(v, "$.content")),
         "honeycomb": F.get_json_object(v, "$.data"),
         "newrelic": v, "generic": v,
+        **{name: F.coalesce(raw, v) for name, raw in mine["raw"].items()},
     })
-    ids = [F.when(fmt != "text", F.try_variant_get(src.getItem(k), "$", "string")).alias(f"_{k}")
+    ids = [_by_format(fmt, {"text": F.lit(None).cast("string")} | {d.name: F.col(f"_own.{k}") for d in own},
+                      otherwise=F.try_variant_get(src.getItem(k), "$", "string")).alias(f"_{k}")
            for k in ("trace_id", "request_id")]
     s3 = s3b.select(*names, "_fmt", parsed_ts.alias("_ts"), service.alias("service"), level.alias("level"),
                     msg_src.alias("_msg_src"), raw_src.alias("_raw_src"), *ids)

@@ -10,7 +10,8 @@ Only a file whose first non-blank line may open a JSON value that is not
 complete on that line, and whose last one ends with the matching bracket, is
 decoded as a document, item by item; a file of complete JSON lines with two or more non-blank lines
 cannot be one document. Raw lines are never shuffled: the split table alone
-says which of them count. Caps are optional: a distributed ingest needs no row limit.
+says which of them count. Caps are optional: a distributed ingest needs no row limit;
+where given they fall at a file, in path order, before lines are parsed.
 """
 from __future__ import annotations
 
@@ -20,9 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logcase.functions.redact import SECRET_PATTERNS, SecretPattern
-from logcase.operators.parse import parse_lines
+from logcase.operators.parse import DETECTORS, Detector, parse_lines
 from logcase.plans.sizing import materialize
 from logcase.session import configure, ensure_checkpoint_dir
+from logcase.sources.caps import IngestCapExceeded, check_cap, rows_per_file
+from logcase.sources.digest import content_digests
 from logcase.sources.discover import as_literal, list_files, normalise_path, split_paths
 from logcase.sources.documents import read_documents
 from logcase.sources.lines import NONBLANK, number_lines, pin_split_layout, raw_scan, split_stats
@@ -31,9 +34,7 @@ from logcase.sources.lines import NONBLANK, number_lines, pin_split_layout, raw_
 #: million splits, or 600 TB in splits of 128 MB, stay below); a larger table is joined by shuffling.
 SPLIT_BROADCAST_BYTES = 1 << 30
 
-
-class IngestCapExceeded(Exception):
-    """Raised when an optional byte or row cap is exceeded."""
+__all__ = ["IngestCapExceeded", "file_modes", "ingest", "manifest", "read_event_lines", "require_rows"]
 
 
 def file_modes(stats: DataFrame) -> DataFrame:
@@ -58,10 +59,14 @@ def _broadcast_splits(stats: DataFrame) -> DataFrame:
     return F.broadcast(stats) if size <= SPLIT_BROADCAST_BYTES else stats
 
 
-def read_event_lines(spark: SparkSession, paths, missing: str = "raise") -> tuple[DataFrame, DataFrame]:
+def read_event_lines(spark: SparkSession, paths, missing: str = "raise", max_bytes: int | None = None,
+                     max_rows: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Numbered, non-blank event texts ``(file, line, value)`` of all files,
     documents unwrapped; and the file listing ``(path, bytes, modified)``.
 
+    ``max_bytes`` is held against the listing before any file is read,
+    ``max_rows`` against the split table before lines are scanned again.
+
     Raw lines are scanned twice in total (split statistics, then the numbered
     lines); document candidates are read once more."""
     configure(spark)
@@ -69,6 +74,8 @@ def read_event_lines(spark: SparkSession, paths, missing: str = "raise") -> tupl
     pin_split_layout(spark)
     src = split_paths(spark, paths, missing=missing)
     listing = list_files(spark, src)
+    if max_bytes is not None:
+        check_cap("byte", listing, "bytes", max_bytes)
     raw = raw_scan(spark, src)
     stats = materialize(file_modes(split_stats(raw)), "splits")
     # names of candidate files: the driver's file index holds the names of all files anyway
@@ -80,6 +87,8 @@ def read_event_lines(spark: SparkSession, paths, missing: str = "raise") -> tupl
         stats = stats.join(whole, "file", "left").withColumn("mode", F.when(F.col("unwrapped"), "unwrapped").otherwise(F.col("mode")))
         stats = materialize(stats.drop("unwrapped"), "splits")
         items = unwrapped.where("line > 0")
+    if max_rows is not None:
+        check_cap("row", rows_per_file(stats, items, NONBLANK), "rows", max_rows)
     numbered = number_lines(raw, _broadcast_splits(stats), extra=("mode",))
     # an unknown split has no mode: its rows must stay, so that their line number fails loudly
     numbered = numbered.where(F.coalesce("mode", F.lit("lines")) != "unwrapped")
@@ -90,34 +99,30 @@ def read_event_lines(spark: SparkSession, paths, missing: str = "raise") -> tupl
 
 def ingest(spark: SparkSession, paths, fallback_ts: dt.datetime | str | Column | None = None,
            patterns: tuple[SecretPattern, ...] = SECRET_PATTERNS, max_bytes: int | None = None,
-           max_rows: int | None = None,
-           rebalance: bool = False) -> tuple[DataFrame, DataFrame]:
+           max_rows: int | None = None, rebalance: bool = False,
+           detectors: tuple[str | Detector, ...] = DETECTORS) -> tuple[DataFrame, DataFrame]:
     """Events DataFrame (store schema + trace_id, request_id, format,
     ts_source) and the file listing. ``max_bytes``/``max_rows`` are optional
-    caps (strictly greater raises ``IngestCapExceeded``).
+    caps (strictly greater raises ``IngestCapExceeded``, which names the file
+    where the cap falls). ``detectors``: see ``parse_lines``.
 
     ``rebalance=True`` redistributes the numbered lines before parsing (an
     AQE rebalance, which also splits skewed partitions): worth a shuffle when
     a few large gzip files -- one task each -- hold much of the input."""
-    lines, listing = read_event_lines(spark, paths)
+    lines, listing = read_event_lines(spark, paths, max_bytes=max_bytes, max_rows=max_rows)
     if rebalance:
         lines = lines.hint("rebalance")
-    if max_bytes is not None:
-        total = listing.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0]
-        if total > max_bytes:
-            raise IngestCapExceeded(f"byte cap exceeded: {total} > {max_bytes}")
-    events = parse_lines(lines, fallback_ts=fallback_ts, patterns=patterns).select(
+    events = parse_lines(lines, fallback_ts=fallback_ts, patterns=patterns, detectors=detectors).select(
         "ts", "service", "level", "msg", "raw", "file", "line", "trace_id", "request_id", "format", "ts_source")
-    if max_rows is not None and events.limit(max_rows + 1).count() > max_rows:
-        raise IngestCapExceeded(f"row cap exceeded: more than {max_rows} rows")
     return events, listing
 
 
 def manifest(events: DataFrame, listing: DataFrame, with_sha256: bool = False,
-             spark: SparkSession | None = None) -> tuple[DataFrame, DataFrame]:
+             spark: SparkSession | None = None, with_digest: bool = False) -> tuple[DataFrame, DataFrame]:
     """Per-file rows, time range (files with 0 rows stay), optional
-    sha256 of the file bytes; and a one-row total (``require_rows`` raises
-    ``ValueError`` when no rows were ingested at all).
+    sha256 of the file bytes (files up to 2 GiB) or ``content_digest`` of the
+    lines (any size, see ``sources.digest``); and a one-row total
+    (``require_rows`` raises ``ValueError`` when no rows were ingested at all).
 
     Pass the written store (``read_events``) rather than the lazy ``ingest``
     result when both are needed: on the lazy result the aggregation would run
@@ -133,6 +138,9 @@ def manifest(events: DataFrame, listing: DataFrame, with_sha256: bool = False,
         sha = spark.read.format("binaryFile").load(paths).select(
             normalise_path(F.col("path")).alias("path"), F.sha2("content", 256).alias("sha256"))
         files = files.join(sha, "path", "left")
+    if with_digest:
+        named = [r["path"] for r in listing.select("path").collect()]
+        files = files.join(content_digests(listing.sparkSession, named), "path", "left")
     totals = files.agg(F.sum("rows").alias("total_rows"), F.min("ts_min").alias("start"),
                        F.max("ts_max").alias("end"), F.count(F.lit(1)).alias("n_files"),
                        F.sum("bytes").alias("total_bytes"))

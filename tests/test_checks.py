@@ -11,9 +11,9 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver test data not present")
 def test_all_registered_queries_match_oracle(spark):
     import __spark_entry__ as E
-    from logcase.plans import checks, checks_edges
+    from logcase.plans import checks, checks_edges, checks_files
     assert set(E.oracle_sql()) <= set(E.queries())
-    names = [*checks.QUERIES, *checks_edges.QUERIES]
+    names = [*checks.QUERIES, *checks_edges.QUERIES, *checks_files.QUERIES]
     assert set(names) <= set(E.oracle_sql())
     recs = oracle_compare.compare(spark, SF, names)
     bad = [r for r in recs if r["ok"] is False]

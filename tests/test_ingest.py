@@ -147,6 +147,81 @@ def test_caps(spark, incident_dir):
         ingest(spark, [str(incident_dir)], max_rows=10)
 
 
+def test_caps_fall_at_a_file_in_path_order(spark, tmp_path):
+    d = tmp_path / "capped"
+    for name, lines in (("a/z.log", 3), ("a-b/c.log", 2), ("a/empty.log", 0), ("b.log", 4)):
+        (d / name).parent.mkdir(parents=True, exist_ok=True)
+        (d / name).write_text("x\n\n" * lines)                       # every second line is blank: bytes, but no row
+    (d / "c.log").write_text(json.dumps([{"msg": "1"}, {"msg": "2"}, "  "]))  # a document of two rows and a blank item
+    size = (d / "c.log").stat().st_size
+    order = [("a/z.log", 9, 3), ("a-b/c.log", 15, 5), ("b.log", 27, 9), ("c.log", 27 + size, 11)]
+    for k, what in enumerate(("max_bytes", "max_rows"), 1):
+        for cap in (order[0][k] - 1, order[1][k], order[3][k] - 1):
+            first = next(o for o in order if o[k] > cap)
+            with pytest.raises(IngestCapExceeded, match="cap exceeded at") as e:
+                ingest(spark, [str(d)], **{what: cap})
+            assert e.value.path.endswith(first[0]) and (e.value.total, e.value.cap) == (first[k], cap)
+    # totals equal to the caps are allowed
+    assert ingest(spark, [str(d)], fallback_ts=FB, max_bytes=order[3][1], max_rows=order[3][2])[0].count() == 11
+
+
+def test_byte_cap_is_decided_before_reading(spark, tmp_path, monkeypatch):
+    from logcase.sources import ingest as I
+    (tmp_path / "a.log").write_text("one\n")
+    monkeypatch.setattr(I, "raw_scan", lambda *_: pytest.fail("files were read"))
+    with pytest.raises(IngestCapExceeded):
+        ingest(spark, [str(tmp_path)], max_bytes=3)
+
+
+def test_running_totals(spark):
+    from logcase.sources.caps import running_total
+    rows = [(f"p{k:04d}", k % 5) for k in range(1000)]
+    df = spark.createDataFrame(rows[::-1], "path string, n bigint").repartition(7)
+    got = {r.path: r.total for r in running_total(df, F.col("path"), "n", "total").collect()}
+    at = 0
+    for path, n in rows:
+        at += n
+        assert got[path] == at
+    assert running_total(df.limit(0), F.col("path"), "n", "total").count() == 0
+
+
+def test_content_digest_over_any_splits(spark, tmp_path):
+    import hashlib
+
+    from logcase.sources.digest import content_digests
+    lines = [f"row {i} é" if i % 9 else "" for i in range(1, 4001)]
+
+    def whole(lines):
+        words = [0] * 8
+        for i, x in enumerate(lines, 1):
+            h = hashlib.sha256(f"{i}:{x}".encode()).digest()
+            words = [(w + int.from_bytes(h[4 * k:4 * k + 4])) % 2**32 for k, w in enumerate(words)]
+        return len(lines), hashlib.sha256(f"{len(lines)}:{','.join(map(str, words))}".encode()).hexdigest()
+
+    text = "\n".join(lines)
+    (tmp_path / "plain.log").write_text(text + "\n")
+    (tmp_path / "crlf.log").write_bytes(text.replace("\n", "\r\n").encode())
+    with gzip.open(tmp_path / "packed.gz", "wt") as f:
+        f.write(text)
+    (tmp_path / "swapped.log").write_text("\n".join([*lines[:10], lines[11], lines[10], *lines[12:]]))
+    (tmp_path / "empty.log").write_text("")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    seen = set()
+    for cut in (old, "4096", "1777"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", cut)
+        try:
+            got = {r.path.rsplit("/", 1)[1]: (r.n_lines, r.content_digest) for r in content_digests(spark, [str(tmp_path)]).collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got["plain.log"] == got["crlf.log"] == got["packed.gz"] == whole(lines)
+        assert got["empty.log"] == whole([]) and got["swapped.log"][1] != got["plain.log"][1]
+        seen.add(tuple(sorted(got.items())))
+    assert len(seen) == 1
+    ev, listing = ingest(spark, [str(tmp_path)], fallback_ts=FB)
+    files, _ = manifest(ev, listing, with_digest=True)
+    assert {r.path.rsplit("/", 1)[1]: (r.n_lines, r.content_digest) for r in files.collect()} == got
+
+
 def test_changed_split_layout_fails_loudly(spark, tmp_path):
     d = tmp_path / "layout"
     d.mkdir()
