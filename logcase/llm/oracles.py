@@ -87,10 +87,14 @@ grams AS (SELECT doc_id, i, w[i:i + 2] AS g FROM (SELECT doc_id, w, unnest(range
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM grams) WHERE n > 1),
 again AS (SELECT doc_id, count(DISTINCT k) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS k FROM twice) GROUP BY doc_id),
 l AS (
-    SELECT doc_id, line, w, len(w) AS n, len(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols, length(array_to_string(w, '')) AS chars
+    SELECT doc_id, line, w, len(w) AS n, len(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) AS symbols, length(array_to_string(w, '')) AS chars,
+        len(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '^[\\x20\\x09]*(#{1,6}|[*>])[\\x20\\x09]+', ''),
+            '\\*\\*\\*([^\\x20\\x09*]|[^\\x20\\x09*][^*]*[^\\x20\\x09*])\\*\\*\\*', '\\1', 'g'), '\\*\\*([^\\x20\\x09*]|[^\\x20\\x09*][^*]*[^\\x20\\x09*])\\*\\*', '\\1', 'g'),
+            '\\*([^\\x20\\x09*]|[^\\x20\\x09*][^*]*[^\\x20\\x09*])\\*', '\\1', 'g'), '[^#*$%&|<>]', '', 'g')) AS own
     FROM (SELECT doc_id, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS w FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d))),
 j AS (
-    SELECT *, n > 0 AND ((n >= 2 AND symbols * 4 >= n) OR (n >= 6 AND (length(line) - length(replace(line, '|', ''))) * 3 >= n)
+    SELECT *, n > 0 AND ((n >= 2 AND symbols >= 3 AND symbols * 4 >= n AND own >= 3 AND own * 4 >= n)
+        OR (n >= 150 AND NOT regexp_matches(line, '[.,;:!?…。、，！？；：،؛؟।]')) OR regexp_matches(line, '[.,;:!?](\\x20?[.,;:!?]){9}') OR (n >= 6 AND (length(line) - length(replace(line, '|', ''))) * 3 >= n)
         OR (n >= 4 AND (length(line) - length(replace(line, '!', ''))) * 2 >= n) OR (n >= 12 AND len(list_distinct(w)) * 3 <= n)
         OR (n <= 20 AND regexp_matches(lower(line), 'accept all cookies|all rights reserved|click here to|cookie policy|enable javascript|privacy policy|sign up for our newsletter|skip to content|subscribe to our|terms of service'))) AS bad
     FROM l),

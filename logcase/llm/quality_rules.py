@@ -21,6 +21,16 @@ MAX_REPEAT_PCT = 50
 #: A document whose failing lines hold more than this share of its word characters is rejected.
 MAX_LOST_PCT = 50
 SYMBOLS = "[#*$%&|<>]"
+#: Symbols that a line must have at least to be laden with them; a heading's, bullet's or quote's leading mark and pairs of
+#: emphasis marks around a text are markup, not symbols.
+MIN_SYMBOLS = 3
+LEADING_MARK = r"^[\x20\x09]*(?:#{1,6}|[*>])[\x20\x09]+"
+EMPHASIS = r"(\*{1,3})([^\x20\x09*](?:[^*]*[^\x20\x09*])?)\1"
+#: Marks of sentences and their parts, in several scripts. A line of so many words without any is a list of keywords.
+SENTENCE_MARKS = ".,;:!?…。、，！？；：،؛؟।"
+MARKLESS_WORDS = 150
+#: Marks in a row that no sentence has: leaders of a contents list, dotted rules.
+MARK_RUN = r"[.,;:!?](?:\x20?[.,;:!?]){9}"
 #: Fixed phrases that site furniture consists of (matched without regard to case), in lines of up to 20 words.
 BOILERPLATE = ("accept all cookies", "all rights reserved", "click here to", "cookie policy", "enable javascript",
                "privacy policy", "sign up for our newsletter", "skip to content", "subscribe to our", "terms of service")
@@ -32,11 +42,20 @@ def _count(line: Column, char: str) -> Column:
     return F.char_length(line) - F.char_length(F.replace(line, F.lit(char), F.lit("")))
 
 
+def _own_symbols(line: Column) -> Column:
+    """How many characters of ``SYMBOLS`` stand in the line beside a leading mark and pairs of emphasis marks."""
+    text = F.regexp_replace(F.regexp_replace(line, LEADING_MARK, ""), EMPHASIS, "$2")
+    return F.char_length(F.regexp_replace(text, "[^#*$%&|<>]+", ""))
+
+
 def line_fails(line: Column, w: Column, symbols: Column) -> Column:
-    """True for navigation bars, symbol-laden, shouted, boilerplate and stuttering lines. Cheap rules stand first.
+    """True for lines whose punctuation is not that of sentences (laden with symbols, dot leaders and other runs of marks,
+    very long without any mark), navigation bars, shouted, boilerplate and stuttering lines. Cheap rules stand first, and
+    symbols are counted again without markup only where all of them would be enough.
     ``w``: the line's words; ``symbols``: how many characters of ``SYMBOLS`` it has."""
     n = F.size(w)
-    punctuation = (symbols * 4 >= n) & (n >= 2)
+    laden = (n >= 2) & (symbols >= MIN_SYMBOLS) & (symbols * 4 >= n) & (_own_symbols(line) >= F.greatest(F.lit(MIN_SYMBOLS), F.ceil(n / 4)))
+    punctuation = laden | ((n >= MARKLESS_WORDS) & ~line.rlike(f"[{SENTENCE_MARKS}]")) | line.rlike(MARK_RUN)
     navigation = (n >= 6) & (_count(line, "|") * 3 >= n)
     shouting = (n >= 4) & (_count(line, "!") * 2 >= n)
     low = F.lower(line)

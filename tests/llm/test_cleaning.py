@@ -58,6 +58,31 @@ def test_quality_lines(spark):
     assert out == {1: good, 2: good, 4: good}
 
 
+MARKDOWN = """# Getting started
+
+## Usage & notes
+* Terms & Conditions
+* short item
+> A quoted line.
+**Note** costs rose 5% to $20 this year, not *much* more.
+***Very important***
+- dash item
+1. first step
+Read on... and wait.
+"""
+
+
+def test_quality_keeps_markdown_and_cuts_marks(spark):
+    rng = random.Random(6)
+    clean = MARKDOWN + "\n".join(prose(rng, 30) for _ in range(30))
+    keywords = " ".join(f"word{k}" for k in range(150))
+    bad = ["Contents .......... 12", "Chapter . . . . . . . . . . 3", "&lt;&lt; | * home * | >>", "$$$ *** buy now", keywords, "# ### && %%"]
+    good = ["keywords " + keywords[:1000].rsplit(" ", 1)[0], keywords + " 。", "a... b?! c", "12:30:15,123 at 10.0.0.1", "* **a** *b* ***c***"]
+    rows = [(1, clean), (2, clean + "\n" + "\n".join(bad)), (3, clean + "\n" + "\n".join(good))]
+    out = {r["doc_id"]: r["text"] for r in quality_rules.clean_documents(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert out == {1: clean, 2: clean, 3: rows[2][1]}
+
+
 def test_quality_slow_way_agrees(spark, monkeypatch):
     docs = documents(spark)
     want = {(r["row"]["doc_id"], r["n_repeat_words"]) for r in quality_rules.measures(docs).collect()}
