@@ -19,7 +19,9 @@ the search, so other columns cannot clash. A very long text is one row with its
 """
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -39,8 +41,8 @@ ROWS, BANDS = 4, 32
 BINS, BATCH = 512, 64
 #: A pair is given up when it reaches the similarity with less than this posterior probability.
 MISS = 1e-5
-#: Standard deviations at which the hypergeometric tail is surely below ``MISS`` (tested against exact tails).
-DEVIATIONS = 5.0
+#: Unions of more elements are taken for endless beside the ``BINS`` elements that are seen of them.
+MOST_UNION = 1 << 15
 BLOCK = 256
 #: Ids wanted from the documents are broadcast up to this many rows, and joined by shuffling beyond.
 WANTED_ROWS = 2_000_000
@@ -154,21 +156,54 @@ def sketches(docs: DataFrame) -> DataFrame:
     return _texts(docs).mapInArrow(run, "doc_id bigint, n_shingles bigint, digest binary, bands array<bigint>, bins binary")
 
 
-def needed_matches(seen: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """The fewest matches with which a pair goes on, after ``seen`` bins that either set fills, for sets of ``total``
-    elements together.
+@functools.lru_cache(maxsize=4096)
+def _needed_of_union(union: int, miss: float) -> np.ndarray:
+    """``needed_matches`` for every number of bins seen, of a union of so many elements (0: far more than the bins).
+
+    Candidates share a band already, so the prior leans to similar pairs: density 1 / (1 - similarity), Beta(1, 0). After
+    m matches among n elements of the union drawn without replacement, the posterior probability of the similarity t
+    is then P(H <= m), H counting the marked elements among n drawn from a union of which the share t is marked (of an
+    endless union, H is binomial). So ``miss`` also bounds the chance to give up any one pair that just links. The least
+    m whose probability is not below ``miss`` is looked up for each n."""
+    n, m = np.arange(BINS + 1)[:, None], np.arange(BINS + 1)[None, :]
+    logs = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, max(union, BINS) + 1)))])
+
+    def choose(x: int | np.ndarray, y: np.ndarray) -> np.ndarray:
+        inside = (y >= 0) & (y <= x)
+        y = np.where(inside, y, 0)
+        return np.where(inside, logs[x] - logs[y] - logs[np.maximum(x - y, 0)], -np.inf)
+
+    if union:
+        marked, drawn = SIMILARITY_PCT * union // 100, np.minimum(n, union)
+        p = np.exp(choose(marked, m) + choose(union - marked, drawn - m) - choose(union, drawn))
+    else:
+        t = SIMILARITY_PCT / 100
+        p = np.exp(choose(n, m) + m * math.log(t) + (n - m) * math.log1p(-t))
+    return (np.cumsum(p, axis=1) < miss).sum(1)
+
 
-    At the similarity t, the union has total / (1 + t) elements, and the filled bins show a random sample of them,
-    drawn without replacement. The matches in it are hypergeometric; with a flat prior, the posterior of the pair
-    reaching t falls below ``MISS`` where their tail does, ``DEVIATIONS`` standard deviations below the mean (and one
-    match for the steps). A sample of the whole union leaves no doubt."""
-    t = SIMILARITY_PCT / 100
-    union = np.maximum(total / (1 + t), 2.0)
-    unseen = np.clip((union - seen) / (union - 1), 0.0, 1.0)
-    return np.ceil(t * seen - DEVIATIONS * np.sqrt(t * (1 - t) * seen * unseen) - 1.0)
+def _union_bound(total: np.ndarray) -> np.ndarray:
+    """The size of the union of two sets with ``total`` elements together that just reach the similarity, rounded up to
+    one of few sizes (a larger union leaves more doubt, so nothing more is given up); 0 for very large ones."""
+    union = total * 100 // (100 + SIMILARITY_PCT)
+    step = 1 << np.maximum(np.frexp(np.maximum(union, 1))[1] - 5, 0).astype(np.int64)  # 16 to 32 sizes to each doubling
+    return np.where(union > MOST_UNION, 0, np.maximum(-(-union // step) * step, 1))
+
+
+def needed_matches(seen: np.ndarray, total: np.ndarray, miss: float = MISS) -> np.ndarray:
+    """The fewest matches with which a pair goes on, after ``seen`` bins that either set fills, for sets of ``total``
+    elements together: with fewer, the posterior probability that the pair reaches the similarity is below ``miss``.
+
+    The filled bins show a random sample of the union, drawn without replacement; see ``_needed_of_union``."""
+    union = _union_bound(total)
+    out = np.zeros(len(seen), np.int64)
+    for u in np.unique(union).tolist():
+        here = union == u
+        out[here] = _needed_of_union(u, miss)[seen[here]]
+    return out
 
 
-def survivors(i: np.ndarray, j: np.ndarray, bins: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+def survivors(i: np.ndarray, j: np.ndarray, bins: np.ndarray, sizes: np.ndarray, miss: float = MISS) -> tuple[np.ndarray, ...]:
     """The pairs (i, j) that pass every batch, with their share of matching bins."""
     ok = np.minimum(sizes[i], sizes[j]) * 100 >= np.maximum(sizes[i], sizes[j]) * SIMILARITY_PCT
     i, j = i[ok], j[ok]
@@ -177,7 +212,7 @@ def survivors(i: np.ndarray, j: np.ndarray, bins: np.ndarray, sizes: np.ndarray)
         x, y = bins[i, low: low + BATCH], bins[j, low: low + BATCH]
         same += ((x == y) & (x > 0)).sum(1)
         seen += ((x | y) > 0).sum(1)
-        ok = same >= needed_matches(seen, total)
+        ok = same >= needed_matches(seen, total, miss)
         if not ok.all():
             i, j, same, seen, total = i[ok], j[ok], same[ok], seen[ok], total[ok]
     return i, j, same / np.maximum(seen, 1)
@@ -243,15 +278,15 @@ def _by_group(n_keys: int, work: Callable[[dict[str, np.ndarray]], list[tuple[in
     return run
 
 
-def _forest(g: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+def _forest(g: dict[str, np.ndarray], miss: float) -> list[tuple[int, int]]:
     """The likeliest pairs of a block, as many as connect what can be connected."""
     i, j = np.triu_indices(len(g["rep"]), 1)
-    i, j, w = survivors(i, j, g["bins"], g["n"])
+    i, j, w = survivors(i, j, g["bins"], g["n"], miss)
     rep = g["rep"]
     return [(int(min(rep[a], rep[b])), int(max(rep[a], rep[b]))) for a, b in spanning(i, j, w, len(rep))]
 
 
-def _across(g: dict[str, np.ndarray]) -> list[tuple[int, int]]:
+def _across(g: dict[str, np.ndarray], miss: float) -> list[tuple[int, int]]:
     """The pairs of two blocks (or of one with itself) whose members are not yet connected. A pair that shares several
     bands is compared in the first of them alone."""
     i, j = np.triu_indices(len(g["rep"]), 1)
@@ -263,7 +298,7 @@ def _across(g: dict[str, np.ndarray]) -> list[tuple[int, int]]:
     earlier = np.zeros(len(i), bool)
     for band in range(here):
         earlier |= g["bands"][i, band] == g["bands"][j, band]
-    i, j, _ = survivors(i[~earlier], j[~earlier], g["bins"], g["n"])
+    i, j, _ = survivors(i[~earlier], j[~earlier], g["bins"], g["n"], miss)
     rep = g["rep"]
     return list({(int(min(rep[a], rep[b])), int(max(rep[a], rep[b]))) for a, b in zip(i, j)})
 
@@ -300,8 +335,9 @@ def _same_id(sketched: DataFrame, classes: DataFrame) -> DataFrame:
     return own.join(several, "doc_id").where("a < rep").select("a", F.col("rep").alias("b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, miss: float = MISS) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, kept. ``miss``: the posterior probability of a link below
+    which a candidate pair is given up, at each of at most ``BINS / BATCH`` looks."""
     sketched = materialize(sketches(docs), "sketches")
     classes = materialize(sketched.where(F.col("digest").isNotNull() & F.col("doc_id").isNotNull()).groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("bins").alias("bins")), "classes")
@@ -311,7 +347,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     bins = classes.select("rep", "n", "bins")
     block = F.pmod(F.xxhash64("rep", "band"), F.ceil(F.col("size") / BLOCK)).alias("block")
     rows = members.select("band", "key", block, "rep").join(bins, "rep").select("band", "key", "block", "rep", "n", "bins")
-    first = materialize(_grouped(rows, ["band", "key", "block"], _forest), "likely-pairs")
+    first = materialize(_grouped(rows, ["band", "key", "block"], functools.partial(_forest, miss=miss)), "likely-pairs")
     label = components(verified(first, docs).union(_same_id(sketched, classes)))
 
     member = members.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -327,7 +363,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     dealt = member.join(mixed, ["band", "key"]).withColumn("me", me).withColumn("other", F.explode(others)).select(
         "band", "key", F.least("me", "other").alias("gi"), F.greatest("me", "other").alias("gj"), "me", "rep", "comp")
     rows = dealt.join(classes.select("rep", "n", "bands", "bins"), "rep").select("band", "key", "gi", "gj", "me", "comp", "rep", "n", "bands", "bins")
-    second = _grouped(rows, ["band", "key", "gi", "gj"], _across).join(first, ["a", "b"], "left_anti")
+    second = _grouped(rows, ["band", "key", "gi", "gj"], functools.partial(_across, miss=miss)).join(first, ["a", "b"], "left_anti")
     more = verified(materialize(second, "other-pairs"), docs)
     label = components(label.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 

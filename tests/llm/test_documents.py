@@ -83,6 +83,27 @@ def test_needed_matches_miss_less_than_promised():
     assert near_dup.needed_matches(np.array([160]), np.array([280]))[0] >= 0.74 * 160 - 1  # the whole union was seen
 
 
+def test_miss_probability_is_chosen():
+    """The bound is the exact least number of matches for each miss probability: one match fewer is below it."""
+    choose = math.comb
+    for union, seen in ((8, 5), (16, 16), (32, 20), (512, 64), (512, 300)):
+        total, marked = union + 3 * union // 4, 3 * union // 4
+        tail, weights = 0.0, [choose(marked, m) * choose(union - marked, seen - m) / choose(union, seen) for m in range(seen + 1)]
+        for m, w in enumerate(weights):
+            tail += w
+            if tail > 0.5:
+                break
+            miss = tail * 1.0001  # below it with m matches, not with one more
+            if 1e-12 < tail and sum(weights[:m + 2]) > miss:
+                assert near_dup.needed_matches(np.array([seen]), np.array([total]), miss)[0] == m + 1
+    seen, total = np.arange(1, 513), np.full(512, 10_000_000)
+    strict, usual, loose = (near_dup.needed_matches(seen, total, miss) for miss in (1e-9, near_dup.MISS, 1e-2))
+    assert (strict <= usual).all() and (usual <= loose).all() and (strict < loose).sum() > 490
+    # binomial of an endless union, at 64 of its elements
+    tails = np.cumsum([choose(64, m) * 0.75**m * 0.25**(64 - m) for m in range(65)])
+    assert usual[63] == int((tails < near_dup.MISS).sum())
+
+
 def test_fm_index():
     rng = random.Random(3)
     for n in (1, 2, 30, 400):
