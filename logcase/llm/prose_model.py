@@ -48,9 +48,9 @@ def _kind(c: str) -> str:
     return "U" if c.isupper() else "l" if c.islower() else "d" if c.isdigit() else "m"
 
 
-def costs() -> list[float]:
+def costs(separated: bool = False) -> list[float]:
     """-ln P(b | a) at place(a) * 65 + place(b), places being those in ``SYMBOLS`` from 1; 0 is the start as ``a`` and any
-    other character as ``b`` (a mark)."""
+    other character as ``b`` (a mark). ``separated``: given that ``b`` is no separator, all marks counted as such."""
     single, first, pairs = Counter(), Counter(), Counter()
     for w in WORDS:
         single.update(w)
@@ -76,4 +76,5 @@ def costs() -> list[float]:
         return p * (first[b] + _SMOOTH * alone[b]) / (sum(first.values()) + _SMOOTH)
 
     marked = ["=", *SYMBOLS]
-    return [-math.log(share("" if k == 0 else a, b)) for k, a in enumerate(marked) for b in marked]
+    given = lambda a: math.log(1 - _NEXT[_kind(a) if a else "^"][3]) if separated else 0.0
+    return [given(a) - math.log(share(a, b)) for a in ("", *SYMBOLS) for b in marked]

@@ -4,16 +4,19 @@ All of it is DataFrame functions. Matches come with their places by splitting th
 running sum of gaps and matches in a row's order is where a match ends. One row per match goes through one shuffle by
 row number; texts do not.
 
-A candidate is a run of 16 or more of ``A-Za-z0-9+/_=-`` outside the fixed patterns' spans. Its encoding is inferred
+A candidate is a run of 16 or more of ``A-Za-z0-9+/_=-`` outside the fixed patterns' spans. ``-`` and ``_`` separate:
+the longest piece between them is judged if it has 16 characters, else all pieces together. Its encoding is inferred
 from the characters it has (``ENCODINGS``), and over that alphabet three statistics are taken: chi-squared against
 uniform use, the number of runs of the alphabet's halves, and the correlation of neighbours. Their squared normal scores
 are summed; a sum above ``REJECTED``, the chi-squared distribution's 0.1 % tail, is not random. A token that passes has
 the p-value P(token | prose) / P(token | uniform draws from its alphabet), at most 1, prose being the fixed chain of
-``prose_model`` and each alphabet having the same share: under that chain it falls below x with a probability of at most
-x, and it has no floor. No other token enters it. Within each length class the Benjamini-Hochberg rule at ``RATE``
-decides among all candidates. Only the histogram by class and p-value is gathered, a table of bounded size.
-Tokens of letters alone and of digits alone are judged like all others; long numbers that pass as random digits (those of
-bank cards, say) are told from keys by nothing in them and reported.
+``prose_model`` and each alphabet, with or without separators, having the same share; separators are given on both sides
+and their neighbours judged as neighbours of marks. Text without small letters is held against prose in capitals. Under
+that chain the p-value falls below x with a probability of at most x, and it has no floor. No other token enters it.
+Within each length class the Benjamini-Hochberg rule at ``RATE`` decides among all candidates. Only the histogram by
+class and p-value is gathered, a table of bounded size.
+Tokens of letters alone are judged like all others, and so are those of digits alone unless they are a number of a known
+make (``NUMBERS``, or 13 to 19 digits with a right check digit, as bank cards have): those have the p-value 1.
 
 Defined results: null and empty texts have no spans. Repeated rows are scanned alike, each by itself. An empty table
 gives an empty table. Only the columns asked for are read. Texts of any length are scanned whole.
@@ -45,6 +48,10 @@ ENCODINGS = (
     ("^[A-Z2-7]+$", _UPPER + "234567"), ("^[0-9a-z]+$", _DIGITS + _LOWER), ("^[0-9A-Z]+$", _DIGITS + _UPPER), ("^[A-Za-z]+$", _UPPER + _LOWER),
     ("^[0-9A-Za-z]+$", _UPPER + _LOWER + _DIGITS), ("", prose_model.SYMBOLS),
 )
+#: Digits alone that name a moment (a calendar date with a time of day, micro- or nanoseconds since 1970) or a dialled line.
+NUMBERS = "^((19|20)[0-9]{2}(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])([01][0-9]|2[0-3])[0-5][0-9]([0-5][0-9][0-9]*)?|1[0-9]{15}|1[0-9]{18}|00[1-9][0-9]{12,15})$"
+#: A piece between separators is judged by itself from this many characters.
+PIECE = 16
 LENGTH_CLASSES = (16, 20, 24, 32, 48)
 RATE = 0.01
 #: Sums of the three squared scores above this are not random: 0.1 % of a chi-squared variable with three degrees.
@@ -69,12 +76,19 @@ def _matches(text: Column, kind: str, pattern: str, group: int, least: int) -> C
 
 def _battery(found: DataFrame) -> DataFrame:
     """``found`` with ``bin``: that of -ln p of each token (null without a token)."""
-    bare = F.regexp_replace("token", "=+$", "")
-    d = found.withColumn("bare", bare).withColumn("letters", reduce(
+    d = found.withColumn("part", F.regexp_replace("token", "=+$", ""))
+    longest = F.expr("array_max(transform(split(part, '[-_]'), w -> struct(char_length(w) as size, w)))")
+    d = d.withColumn("part", F.when(longest["size"] >= PIECE, longest["w"]).otherwise(F.col("part")))
+    d = d.withColumn("bare", F.translate("part", "-_", ""))
+    d = d.withColumn("bare", F.when(F.char_length("bare") >= 2, F.col("bare")))  # the least the statistics are defined for
+    d = d.withColumn("letters", reduce(
         lambda rest, e: F.when(F.col("bare").rlike(e[0]), F.lit(e[1])).otherwise(rest), reversed(ENCODINGS[:-1]), F.lit(ENCODINGS[-1][1])))
-    d = d.withColumn("bare", F.translate("bare", "-_", "+/")).withColumn("m", F.char_length("letters"))
+    d = d.withColumn("m", F.char_length("letters"))
     d = d.withColumn("x", F.expr("transform(filter(split(bare, ''), c -> c != ''), c -> instr(letters, c))"))
-    d = d.withColumn("places", F.expr(f"transform(filter(split(bare, ''), c -> c != ''), c -> instr('{prose_model.SYMBOLS}', c))"))
+    folded = F.when(F.col("part").rlike("[a-z]"), F.col("part")).otherwise(F.lower("part"))
+    # a separator is a mark to its neighbours, and itself given: minus the place of a mark
+    d = d.withColumn("folded", folded).withColumn("places", F.expr(
+        f"transform(filter(split(folded, ''), c -> c != ''), c -> if(c in ('-', '_'), -{len(prose_model.SYMBOLS)}, instr('{prose_model.SYMBOLS}', c)))"))
     d = d.withColumn("n", F.size("x")).withColumn("counts", F.expr(
         "transform(sequence(1, m), s -> n - char_length(replace(bare, substring(letters, s, 1), '')))"))
     total = "aggregate({}, 0D, (t, v) -> t + v)"
@@ -92,12 +106,18 @@ def _battery(found: DataFrame) -> DataFrame:
     z_serial = F.expr("((lagged - mean * mean) / nullif(power - mean * mean, 0D) + 1D / (n - 1)) * sqrt(double(n))")
     worst = F.lit(UNDEFINED)
     q = F.pow(F.greatest(z_use, F.lit(0.0)), F.lit(2.0)) + F.coalesce(F.pow(z_runs, F.lit(2.0)), worst) + F.coalesce(F.pow(z_serial, F.lit(2.0)), worst)
-    costs = F.split(F.lit(",".join(f"{c:.4f}" for c in prose_model.costs())), ",").cast("array<double>")  # folded to one literal
+    tables = prose_model.costs() + prose_model.costs(separated=True)
+    costs = F.split(F.lit(",".join(f"{c:.4f}" for c in tables)), ",").cast("array<double>")  # folded to one literal
     width = len(prose_model.SYMBOLS) + 1
-    each = F.transform("places", lambda v, i: F.get(costs, F.when(i == 0, 0).otherwise(F.get(F.col("places"), i - 1)) * width + v))
-    gain = F.aggregate(each, F.lit(0.0), lambda t, v: t + v) - F.col("n") * F.log(F.col("m").cast("double")) - math.log(len(ENCODINGS))
+    base = F.when(F.col("part").rlike("[-_]"), width * width).otherwise(0)
+    before = lambda i: F.when(i == 0, 0).otherwise(F.abs(F.get(F.col("places"), i - 1)))
+    each = F.transform("places", lambda v, i: F.when(v >= 0, F.get(costs, base + before(i) * width + v)).otherwise(0.0))
+    gain = F.aggregate(each, F.lit(0.0), lambda t, v: t + v) - F.col("n") * F.log(F.col("m").cast("double")) - math.log(2 * len(ENCODINGS))
     d = d.withColumns({"q": q, "gain": gain})
-    score = F.when((F.col("q") <= REJECTED) & (F.col("gain") >= 0), F.least(F.floor(F.col("gain") / BIN), F.lit(BINS))).otherwise(-1)
+    doubled = "transform(reverse(filter(split(bare, ''), c -> c != '')), (c, i) -> if(i % 2 = 0, int(c), int(c) * 2 - if(c >= '5', 9, 0)))"
+    checked = F.expr(f"if(bare rlike '^[0-9]{{13,19}}$', aggregate({doubled}, 0, (t, v) -> t + v) % 10 = 0, false)")
+    number = F.coalesce(F.col("bare").rlike(NUMBERS) | checked, F.lit(False))
+    score = F.when(~number & (F.col("q") <= REJECTED) & (F.col("gain") >= 0), F.least(F.floor(F.col("gain") / BIN), F.lit(BINS))).otherwise(-1)
     return d.withColumn("bin", F.when(F.col("token").isNotNull(), score).cast("int")).select(*found.columns, "bin")
 
 
@@ -117,7 +137,7 @@ def _found(docs: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     after = F.min(F.when(fixed, F.col("start"))).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
     covered = F.coalesce(before > F.col("start"), F.lit(False)) | F.coalesce(after < F.col("end"), F.lit(False))
     rows = rows.withColumn("covered", covered & (F.col("kind") == "random"))
-    # Padding and marks alone hold nothing to test; two characters are the least the statistics are defined for.
+    # Padding and marks alone hold nothing to test.
     blank = ~F.col("token").rlike("[A-Za-z0-9]") | ~F.col("token").rlike("^.+[^=]")
     rows = rows.withColumn("kind", F.when((F.col("kind") == "random") & (F.col("covered") | blank), F.lit(None)).otherwise(F.col("kind")))
     rows = rows.withColumn("token", F.when(F.col("kind") == "random", F.col("token")))

@@ -1,5 +1,6 @@
 """Line dedup, quality rules, URL rules, secret scan, chat snapshots against brute force."""
 import random
+import uuid
 
 import brute
 import pytest
@@ -174,6 +175,31 @@ def test_secrets_of_letters_or_digits_alone(spark):
     assert len(random_places(spark, short)) > 480
 
 
+def test_secrets_between_separators(spark):
+    """Keys with separators are found; identifiers, dates, cards and dialled numbers are not."""
+    rng = random.Random(5)
+    alnum = B64[:62]
+    uuids = [str(uuid.UUID(int=rng.getrandbits(128), version=4)) for _ in range(100)]
+    slack = [f"xoxb-{token(rng, '123456789', 12)}-{token(rng, '123456789', 13)}-{token(rng, alnum, 24)}" for _ in range(100)]
+    url64 = [token(rng, alnum + "-_", 43) + "=" for _ in range(100)]
+
+    def card():
+        digits = [4] + [rng.randrange(10) for _ in range(14)]
+        total = sum(d if k % 2 else d * 2 - 9 * (d > 4) for k, d in enumerate(digits))
+        return "".join(map(str, digits)) + str(-total % 10)
+
+    cards = [card() for _ in range(100)]
+    cards[50:] = ["-".join(c[k:k + 4] for k in range(0, 16, 4)) for c in cards[50:]]
+    moments = [f"20{rng.randrange(10, 30)}{rng.randrange(1, 13):02}{rng.randrange(1, 29):02}{rng.randrange(24):02}{rng.randrange(60):02}{rng.randrange(60):02}{rng.randrange(1000):03}"
+               for _ in range(50)] + [str(rng.randrange(10 ** 15, 2 * 10 ** 15)) for _ in range(50)]
+    dialled = ["00" + token(rng, "123456789", 14) for _ in range(100)]
+    names = ["ubuntu-jammy-arm64-server-cloudimg", "TLS_ECDHE_RSA_WITH_AES_128_GCM_SHA256", "bicycle_repair_workshop_2019", "grandmothers-apple-strudel-recipe", "ENABLE_LEGACY_CHECKOUT_FLOW",
+             "a---------------", "a-b-c-d-e-f-g-h-i", "_______________b", "2024-11-05_17-45-09-123", "win32-x64-msvc-14.29"] * 10
+    found = {k for k, _, _ in random_places(spark, uuids + slack + url64 + cards + moments + dialled + names)}
+    share = [len(found & set(range(k, k + 100))) for k in range(0, 700, 100)]
+    assert min(share[:3]) >= 95 and max(share[3:]) <= 1, share
+
+
 def test_chat(spark, monkeypatch):
     monkeypatch.setattr(chat_snapshots, "BLOCK", 4)
     monkeypatch.setattr(chat_snapshots, "PART", 3)
