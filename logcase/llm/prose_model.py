@@ -17,19 +17,19 @@ may then do first any my now such like our over man me even most made after also
 should because each just those people how too little state good very make world still own see men work long get here between both life being under never
 day same another know while last might us great old year off come since against go came right used take three states himself few house use during without
 again place around however home small found thought went say part once general high upon school every government company system number information
-development international administration understanding communication responsible environmental representative characteristics straightforward
+development administration understanding communication environmental representative characteristics straightforward
 die der und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch
 wie einem einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei hatte kann gegen vom schon wenn habe seine ihre dann unter wir
 soll ich eines jahr zwei jahren diese dieser wieder keine seiner worden will zwischen immer millionen was sagte gesellschaft geschwindigkeit
-entwicklung wissenschaft verantwortung zusammenarbeit bundesregierung krankenversicherung freundschaft heiterkeit schwierigkeiten rechtsschutz
+entwicklung wissenschaft zusammenarbeit bundesregierung krankenversicherung freundschaft heiterkeit schwierigkeiten rechtsschutz
 le la les de des du et un une est que qui dans pour pas sur au avec ce il sont plus par ne se son sa ses mais comme ou si leur nous vous tout elle
 faire deux aussi bien peut cette sans entre autres encore temps toujours jamais beaucoup monde pays gouvernement developpement malheureusement
-quelque chose aujourd anticonstitutionnellement travailleurs nouveaux chevaux eaux elles mentaux
+quelque chose aujourd travailleurs nouveaux chevaux eaux elles mentaux
 el los las y en un una por con para no es al lo como mas pero sus le ha me sin sobre este ya entre cuando todo esta ser son dos fue era muy hasta desde
-donde quien durante siempre todos uno ni contra otros ese eso ante ellos desarrollo responsabilidad extraordinario conocimiento universidades
+donde quien durante siempre todos uno ni contra otros ese eso ante ellos desarrollo conocimiento universidades
 il di che e la in un per non sono una del si con da come anche dei nel alla della piu questo stato suo essere perche molto quando ancora trasformazione
 o que de um para com uma os no se na por mais as dos como mas ao ele das seu sua ou quando muito nos ja eu tambem pelo pela ate isso voce desenvolvimento
-het een van en te dat op zijn voor met niet aan er om ook als dan maar bij nog uit naar heeft wordt werd door verantwoordelijkheid ontwikkeling
+het een van en te dat op zijn voor met niet aan er om ook als dan maar bij nog uit naar heeft wordt werd door ontwikkeling
 nie na sie jest do ze to jak przez po co tak dla od za ale ktory tylko przy prawdopodobniej rozwoj wszystkie
 ja on ei se oli han mutta kuin myos joka ovat niin sen tai vain kun mita kaikki lentokone suihku turbiini moottori kehitys
 index content article category product page image html http www com org net data value key name file path class element get set list item type string
