@@ -5,13 +5,14 @@ alone) is kept under ``<store>/_search``, in the long form (word number, word, f
 looks at a few of the filter's words only, so a search reads some thousandths of the sidecar, pushed down to Parquet,
 and then the files that are left. Wildcards cut a pattern into runs; every trigram of a run must be in the file. The
 sidecar never decides more than that: files it does not know are read, false positives are read, and the rows come from
-the same predicate as without it. Files of a store are never rewritten in place, so an entry stays right;
+the same predicate as without it. Files of a store are never rewritten in place (compaction writes new ones), so an entry stays right;
 ``update_search_index`` adds what is new, and repeating it, also after a failure, changes no result.
 """
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logcase.operators.queries import search
-from logcase.sources.discover import as_literal, normalise_path
+from logcase.sources.compaction import read_files
+from logcase.sources.discover import normalise_path
 from logcase.sources.store import read_events
 
 BITS = 18
@@ -96,7 +98,7 @@ def _read_index(spark: SparkSession, store: str) -> DataFrame:
 def _events_of(spark: SparkSession, store: str, files: list[str]) -> DataFrame:
     if not files:
         return read_events(spark, store).limit(0)
-    return spark.read.option("basePath", store).schema(read_events(spark, store).schema).parquet(*map(as_literal, files))
+    return reduce(DataFrame.unionByName, read_files(spark, store, files))
 
 
 def update_search_index(spark: SparkSession, store: str) -> None:
@@ -104,7 +106,8 @@ def update_search_index(spark: SparkSession, store: str) -> None:
     known = _read_index(spark, store).where("at = 0").select("file")
     new = [r["file"] for r in _files(spark, store).join(known, "file", "left_anti").collect()]
     if new:
-        _filters(_events_of(spark, store, new)).repartitionByRange("at").sortWithinPartitions("at", "file").write.mode("append").parquet(_index_path(store))
+        found = reduce(DataFrame.unionByName, map(_filters, read_files(spark, store, new)))
+        found.repartitionByRange("at").sortWithinPartitions("at", "file").write.mode("append").parquet(_index_path(store))
 
 
 def candidate_files(spark: SparkSession, store: str, pattern: str, mode: str = "like") -> list[str]:

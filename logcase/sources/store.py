@@ -10,13 +10,16 @@ rows and writes one file per day it holds -- log files are mostly time-ordered,
 so a task holds one or two days, and a day that holds a third of all rows is
 written by all the tasks that read it. ``layout="range"`` range-partitions on
 (event_date, service, ts) first (fewer, fully sorted files; it costs a sampling
-pass over the input and a shuffle) -- a compaction choice.
+pass over the input and a shuffle). ``compaction.compact`` packs small files of
+a written store.
 """
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logcase.sources.compaction import read_store
+
 SORT_KEYS = ("event_date", "service", "ts")
 
 
@@ -42,4 +45,5 @@ def write_events(events: DataFrame, path: str, mode: str = "append", layout: str
 
 
 def read_events(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The store's events, by its last compaction snapshot and the files appended since."""
+    return read_store(spark, path)
