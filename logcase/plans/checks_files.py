@@ -1,4 +1,4 @@
-"""Registered checks of whole files: caps in path order, content digests, a shape of one's own.
+"""Registered checks of whole files: caps in path order, content digests, a shape of one's own, a compacted store.
 
 Inputs are built from the whole ``events`` table, in files whose number grows with it; the SQL is written out by itself.
 """
@@ -18,10 +18,12 @@ from logcase.plans.logview import load_log_view, with_log_view
 from logcase.plans.sizing import materialize, spread
 from logcase.session import scratch_dir
 from logcase.sources.caps import path_order, rows_per_file, running_total
+from logcase.sources.compaction import TARGET_BYTES, compact, live_files
 from logcase.sources.digest import content_digests
 from logcase.sources.discover import list_files, split_paths
 from logcase.sources.ingest import IngestCapExceeded, file_modes, ingest
 from logcase.sources.lines import NONBLANK, raw_scan, split_stats
+from logcase.sources.store import read_events, write_events
 
 #: Events of one file.
 FILE_EVENTS = 1000
@@ -101,7 +103,23 @@ def q_parse_own_shape(spark: SparkSession, sf: str) -> DataFrame:
                           F.col("raw").contains(F.col("token")).alias("leaked")), "ts")
 
 
-QUERIES = {f.__name__.removeprefix("q_"): f for f in (q_ingest_caps, q_ingest_digest, q_parse_own_shape)}
+def q_store_compaction(spark: SparkSession, sf: str) -> DataFrame:
+    """The events of each day in a store written by several appends, compacted, and appended to again."""
+    view, store = load_log_view(spark, sf), scratch_dir(spark, "packed-store")
+    part = lambda k: write_events(view.where(F.col("event_id") % 3 == k).drop("event_id"), store)
+    part(0)
+    part(1)
+    compact(spark, store)
+    day = F.to_date(F.regexp_extract("file", "/event_date=([^/]+)/", 1)).alias("event_date")
+    files = live_files(spark, store).groupBy(day).agg((F.count("*") * TARGET_BYTES <= 2 * F.sum("bytes") + 2 * TARGET_BYTES).alias("packed"))
+    files = materialize(files, "packed-days")
+    part(2)
+    days = read_events(spark, store).groupBy("event_date").agg(
+        F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("line").alias("line_sum"))
+    return ntz(days.join(files, "event_date", "left").withColumn("packed", F.coalesce("packed", F.lit(True))), "first_ts", "last_ts")
+
+
+QUERIES = {f.__name__.removeprefix("q_"): f for f in (q_ingest_caps, q_ingest_digest, q_parse_own_shape, q_store_compaction)}
 
 _WORD_SUMS = " || ',' || ".join(
     f"CAST(CAST(sum(CAST(('0x' || substr(h, {8 * k + 1}, 8)) AS BIGINT)) AS HUGEINT) % 4294967296 AS VARCHAR)" for k in range(8))
@@ -120,6 +138,9 @@ WITH lines AS (SELECT lpad(CAST(event_id // {FILE_EVENTS} AS VARCHAR), 9, '0') A
                       row_number() OVER (PARTITION BY event_id // {FILE_EVENTS} ORDER BY event_id) AS line FROM log_events),
 files AS (SELECT file, count(*) AS n_lines, {_WORD_SUMS} AS words FROM (SELECT file, sha256(line || ':' || raw) AS h FROM lines) GROUP BY file)
 SELECT kind, file, n_lines, sha256(n_lines || ':' || words) AS content_digest FROM files, (VALUES ('plain'), ('gzip')) k(kind)"""),
+    "store_compaction": with_log_view("""
+SELECT CAST(ts AS DATE) AS event_date, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts, CAST(sum(line) AS BIGINT) AS line_sum, true AS packed
+FROM log_events GROUP BY 1"""),
     "parse_own_shape": with_log_view("""
 SELECT event_id, ts, 'parsed' AS ts_source, CASE WHEN event_id % 4 = 1 THEN 'unknown' ELSE service END AS service, level,
   CASE WHEN event_id % 4 = 3 THEN msg ELSE msg || ' Bearer [REDACTED_BEARER]' END AS msg,

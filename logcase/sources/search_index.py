@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from logcase.operators.queries import search
 from logcase.sources.compaction import read_files
-from logcase.sources.discover import normalise_path
+from logcase.sources.discover import as_literal, normalise_path
 from logcase.sources.store import read_events
 
 BITS = 18
@@ -92,7 +92,7 @@ def _read_index(spark: SparkSession, store: str) -> DataFrame:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_index_path(store))
     if not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], "at int, word bigint, file string")
-    return spark.read.schema("at int, word bigint, file string").parquet(_index_path(store))
+    return spark.read.schema("at int, word bigint, file string").parquet(as_literal(_index_path(store)))
 
 
 def _events_of(spark: SparkSession, store: str, files: list[str]) -> DataFrame:
