@@ -18,8 +18,8 @@ from logcase.operators import queries as Q
 from logcase.operators.parse import parse_lines
 from logcase.plans import linebuild as LB
 from logcase.plans.logfiles import logical_name, write_log_files
-from logcase.plans.logview import load_log_view, load_table, with_log_view
-from logcase.plans.sizing import spread
+from logcase.plans.logview import load_log_view, load_table, log_view, with_log_view
+from logcase.plans.sizing import even_tasks, spread
 from logcase.session import configure, scratch_dir
 from logcase.sources.ingest import ingest, manifest
 from logcase.sources.store import read_events
@@ -103,7 +103,7 @@ PARSED = ("event_id", "ts", "service", "level", "msg", "format")
 
 def _parse_shape(shape: str) -> QueryFn:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        lines = spread(LB.shape_lines(load_log_view(spark, sf), shape))
+        lines = LB.shape_lines(load_log_view(spark, sf, even=True), shape)
         return _rows_ntz(parse_lines(lines, fallback_ts=FALLBACK_TS).select(*PARSED))
     return run
 
@@ -115,8 +115,8 @@ def bearer_msg() -> "F.Column":
 
 def q_parse_mixed_redacted(spark: SparkSession, sf: str) -> DataFrame:
     """All shapes in one column, every message carrying a bearer token."""
-    view = load_log_view(spark, sf)
-    lines = spread(view.select("event_id", LB.mixed_line(bearer_msg()).alias("value")))
+    view = load_log_view(spark, sf, even=True)
+    lines = view.select("event_id", LB.mixed_line(bearer_msg()).alias("value"))
     return _rows_ntz(parse_lines(lines, fallback_ts=FALLBACK_TS).select(*PARSED))
 
 
@@ -227,14 +227,14 @@ def _injected_secret() -> "F.Column":
 
 
 def _injected_documents(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load_table(spark, sf, "documents")
+    docs = spread(load_table(spark, sf, "documents"))
     return docs.select("doc_id", F.concat(F.col("text"), _injected_secret(), F.lit(" tail")).alias("line"))
 
 
 def q_redact_documents(spark: SparkSession, sf: str) -> DataFrame:
     """Whole document texts with an injected secret, redacted."""
     configure(spark)
-    d = spread(_injected_documents(spark, sf))
+    d = _injected_documents(spark, sf)
     return d.select("doc_id", redact(F.col("line")).alias("redacted"))
 
 
@@ -275,9 +275,11 @@ def _case_doc() -> "F.Column":
 def case_document(spark: SparkSession, sf: str) -> DataFrame:
     """(case_id, text): one case file per event."""
     configure(spark)
-    ev = load_table(spark, sf, "events").select("event_id", "value")
-    view = load_log_view(spark, sf).join(ev, "event_id")
-    return spread(view.select(F.col("event_id").alias("case_id"), _case_doc().alias("text")))
+    events = load_table(spark, sf, "events")
+    n = even_tasks(events)
+    ev = events.select("event_id", "value").repartition(n, "event_id")
+    view = log_view(events).repartition(n, "event_id").join(ev, "event_id")
+    return view.select(F.col("event_id").alias("case_id"), _case_doc().alias("text"))
 
 
 def _case_files(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,7 @@ from logcase.plans import linebuild as LB
 from logcase.plans.checks import FALLBACK_TS, case_document, ntz
 from logcase.plans.logfiles import logical_name
 from logcase.plans.logview import load_log_view, with_log_view
-from logcase.plans.sizing import materialize, spread
+from logcase.plans.sizing import materialize
 from logcase.session import configure, scratch_dir
 from logcase.sources.casefiles import read_cases, write_cases
 from logcase.sources.ingest import ingest, manifest
@@ -71,7 +71,7 @@ def q_ingest_odd_names(spark: SparkSession, sf: str) -> DataFrame:
 
 def q_parse_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
     """Lines with falsy first choices, no time, long messages, blanks, numbers, and what is no object."""
-    view = load_log_view(spark, sf)
+    view = load_log_view(spark, sf, even=True)
     msg, svc, token = F.col("msg"), F.col("service"), F.md5("raw")
     j = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
     forms = F.array(
@@ -81,7 +81,7 @@ def q_parse_fallbacks(spark: SparkSession, sf: str) -> DataFrame:
         F.col("event_id").cast("string"), F.concat(F.lit('["'), msg, F.lit('"]')), F.concat(F.lit('{"msg":"'), msg, F.lit('"} tail')),
         F.concat(F.lit('{"msg":"first","msg":"'), msg, F.lit('","trace_id":17}')))
     kind = (F.col("event_id") % 7).cast("int")
-    lines = spread(view.select("event_id", token.alias("token"), F.element_at(forms, kind + 1).alias("value")))
+    lines = view.select("event_id", token.alias("token"), F.element_at(forms, kind + 1).alias("value"))
     out = parse_lines(lines, fallback_ts=FALLBACK_TS)
     return ntz(out.select("event_id", "ts", "ts_source", "service", "level", "msg", "format", "trace_id", "request_id",
                           F.col("raw").contains(F.col("token")).alias("leaked")), "ts")

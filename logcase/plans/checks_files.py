@@ -15,7 +15,7 @@ from logcase.plans import linebuild as LB
 from logcase.plans.checks import FALLBACK_TS, ntz
 from logcase.plans.logfiles import logical_name
 from logcase.plans.logview import load_log_view, with_log_view
-from logcase.plans.sizing import materialize, spread
+from logcase.plans.sizing import materialize
 from logcase.session import scratch_dir
 from logcase.sources.caps import path_order, rows_per_file, running_total
 from logcase.sources.compaction import TARGET_BYTES, compact, live_files
@@ -88,7 +88,7 @@ OWN_SHAPE = Detector(
 
 def q_parse_own_shape(spark: SparkSession, sf: str) -> DataFrame:
     """Lines of the caller's own shape among generic ones, parsed by an argument alone."""
-    view = load_log_view(spark, sf)
+    view = load_log_view(spark, sf, even=True)
     k = F.col("event_id") % 4
     own = F.to_json(F.struct(
         F.when(k != 1, F.col("service")).alias("host"), F.format_string("@%s@", F.unix_micros("ts").cast("decimal(20,0)") / 1_000_000).alias("at"),
@@ -97,7 +97,7 @@ def q_parse_own_shape(spark: SparkSession, sf: str) -> DataFrame:
     own = F.regexp_replace(own, '"@([0-9.]+)@"', "$1")  # a number with all its digits
     generic = F.to_json(F.struct(LB.iso_text(F.col("ts")).alias("ts"), "service", "level", "msg", F.lit("high").alias("severity"),
                                  F.lit("also here").alias("short_message")))
-    lines = spread(view.select("event_id", F.md5("raw").alias("token"), F.when(k == 3, generic).otherwise(own).alias("value")))
+    lines = view.select("event_id", F.md5("raw").alias("token"), F.when(k == 3, generic).otherwise(own).alias("value"))
     out = parse_lines(lines, fallback_ts=FALLBACK_TS, detectors=(OWN_SHAPE, *DETECTORS))
     return ntz(out.select("event_id", "ts", "ts_source", "service", "level", "msg", "format", "trace_id",
                           F.col("raw").contains(F.col("token")).alias("leaked")), "ts")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logcase.plans.sizing import spread
 from logcase.session import configure
 
 N_SERVICES = 5
@@ -38,9 +39,11 @@ def log_view(events: DataFrame) -> DataFrame:
     )
 
 
-def load_log_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+def load_log_view(spark: SparkSession, sf_dir: str, even: bool = False) -> DataFrame:
+    """``even``: the events are dealt evenly to tasks first, for CPU-heavy work on their lines."""
     configure(spark)
-    return log_view(load_table(spark, sf_dir, "events"))
+    events = load_table(spark, sf_dir, "events")
+    return log_view(spread(events) if even else events)
 
 
 LOG_VIEW_SQL = f"""

@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from logcase.session import scratch_dir
 
+#: Estimated bytes of a scan dealt to one task by ``spread``; Parquet unpacks to several times that.
+EVEN_BYTES = 2 << 20
+
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows. Counts through a limit,
@@ -42,11 +45,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def even_tasks(df: DataFrame) -> int:
+    """Into how many tasks to deal ``df`` (a scan) before CPU-heavy work: one per core, and more the larger it is."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-estimated_bytes(df) // EVEN_BYTES))
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a frame that has fewer partitions than the session has
-    cores (e.g. lines derived from one small file) before CPU-heavy work.
-    Inputs that are already split -- any real-size input -- are left as is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < cores:
-        return df.repartition(cores)
-    return df
+    """Round-robin a scan before CPU-heavy work. Its own partitions say nothing about where the rows are: a Parquet
+    file is cut by bytes, but all rows of a row group go to one task and the other tasks get none. Deal the rows of
+    the table, before lines or documents are built from them: they are narrower."""
+    return df.repartition(even_tasks(df))

@@ -47,3 +47,19 @@ def test_grading_hot_case(spark):
     assert (h.n_report, h.n_truth, h.n_hits) == (1500, 1000, 500)
     assert h.n_key_distractor_hits == len([i for i in range(n) if i % 2 == 0 and i % 7 == 0])
     assert abs(h.overlap_recall - 0.5) < 1e-12 and h.overlap_ok and not h.passed
+
+
+def test_spread_deals_the_rows_of_one_row_group(spark, tmp_path):
+    """A file cut into as many partitions as there are cores, all rows in one of them."""
+    from logcase.plans.sizing import spread
+    path, cut = str(tmp_path / "one-group.parquet"), "spark.sql.files.maxPartitionBytes"
+    spark.range(20_000, numPartitions=1).write.parquet(path)
+    spark.conf.set(cut, "4k")
+    try:
+        rows = spark.read.parquet(path)
+        assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        per_task = spread(rows).groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset(cut)
+    assert sum(r["count"] for r in per_task) == 20_000
+    assert max(r["count"] for r in per_task) <= 2 * 20_000 / spark.sparkContext.defaultParallelism
