@@ -121,9 +121,10 @@ def q_parse_mixed_redacted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _ingested(spark: SparkSession, sf: str):
-    view = load_log_view(spark, sf)
+    view = load_log_view(spark, sf, even=True)
     path = write_log_files(view, LB.mixed_line(bearer_msg()), "logs")
-    return ingest(spark, [path], fallback_ts=FALLBACK_TS)
+    # a few large gzip files, one task each: their lines are dealt to all tasks before they are parsed
+    return ingest(spark, [path], fallback_ts=FALLBACK_TS, rebalance=True)
 
 
 def q_ingest_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -136,7 +137,7 @@ def q_ingest_files(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_ingest_files(spark: SparkSession, sf: str) -> DataFrame:
     """Same files as ``ingest_files``, ingested by the file stream (ST1)."""
     from logcase.streaming import ingest_stream
-    view = load_log_view(spark, sf)
+    view = load_log_view(spark, sf, even=True)
     path = write_log_files(view, LB.mixed_line(bearer_msg()), "stream-logs")
     sink, ckpt = scratch_dir(spark, "stream-sink"), scratch_dir(spark, "stream-ckpt")
     q = ingest_stream(spark, path, sink, ckpt, fallback_ts=FALLBACK_TS, available_now=True)

@@ -2,14 +2,13 @@
 
 Each log-view row becomes one line of ``part-<k>.jsonl`` at its own line
 number; the files are gzip text under the shared scratch folder. Every file
-is one task (hash-partitioned by name) and its lines are written in order.
+is written by one task (hash-partitioned by name) and its lines in order.
 """
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logcase.plans.logview import N_FILES
 from logcase.session import scratch_dir
 
 FILE_NAME_RE = r"name=([^/]+)/"
@@ -18,7 +17,8 @@ FILE_NAME_RE = r"name=([^/]+)/"
 def write_log_files(view: DataFrame, line: Column, name: str = "logs") -> str:
     path = scratch_dir(view.sparkSession, name)
     df = view.select(F.regexp_replace("file", "^logs/", "").alias("name"), "line", line.alias("value"))
-    (df.repartition(N_FILES, "name").sortWithinPartitions("name", "line").select("name", "value")
+    # no fixed number: in as many partitions as there are files, hashes put several large files into one
+    (df.repartition("name").sortWithinPartitions("name", "line").select("name", "value")
        .write.partitionBy("name").option("compression", "gzip").text(path))
     return path
 

@@ -63,3 +63,15 @@ def test_spread_deals_the_rows_of_one_row_group(spark, tmp_path):
         spark.conf.unset(cut)
     assert sum(r["count"] for r in per_task) == 20_000
     assert max(r["count"] for r in per_task) <= 2 * 20_000 / spark.sparkContext.defaultParallelism
+
+
+def test_lines_of_large_files_are_dealt_before_parsing(spark, tmp_path):
+    """The files of the ingest queries are one task each; their lines must not be parsed by those few tasks."""
+    from logcase.plans.checks import q_ingest_files, q_ingest_manifest
+    spark.range(400).select(F.col("id").alias("event_id"), F.timestamp_seconds("id").cast("timestamp_ntz").alias("ts"), (F.col("id") % 7).alias("user_id"),
+                            F.lit("error").alias("event_type"), F.lit(1.5).alias("value"), F.lit('{"k": 3}').alias("props")) \
+        .write.parquet(str(tmp_path / "events.parquet"))
+    for query in (q_ingest_files, q_ingest_manifest):
+        found = query(spark, str(tmp_path))
+        assert "REBALANCE_PARTITIONS" in found._jdf.queryExecution().executedPlan().toString()
+    assert q_ingest_files(spark, str(tmp_path)).count() == 400
