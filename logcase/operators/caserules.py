@@ -5,6 +5,11 @@ type name, value) and looks each entry up in the rule table, which says what kin
 may be null, what it may be out of, and whether its object or its list items are the next level. Every step is a
 projection of its own behind a one-row generator, so Catalyst neither merges the steps nor repeats them in a filter on
 their result. The plan has the same size whatever the number of rules; nothing is shuffled.
+
+Most documents need no walk. The rule table also gives patterns of the type names (``schema_of_variant``) of a document and
+of its list items that have the plain form of every rule: no key missing or unknown, nothing null that may not be, numbers
+as numbers, and so on. What the walk could still find in a document of that form is the value faults of single fields;
+those are read from their places. Every other document is walked, with the same codes in the same order.
 """
 from __future__ import annotations
 
@@ -82,6 +87,66 @@ def _rule_table() -> tuple[Column, Column]:
     return constant(rules, _RULE), constant(levels, _LEVEL)
 
 
+def _time_like(text: Column) -> Column:
+    return text.rlike("^[-+]?[0-9]") & (text.try_cast("timestamp").isNotNull() | text.try_cast("double").isNotNull())
+
+
+# Type names in the plain form of each kind. Names of odd keys stand in back quotes.
+_ANY = r"(?:[^<>`]++|`[^`]*+`)*+"
+for _ in range(6):
+    _ANY = rf"(?:[^<>`]++|`[^`]*+`|<{_ANY}>)*+"
+_PLAIN = {"string": "STRING", "integer": "BIGINT", "number": r"(?:BIGINT|DOUBLE|DECIMAL\([0-9]+,[0-9]+\))", "boolean": "BOOLEAN",
+          "time": "STRING", "object": f"OBJECT<{_ANY}>", "text_or_object": "STRING", "list": f"ARRAY<{_ANY}>", "strings": "ARRAY<(?:STRING|VOID)>"}
+
+
+def _plain_form(level: str) -> str:
+    """A pattern of the type name of an object of this level that breaks no rule but, perhaps, by a value."""
+    fields = ""
+    for key, spec in sorted(LEVELS[level][0].items()):
+        below, kind = OBJECTS.get(f"{level}.{key}"), spec.rstrip("!?")
+        form = _plain_form(below) if kind == "object" and below else _PLAIN[kind]
+        if below and LEVELS[below][1]:  # other keys may stand there: only what is no object is plain
+            form = "STRING" if kind == "text_or_object" else "VOID"
+        form = f"(?:{form}|VOID)" if spec.endswith("?") else form
+        fields += rf"(?:(?:(?<=<)|, ){key}: {form})" + ("" if spec.endswith("!") else "?")
+    return f"OBJECT<{fields}>"
+
+
+def _has_form(v: Column, level: str) -> Column:
+    return F.schema_of_variant(v).rlike(rf"\A{_plain_form(level)}\z")
+
+
+def _plain(doc: Column) -> Column:
+    """The document is of the plain form, all its items too, and its times and lists of texts can be read."""
+    items = lambda at: F.try_variant_get(doc, at, "array<variant>")
+    time = lambda v, at: _time_like(F.trim(F.try_variant_get(v, at, "string")))
+    texts = lambda v, at: F.try_variant_get(v, at, "array<string>")
+    none_null = lambda a: F.coalesce(F.forall(a, lambda x: x.isNotNull()), F.lit(True))
+    short = lambda a: none_null(a) & (F.coalesce(F.size(a), F.lit(0)) <= MAX_CONTEXT_LINES)
+    cited = F.forall(items("$.report.evidence"), lambda e: _has_form(e, "evidence") & time(e, "$.ts")
+                     & short(texts(e, "$.context_before")) & short(texts(e, "$.context_after")))
+    ok = (time(doc, "$.logs_manifest.time_window.start") & time(doc, "$.logs_manifest.time_window.end")
+          & none_null(texts(doc, "$.report.unknowns"))
+          & F.forall(items("$.logs_manifest.files"), lambda f: _has_form(f, "file"))
+          & F.forall(items("$.trajectory"), lambda s: _has_form(s, "step")) & F.coalesce(cited, F.lit(True)))
+    return F.coalesce(F.when(_has_form(doc, "case"), ok), F.lit(False))
+
+
+def _value_codes(doc: Column) -> Column:
+    """What the walk finds in a document of the plain form, in its order."""
+    text = lambda at: F.try_variant_get(doc, at, "string")
+    reason, version, confidence = text("$.termination_reason"), text("$.version"), F.try_variant_get(doc, "$.report.confidence", "double")
+    low, high = RANGES["report.confidence"]
+    tools = F.try_variant_get(doc, "$.trajectory", "array<struct<tool:string>>")
+    named = F.transform(tools, lambda s, i: F.when(~s["tool"].isin(*ALLOWED["step.tool"]), F.concat(
+        F.lit("enum:trajectory["), i.cast("string"), F.lit("].tool="), s["tool"])))
+    single = F.array(
+        F.when(~reason.isin(*ALLOWED["case.termination_reason"]), F.concat(F.lit("enum:termination_reason="), reason)),
+        F.when(~version.isin(*ALLOWED["case.version"]), F.lit("version")),
+        F.when((confidence < low) | (confidence > high), F.lit("range:report.confidence")))
+    return F.filter(F.concat(single, named), lambda c: c.isNotNull())
+
+
 def _fits(v: Column, t: Column, kind: Column) -> Column:
     """The value ``v`` of type name ``t`` can be read as ``kind``: numbers, times and booleans also from their texts."""
     text, value = F.trim(F.try_variant_get(v, "$", "string")), F.try_variant_get(v, "$", "double")
@@ -93,7 +158,7 @@ def _fits(v: Column, t: Column, kind: Column) -> Column:
         "number": flag | number | (is_text & text.try_cast("double").isNotNull()),
         "boolean": flag | (number & value.isin(0.0, 1.0)) | (
             is_text & F.lower(text).isin("true", "false", "1", "0", "yes", "no", "on", "off", "t", "f", "y", "n")),
-        "time": number | (is_text & text.rlike("^[-+]?[0-9]") & (text.try_cast("timestamp").isNotNull() | text.try_cast("double").isNotNull())),
+        "time": number | (is_text & _time_like(text)),
         "object": is_object,
         "text_or_object": is_text | is_object,
         "strings": is_list & F.forall(F.try_variant_get(v, "$", "array<variant>"), lambda x: F.schema_of_variant(x) == "STRING"),
@@ -126,7 +191,9 @@ def _entry_codes(e: Column) -> Column:
                                                    F.when(here == "case.version", F.lit("version")).otherwise(named))),
         F.when(rule["low"].isNotNull(), F.when((number < rule["low"]) | (number > rule["high"]), F.concat(F.lit("range:"), here))),
         F.when(rule["most"].isNotNull(), F.when(F.size(listed) > rule["most"], F.concat(F.lit("max_items:"), here))))
-    return F.when(rule.isNotNull(), F.concat(F.filter(own, lambda c: c.isNotNull()), F.coalesce(items, _none())))
+    unbound = rule["allowed"].isNull() & rule["low"].isNull() & rule["most"].isNull() & rule["items"].isNull()
+    plain = unbound & F.coalesce(((rule["kind"] == "string") & (e["type"] == "STRING")) | ((rule["kind"] == "integer") & (e["type"] == "BIGINT")), F.lit(False))
+    return F.when(rule.isNotNull() & ~plain, F.concat(F.filter(own, lambda c: c.isNotNull()), F.coalesce(items, _none())))
 
 
 def with_violations(cases: DataFrame, doc: str = "doc") -> DataFrame:
@@ -134,9 +201,12 @@ def with_violations(cases: DataFrame, doc: str = "doc") -> DataFrame:
     a valid case file. A null document is no object. Extra columns stay."""
     rules, levels = _rule_table()
     obj = lambda v: F.try_variant_get(v, "$", "map<string,variant>")
-    root = obj(F.col(doc))
-    out = staged(cases, _nodes=F.when(root.isNotNull(), F.array(F.struct(F.lit("case").alias("level"), F.lit("case").alias("place"), root.alias("fields")))),
-                 _codes=F.when(root.isNull(), F.array(F.lit("not_an_object"))).otherwise(_none()))
+    root, walked = F.col("_root"), F.col("_root").isNotNull()
+    out = staged(cases, _plain=_plain(F.col(doc)))
+    out = staged(out, _root=F.when(~F.col("_plain"), obj(F.col(doc))))
+    out = staged(out, _nodes=F.when(walked, F.array(F.struct(F.lit("case").alias("level"), F.lit("case").alias("place"), root.alias("fields")))),
+                 _codes=F.when(F.col("_plain"), _value_codes(F.col(doc))).when(~walked, F.array(F.lit("not_an_object"))).otherwise(_none()))
+    out = out.drop("_plain", "_root")
     for depth in range(DEPTH):
         def node_codes(n: Column) -> Column:
             rule, keys = levels[n["level"]], F.map_keys(n["fields"])

@@ -99,3 +99,49 @@ def test_columns_of_the_same_names_and_null_documents(spark):
     got = {r.case_id: (r.level, r.violations) for r in validate_cases(parse_cases(df)).collect()}
     assert got == {"a": (1, ["not_an_object"]), "b": (2, ["not_an_object"]), "c": (3, [])}
     assert validate_cases(parse_cases(df.limit(0))).collect() == []
+
+
+def _changed(**at):
+    def change(c):
+        for path, value in at.items():
+            *way, last = [int(k) if k.isdigit() else k for k in path.split("__")]
+            node = c
+            for k in way:
+                node = node[k]
+            node[last] = value
+        return json.dumps(c)
+    return change
+
+
+#: Documents that need no walk, and what is wrong with them.
+PLAIN = {
+    "as it is": (_changed(), []),
+    "no report": (_changed(report=None), []),
+    "tools": (_changed(trajectory__1__tool="rm", trajectory__4__tool="ls"), ["enum:trajectory[1].tool=rm", "enum:trajectory[4].tool=ls"]),
+    "values": (_changed(version="9", termination_reason="bored", report__confidence=1.5, trajectory__0__tool="rm"),
+               ["enum:termination_reason=bored", "version", "range:report.confidence", "enum:trajectory[0].tool=rm"]),
+    "odd arguments": (_changed(trajectory__2__args={"a.b `c": {"<x>": [{"y": [1, None]}]}}), []),
+}
+#: Faults that the type name of a whole list does not show.
+HIDDEN = {
+    "null in a later step": _changed(trajectory__3__stdout_excerpt=None),
+    "no file in a later citation": lambda c: json.dumps(c["report"]["evidence"][1].pop("file") and c),
+    "null among texts": _changed(report__unknowns=["a", None]),
+    "null among lines": _changed(report__evidence__1__context_before=["a", None]),
+    "four lines": _changed(report__evidence__1__context_after=list("abcd")),
+    "time": _changed(report__evidence__1__ts="never"),
+    "null step": _changed(trajectory__2=None),
+}
+
+
+def test_plain_documents_are_not_walked(spark, monkeypatch):
+    from logcase.operators import caserules
+    texts = [(k, f(casedocs.good_case())) for k, (f, _) in PLAIN.items()] + [(k, f(casedocs.good_case())) for k, f in (HIDDEN | BAD | GOOD).items()]
+    cases = parse_cases(spark.createDataFrame(texts, "case_id string, text string"))
+    plain = {r["case_id"]: r["p"] for r in cases.select("case_id", caserules._plain(F.col("doc")).alias("p")).collect()}
+    assert {k for k, p in plain.items() if p} == set(PLAIN)
+    found = {r["case_id"]: r["violations"] for r in validate_cases(cases).collect()}
+    assert {k: found[k] for k in PLAIN} == {k: codes for k, (_, codes) in PLAIN.items()}
+    assert all(found[k] for k in HIDDEN)
+    monkeypatch.setattr(caserules, "_plain", lambda doc: F.lit(False))
+    assert found == {r["case_id"]: r["violations"] for r in validate_cases(cases).collect()}
